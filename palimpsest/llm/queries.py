@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_ann, op2_topk, op3_license, op4_mix
+from . import op1_ann, op2_topk, op3_license, op4_mix, op6_toxicity, op7_warc
 from .common import table
 
 
@@ -26,9 +26,18 @@ def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multiprobe_lsh, op2_segment_topk, op3_license_scan, op4_sainte_lague_mix)}
+    return {f.__name__: f for f in (op1_multiprobe_lsh, op2_segment_topk, op3_license_scan, op4_sainte_lague_mix,
+                                   op6_pu_toxicity, op7_warc_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_segment_topk": op2_topk.ORACLE, "op3_license_scan": op3_license.oracle()}
+    return {"op2_segment_topk": op2_topk.ORACLE, "op3_license_scan": op3_license.oracle(), "op7_warc_zstd": op7_warc.ORACLE}
