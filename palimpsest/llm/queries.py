@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_ann, op2_topk, op3_license, op4_mix, op6_toxicity, op7_warc
+from . import op1_ann, op2_topk, op3_license, op4_mix, op6_toxicity, op7_warc, op9_lm
 from .common import table
 
 
@@ -34,9 +34,13 @@ def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_multiprobe_lsh, op2_segment_topk, op3_license_scan, op4_sainte_lague_mix,
-                                   op6_pu_toxicity, op7_warc_zstd)}
+                                   op6_pu_toxicity, op7_warc_zstd, op9_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
