@@ -56,8 +56,9 @@ def crc_mod(column: str, modulus: int) -> "F.Column":
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def grouped(batches: Iterator, key: str) -> Iterator:
-    """Regroup pandas batches, sorted by ``key`` within the partition, into one frame for each key."""
+def grouped(batches: Iterator, keys: list[str]) -> Iterator:
+    """Regroup pandas batches, sorted by ``keys`` within the partition, into one frame for each key."""
+    import numpy as np
     import pandas as pd
 
     held: list = []
@@ -65,13 +66,14 @@ def grouped(batches: Iterator, key: str) -> Iterator:
     for pdf in batches:
         if not len(pdf):
             continue
-        keys = pdf[key].to_numpy()
-        edges = [0, *(i + 1 for i in range(len(keys) - 1) if keys[i] != keys[i + 1]), len(keys)]
+        k = pdf[keys].to_numpy()
+        edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1), len(k)]
         for a, b in zip(edges, edges[1:]):
-            if held and keys[a] != last:
+            now = tuple(k[a])
+            if held and now != last:
                 yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
                 held = []
-            last = keys[a]
+            last = now
             held.append(pdf.iloc[a:b])
     if held:
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
