@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_ann, op10_jaccard, op2_topk, op3_license, op4_mix, op6_toxicity, op7_warc, op9_lm
+from . import op1_ann, op10_jaccard, op2_topk, op3_license, op4_mix, op5_suffix, op6_toxicity, op7_warc, op9_lm
 from .common import table
 
 
@@ -42,9 +42,13 @@ def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_jaccard.classes(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_suffix.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_multiprobe_lsh, op2_segment_topk, op3_license_scan, op4_sainte_lague_mix,
-                                   op6_pu_toxicity, op7_warc_zstd, op9_context_mixing, op10_lsh_forest_join)}
+                                   op6_pu_toxicity, op7_warc_zstd, op9_context_mixing, op10_lsh_forest_join, op5_run_length_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
