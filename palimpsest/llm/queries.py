@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_ann, op10_jaccard, op2_topk, op3_license, op4_mix, op5_suffix, op6_toxicity, op7_warc, op9_lm
+from . import op1_ann, op10_jaccard, op2_topk, op3_license, op4_mix, op5_suffix, op6_toxicity, op7_warc, op8_pieces, op9_lm
 from .common import table
 
 
@@ -46,9 +46,13 @@ def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_suffix.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op8_max_plus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_multiprobe_lsh, op2_segment_topk, op3_license_scan, op4_sainte_lague_mix,
-                                   op6_pu_toxicity, op7_warc_zstd, op9_context_mixing, op10_lsh_forest_join, op5_run_length_dedup)}
+                                   op6_pu_toxicity, op7_warc_zstd, op9_context_mixing, op10_lsh_forest_join, op5_run_length_dedup, op8_max_plus_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
