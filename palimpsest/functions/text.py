@@ -11,6 +11,11 @@ SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\u
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def units(text: Column) -> Column:
     """Length in UTF-16 units."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
@@ -18,10 +23,11 @@ def units(text: Column) -> Column:
 
 def first_units(text: Column, n: int) -> Column:
     """The first ``n`` UTF-16 units; a pair that would be cut in half is left out."""
-    raw = F.substring(F.encode(text, "UTF-16BE"), 1, 2 * n)
-    half = F.hex(F.substring(raw, 2 * n - 1, 1)).between("D8", "DB") if n else F.lit(False)
-    return F.when(units(text) == F.length(text), F.substring(text, 1, n)).otherwise(
-        F.decode(F.when(half, F.substring(raw, 1, 2 * n - 2)).otherwise(raw), "UTF-16BE"))
+    def cut(raw: Column) -> Column:
+        half = F.hex(F.substring(raw, 2 * n - 1, 1)).between("D8", "DB")
+        return F.decode(F.when(half, F.substring(raw, 1, 2 * n - 2)).otherwise(raw), "UTF-16BE")
+
+    return F.when(units(text) == F.length(text), F.substring(text, 1, n)).otherwise(let(F.substring(F.encode(text, "UTF-16BE"), 1, 2 * n), cut))
 
 
 def squeezed(text: Column) -> Column:
@@ -30,14 +36,14 @@ def squeezed(text: Column) -> Column:
 
 def compact(text: Column, most: int = 180) -> Column:
     """White space squeezed; what is longer than ``most`` units is cut and ends in an ellipsis."""
-    clean = squeezed(text)
-    return F.when(units(clean) <= most, clean).otherwise(F.concat(F.rtrim(first_units(clean, most - 1)), F.lit("…")))
+    return let(squeezed(text), lambda clean: F.when(units(clean) <= most, clean).otherwise(
+        F.concat(F.rtrim(first_units(clean, most - 1)), F.lit("…"))))
 
 
 def redact(text: Column) -> Column:
     """The first six and last four characters; values of up to twelve stay as they are."""
-    clean = compact(text, 240)
-    return F.when(units(clean) <= 12, clean).otherwise(F.concat(F.substring(clean, 1, 6), F.lit("…"), F.substring(clean, -4, 4)))
+    return let(compact(text, 240), lambda clean: F.when(units(clean) <= 12, clean).otherwise(
+        F.concat(F.substring(clean, 1, 6), F.lit("…"), F.substring(clean, -4, 4))))
 
 
 def safe_evidence(text: Column) -> Column:
@@ -79,11 +85,12 @@ def escape_html(text: Column) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over UTF-16 units, eight hexadecimal digits."""
-    raw = F.hex(F.encode(text, "UTF-16BE"))
-    codes = F.transform(F.when(F.length(text) > 0, F.sequence(F.lit(0), units(text) - 1)).otherwise(F.array().cast("array<int>")),
-                        lambda i: F.conv(F.substring(raw, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"))
-    h = F.aggregate(codes, F.lit(0x811C9DC5).cast("bigint"), lambda h, c: h.bitwiseXOR(c) * 0x01000193 % 0x100000000)
-    return F.lower(F.lpad(F.hex(h), 8, "0"))
+    def hashed(raw: Column) -> Column:
+        places = F.when(F.length(raw) > 0, F.sequence(F.lit(0), F.floor(F.length(raw) / 4).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.lit(0x811C9DC5).cast("bigint"), lambda h, i: h.bitwiseXOR(
+            F.conv(F.substring(raw, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint")) * 0x01000193 % 0x100000000)
+
+    return F.lower(F.lpad(F.hex(let(F.hex(F.encode(text, "UTF-16BE")), hashed)), 8, "0"))
 
 
 def finding_id(rule_id: Column, location: Column, evidence: Column, summary: Column) -> Column:

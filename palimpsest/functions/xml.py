@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import EDGE, SPACE, compact
+from .text import EDGE, SPACE, compact, let
 
 PREFIX = r"(?:(?:[A-Za-z_][\w.-]*):)?"
 ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"))
@@ -24,17 +24,23 @@ def decode_xml(text: Column) -> Column:
     text = F.regexp_replace(text, "(?i)&amp;", mark)
     for name, char in ENTITIES:
         text = F.regexp_replace(text, f"(?i)&{name};", char)
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)(&#(?:x[0-9a-f]+|[0-9]+);)"), F.lit(1)))
 
     def put(whole: Column, entity: Column) -> Column:
         body = F.regexp_extract(entity, "(?i)&#(x?[0-9a-f]+);", 1)
         digits = F.regexp_replace(F.regexp_replace(body, "(?i)^x", ""), "^0+(?=.)", "")
         code = F.when(F.length(digits) <= 8, F.when(body.rlike("(?i)^x"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10))).cast("bigint")
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
-        valid = code.between(0, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.when(valid, F.replace(whole, entity, char)).otherwise(whole)
 
-    return F.regexp_replace(F.aggregate(found, text, put), mark, "&")
+        def written(c: Column) -> Column:
+            char = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32BE")
+            return F.when(c.between(0, 0xD7FF) | c.between(0xE000, 0x10FFFF), F.replace(whole, entity, char)).otherwise(whole)
+
+        return let(code, written)
+
+    def numbers(plain: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(plain, F.lit("(?i)(&#(?:x[0-9a-f]+|[0-9]+);)"), F.lit(1)))
+        return F.aggregate(found, plain, put)
+
+    return F.regexp_replace(let(text, numbers), mark, "&")
 
 
 def strip_xml(text: Column) -> Column:
@@ -61,10 +67,12 @@ def attribute_names(raw: Column) -> Column:
 def attribute(raw: Column, name: str) -> Column:
     """The last value of the attribute, decoded; null where it is absent."""
     pattern = rf"""([A-Za-z_][\w:.-]*)[{SPACE}]*=[{SPACE}]*(?:"([^"]*)"|'([^']*)')"""
-    each = F.arrays_zip(*[F.regexp_extract_all(raw, F.lit(pattern), F.lit(g)) for g in (1, 2, 3)])
-    mine = F.filter(each, lambda a: a["0"] == name)
-    last = F.try_element_at(mine, F.lit(-1))
-    return decode_xml(F.concat(last["1"], last["2"]))
+
+    def last(r: Column) -> Column:
+        each = F.arrays_zip(*[F.regexp_extract_all(r, F.lit(pattern), F.lit(g)).alias(n) for g, n in enumerate("kab", 1)])
+        return F.try_element_at(F.filter(each, lambda a: a["k"] == name), F.lit(-1))
+
+    return decode_xml(let(let(raw, last), lambda a: F.concat(a["a"], a["b"])))
 
 
 def text_runs(xml: Column) -> Column:
@@ -74,8 +82,8 @@ def text_runs(xml: Column) -> Column:
 
 
 def first_text(xml: Column, name: str) -> Column:
-    found = tags(xml, name)
-    return F.when(F.size(found) > 0, compact(strip_xml(found[0]["inner"]), 500)).otherwise("")
+    first = F.try_element_at(tags(xml, name), F.lit(1))["inner"]
+    return F.coalesce(compact(strip_xml(first), 500), F.lit(""))
 
 
 def resolve_part(base: Column, target: Column) -> Column:
