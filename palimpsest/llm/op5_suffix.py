@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +32,12 @@ from .common import grouped
 SPAN, GRAM = 50, 24
 LEFT = SPAN - GRAM
 WIDE = LEFT + SPAN
-BUCKETS, ROWS_PER_BUCKET, FILTER_BITS, FLUSH = 256, 4000, 27, 24 << 20
+BUCKETS, ROWS_PER_BUCKET, FILTER_BITS, FLUSH = 256, 4000, 27, 4 << 20
 POSITION, MASK = np.uint64(30), np.uint64((1 << 30) - 1)
 _rng = np.random.default_rng(50)
 BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 ODD = _rng.integers(0, 2**64, 8, dtype=np.uint64) | np.uint64(1)
+PRINT = _rng.integers(0, 2**64, WIDE - GRAM, dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -176,20 +178,15 @@ def shared_filter(docs: DataFrame, buckets: int, bits: int = FILTER_BITS) -> tup
 class RunIndex:
     """A run-compressed Burrows-Wheeler transform of texts, each closed by a separator, with sampled run heads."""
 
-    def __init__(self, text: np.ndarray, ends: np.ndarray, docs: np.ndarray):
-        """text: 0 is the separator, bytes are 1..256; ends: places of the separators; docs: the document at each place."""
+    def __init__(self, text: np.ndarray, ends: np.ndarray, docs: np.ndarray, span: int):
+        """text: symbols, 0 is the separator; ends: places of the separators; docs: the document at each place."""
         n = len(text)
-        rank, length, equal_span = text.astype(np.int64), 1, None
-        order = np.argsort(rank, kind="stable")
+        wide = max(n, int(text.max())) + 2
+        rank, length, classes = text.astype(np.int64), 1, None
         while True:
-            if length * 2 >= SPAN and equal_span is None:
-                # equal prefixes of SPAN bytes: two overlapping halves of the current length
-                far = np.zeros(n, np.int64)
-                far[: n - (SPAN - length)] = rank[SPAN - length:] + 1
-                equal_span = rank * (n + 512) + far
-            far = np.zeros(n, np.int64)
-            far[: max(0, n - length)] = rank[length:] + 1
-            both = rank * (n + 512) + far
+            if length * 2 >= span and classes is None:
+                classes = joined(rank, span - length, wide)  # two overlapping halves of the current length
+            both = joined(rank, length, wide)
             order = np.argsort(both, kind="stable")
             ordered = both[order]
             fresh = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
@@ -198,19 +195,17 @@ class RunIndex:
             length *= 2
             if fresh[-1] == n - 1 or length >= n:
                 break
-        if equal_span is None:
-            equal_span = rank
-        last = text[order - 1]  # the byte before each suffix; the text is a circle
-        head = np.r_[True, last[1:] != last[:-1]]
-        self.start = np.flatnonzero(head)
+        if classes is None:
+            classes = rank
+        last = text[order - 1]  # the symbol before each suffix; the text is a circle
+        self.start = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
         self.char = last[self.start]
         size = np.diff(np.r_[self.start, n])
-        # LF of a run's first row: rows of smaller characters, then earlier rows of this one
+        # LF of a run's first row: rows of smaller symbols, then earlier rows of this one
         by_char = np.lexsort((self.start, self.char))
-        before = np.cumsum(size[by_char]) - size[by_char]
         self.step = np.empty(len(size), np.int64)
-        self.step[by_char] = before
-        spans = equal_span[order]
+        self.step[by_char] = np.cumsum(size[by_char]) - size[by_char]
+        spans = classes[order]
         self.class_start = np.flatnonzero(np.r_[True, spans[1:] != spans[:-1]])
         self.class_doc = np.minimum.reduceat(docs[order], self.class_start)
         place = np.empty(n, np.int64)
@@ -226,20 +221,31 @@ class RunIndex:
         return self.class_doc[np.searchsorted(self.class_start, row, "right") - 1]
 
 
-def long_matches(windows: list[bytes], docs: np.ndarray) -> np.ndarray:
-    """(window, start) -> the least document of all windows that hold the SPAN bytes there; the own one where none does."""
-    size = np.array([len(w) for w in windows])
-    text = np.frombuffer(b"".join(w + b"\0" for w in windows), np.uint8).astype(np.int32) + 1
+def joined(rank: np.ndarray, ahead: int, wide: int) -> np.ndarray:
+    """The rank of each place together with that of the place ``ahead``; past the end comes before all."""
+    far = np.zeros(len(rank), np.int64)
+    far[: max(0, len(rank) - ahead)] = rank[ahead:] + 1
+    return rank * wide + far
+
+
+def long_matches(symbols: np.ndarray, size: np.ndarray, docs: np.ndarray, span: int) -> np.ndarray:
+    """(window, start) -> the least document of all windows that hold the ``span`` symbols there; own where none does.
+
+    ``symbols`` (above 0) are the windows one after the other, ``size`` their lengths.
+    """
     ends = np.cumsum(size + 1) - 1
-    text[ends] = 0
-    index = RunIndex(text, ends, np.repeat(docs, size + 1))
-    least = np.repeat(docs[:, None], WIDE - SPAN + 1, 1)
-    row, alive = index.entry, np.arange(len(windows))
+    text = np.zeros(int(size.sum()) + len(size), np.int64)
+    inside = np.ones(len(text), bool)
+    inside[ends] = False
+    text[inside] = symbols
+    index = RunIndex(text, ends, np.repeat(docs, size + 1), span)
+    least = np.repeat(docs[:, None], max(1, int(size.max()) - span + 1), 1)
+    row, alive = index.entry, np.arange(len(size))
     for done in range(1, int(size.max()) + 1):
         keep = size[alive] >= done
         alive, row = alive[keep], row[keep]
         row = index.before(row)
-        if done >= SPAN:
+        if done >= span:
             least[alive, size[alive] - done] = index.least_doc(row)
     return least
 
@@ -255,14 +261,14 @@ def union(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([start[first], reach[np.r_[first[1:] - 1, len(start) - 1]]], 1).astype(np.int32)
 
 
-def spans_by_key(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
-    order = np.lexsort((start, key))
-    key, start, end = key[order], start[order], end[order]
-    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
-    return [(int(key[a]), union(start[a:b], end[a:b]).tobytes()) for a, b in zip(cuts, [*cuts[1:], len(key)])]
+def spans_by_key(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, bytes]]:
+    order = np.lexsort((start, key, doc))
+    doc, key, start, end = doc[order], key[order], start[order], end[order]
+    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(key) else []
+    return [(int(doc[a]), int(key[a]), union(start[a:b], end[a:b]).tobytes()) for a, b in zip(cuts, [*cuts[1:], len(key)])]
 
 
-FIELDS = (("anchor", np.uint64), ("print", np.uint64), ("doc", np.int64), ("key", np.int64), ("at", np.int32), ("left", np.uint8), ("size", np.uint8))
+FIELDS = (("anchor", np.uint64), ("doc", np.int64), ("key", np.int32), ("at", np.int32), ("left", np.uint8), ("size", np.uint8))
 ROUTED = "bucket int, " + ", ".join(f"{n} binary" for n, _ in FIELDS) + ", bytes binary, spans binary"
 
 
@@ -271,7 +277,7 @@ def route(docs: DataFrame, packed, slice_bits: int, buckets: int) -> DataFrame:
     columns = [c.split()[0] for c in ROUTED.split(", ")]
 
     def run(pdfs):
-        bits = packed.value
+        bits, packer = packed.value, zstandard.ZstdCompressor(level=1)
         for texts, ids, keys in batches_of(pdfs, ("text", "doc_id", "key")):
             b = Batch(texts)
             place = filter_place(b.hash, slice_bits)
@@ -286,7 +292,7 @@ def route(docs: DataFrame, packed, slice_bits: int, buckets: int) -> DataFrame:
             for j, p in enumerate(pieces):
                 window = mixed(window * ODD[j] + p)
             window ^= mixed((left * 256 + size).astype(np.uint64) + h)
-            doc, key = np.array(ids, np.int64)[own], np.array(keys, np.int64)[own]
+            doc, key = np.array(ids, np.int64)[own], np.array(keys, np.int32)[own]
             start = first - b.begin[own]
             order = np.lexsort((doc, window))
             w, d = window[order], doc[order]
@@ -294,33 +300,45 @@ def route(docs: DataFrame, packed, slice_bits: int, buckets: int) -> DataFrame:
             least = np.repeat(d[cuts], np.diff(np.r_[cuts, len(w)]))
             gone = order[d > least]
             on = order[d == least]
-            out = [(k % buckets, b"", b"", b"", np.int64(k).tobytes(), b"", b"", b"", b"", s)
-                   for k, s in spans_by_key(key[gone], start[gone], (start + size)[gone])]
-            fields = {"anchor": h, "print": window, "doc": doc, "key": key, "at": start, "left": left, "size": size}
+            out = [(abs(d + k) % buckets, b"", np.int64(d).tobytes(), np.int32(k).tobytes(), b"", b"", b"", b"", s)
+                   for d, k, s in spans_by_key(doc[gone], key[gone], start[gone], (start + size)[gone])]
+            fields = {"anchor": h, "doc": doc, "key": key, "at": start, "left": left, "size": size}
             for k, i in by_bucket(bucket_of(h[on], buckets)):
                 i = on[i]
-                begin = first[i]
-                flat = np.repeat(begin - (np.cumsum(size[i]) - size[i]), size[i]) + np.arange(int(size[i].sum()))
-                out.append((k, *(fields[n][i].astype(t).tobytes() for n, t in FIELDS), b.bytes[flat].tobytes(), b""))
+                # the anchor's own bytes stay behind: its hash stands for them
+                n = size[i] - GRAM
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                flat = np.repeat(first[i], n) + place + GRAM * (place >= np.repeat(left[i], n))
+                out.append((k, *(fields[f][i].astype(t).tobytes() for f, t in FIELDS), packer.compress(b.bytes[flat].tobytes()), b""))
             yield pd.DataFrame(out, columns=columns)
 
     return docs.mapInPandas(run, ROUTED).repartition("bucket").sortWithinPartitions("bucket")
 
 
-def resolve(group: pd.DataFrame) -> list[tuple[int, bytes]]:
-    """(key, spans) of one bucket."""
+def resolve(group: pd.DataFrame) -> list[tuple[int, int, bytes]]:
+    """(doc_id, key, spans) of one bucket."""
     settled = group["spans"].map(len) > 0
-    out = [(int.from_bytes(k, "little", signed=True), s) for k, s in zip(group["key"][settled], group["spans"][settled])]
+    out = [(int.from_bytes(d, "little", signed=True), int.from_bytes(k, "little", signed=True), s)
+           for d, k, s in zip(group["doc"][settled], group["key"][settled], group["spans"][settled])]
     group = group[~settled]
     if not len(group):
         return out
     f = {n: np.frombuffer(b"".join(group[n]), t) for n, t in FIELDS}
-    size = f["size"].astype(np.int64)
-    raw = np.frombuffer(b"".join(group["bytes"]), np.uint8)
+    unpacker = zstandard.ZstdDecompressor()
+    raw = np.frombuffer(b"".join(map(unpacker.decompress, group["bytes"])), np.uint8)
+    size = f["size"].astype(np.int64) - GRAM
     offset = np.cumsum(size) - size
+    shape = f["left"].astype(np.uint64) * np.uint64(256) + f["size"]
     # distinct windows, each with its least document
-    order = np.lexsort((f["doc"], f["print"]))
-    new = np.r_[True, f["print"][order][1:] != f["print"][order][:-1]]
+    prints = mixed(f["anchor"] + shape * ODD[7])
+    for a in range(0, len(size), 1 << 15):
+        part = slice(a, a + (1 << 15))
+        n = size[part]
+        padded = np.zeros((len(n), WIDE - GRAM), np.uint64)
+        padded[np.arange(WIDE - GRAM) < n[:, None]] = raw[offset[part][0]: offset[part][-1] + n[-1]] + np.uint64(1)
+        prints[part] += padded @ PRINT
+    order = np.lexsort((f["doc"], prints))
+    new = np.r_[True, prints[order][1:] != prints[order][:-1]]
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     head = order[new]
@@ -330,25 +348,28 @@ def resolve(group: pd.DataFrame) -> list[tuple[int, bytes]]:
     _, anchor, times = np.unique(f["anchor"][head], return_inverse=True, return_counts=True)
     several = np.flatnonzero(times[anchor] > 1)
     several = several[np.argsort(anchor[several], kind="stable")]
-    # whole anchors together, in parts of a bounded number of bytes where the anchors allow it
+    # whole anchors together, in parts of a bounded number of windows where the anchors allow it
     edges = np.r_[0, np.flatnonzero(np.diff(anchor[several])) + 1, len(several)] if len(several) else np.array([0])
     part = 0
     while part < len(edges) - 1:
-        to = max(part + 1, int(np.searchsorted(edges, edges[part] + 20_000, "right")) - 1)
+        to = max(part + 1, int(np.searchsorted(edges, edges[part] + 8_000, "right")) - 1)
         i = several[edges[part]: edges[to]]
-        rows = head[i]
-        windows = [raw[offset[r]: offset[r] + size[r]].tobytes() for r in rows]
-        least[i] = long_matches(windows, doc[i])
+        rows, n = head[i], size[head[i]]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        # bytes are 1 to 256; the anchor itself is one symbol of its own
+        text = np.insert(raw[np.repeat(offset[rows], n) + place].astype(np.int64) + 1, np.cumsum(n) - n + f["left"][rows], 257 + anchor[i] - anchor[i].min())
+        found = long_matches(text, n + 1, doc[i], SPAN - GRAM + 1)
+        least[i, : found.shape[1]] = found
         part = to
     shift, entry = np.meshgrid(np.arange(WIDE - SPAN + 1), np.arange(len(size)))
-    hit = (least[which] < f["doc"][:, None]) & (shift <= (size - SPAN)[:, None])
+    hit = (least[which] < f["doc"][:, None]) & (shift <= (size + GRAM - SPAN)[:, None])
     e, s = entry[hit], shift[hit]
     begin = f["at"][e] + s
-    return out + spans_by_key(f["key"][e], begin, begin + SPAN)
+    return out + spans_by_key(f["doc"][e], f["key"][e], begin, begin + SPAN)
 
 
 def removed_spans(docs: DataFrame, n_rows: int) -> DataFrame:
-    """(key, pieces): what to remove of the documents with that key (see ``keyed``)."""
+    """(doc_id, key, pieces): what to remove of the documents with that id and key (see ``keyed``)."""
     spark = docs.sparkSession
     buckets = 1 << max(BUCKETS.bit_length() - 1, (n_rows // ROWS_PER_BUCKET).bit_length())
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN))
@@ -357,16 +378,16 @@ def removed_spans(docs: DataFrame, n_rows: int) -> DataFrame:
 
     def run(pdfs):
         for group in grouped(pdfs, ["bucket"]):
-            yield pd.DataFrame(resolve(group), columns=["key", "spans"])
+            yield pd.DataFrame(resolve(group), columns=["doc_id", "key", "spans"])
 
-    found = route(usable, filter_, slice_bits, buckets).mapInPandas(run, "key long, spans binary")
-    return found.groupBy("key").agg(F.collect_list("spans").alias("pieces"))
+    found = route(usable, filter_, slice_bits, buckets).mapInPandas(run, "doc_id long, key int, spans binary")
+    return found.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("pieces"))
 
 
 def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and a key of both: rows with equal keys have the same id and text, so the same result."""
+    """doc_id, text and a 32-bit key of both, which tells rows of one id with different texts apart."""
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(
-        "key", F.xxhash64("doc_id", "text", F.octet_length("text")))
+        "key", F.hash("doc_id", "text"))
 
 
 def merged(pieces) -> np.ndarray:
@@ -398,7 +419,7 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 out.append((doc_id, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = docs.join(spans, "key", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "pieces")
+    joined = docs.join(spans, ["doc_id", "key"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "pieces")
     out = joined.mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -411,9 +432,9 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """
     columns = documents.columns
     docs = documents.withColumn("text", F.coalesce("text", F.lit("")))
-    docs = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text", F.octet_length("text")))
+    docs = docs.withColumn("_key", F.hash(F.col("doc_id").cast("long"), "text")).withColumn("_id", F.col("doc_id").cast("long"))
     spans = removed_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_key").alias("key")), documents.count())
-    joined = docs.join(spans.withColumnRenamed("key", "_key"), "_key", "left")
+    joined = docs.join(spans.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "pieces"), ["_id", "_key"], "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, pieces: pd.Series) -> pd.Series:
