@@ -31,7 +31,7 @@ def decode_xml(text: Column) -> Column:
         code = F.when(F.length(digits) <= 8, F.when(body.rlike("(?i)^x"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10))).cast("bigint")
 
         def written(c: Column) -> Column:
-            char = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32BE")
+            char = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
             return F.when(c.between(0, 0xD7FF) | c.between(0xE000, 0x10FFFF), F.replace(whole, entity, char)).otherwise(whole)
 
         return let(code, written)

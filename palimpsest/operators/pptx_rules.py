@@ -5,6 +5,7 @@ Evidence derived more than once (relationships, shapes) is a DataFrame of its ow
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,9 +202,8 @@ def comment_hits(parts: DataFrame) -> DataFrame:
                        location=F.concat_ws(" — ", "part", F.nullif("authors", F.lit("")))))
 
 
-@F.udf(returnType="string")
-def safe_target(value: str) -> str:
-    """A link without user, password, fragment and query values; what is no URL stays. Few rows: external links only."""
+def without_secrets(value: str) -> str:
+    """A link without user, password, fragment and query values; what is no URL stays."""
     from urllib.parse import parse_qsl, quote, urlsplit, urlunsplit
 
     from ..sources.pdf import squeeze
@@ -221,8 +221,15 @@ def safe_target(value: str) -> str:
         return squeeze(value, 220)
 
 
+def safe_target(target: Column) -> Column:
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(without_secrets)
+
+    return F.pandas_udf(run, "string")(target)
+
+
 def link_hits(rels: DataFrame) -> DataFrame:
-    e = rels.where("external").withColumns({"link": xml.link_class(F.col("type"), F.col("target")), "safe": safe_target("target")})
+    e = rels.where("external").withColumns({"link": xml.link_class(F.col("type"), F.col("target")), "safe": safe_target(F.col("target"))})
     kind = lambda k, value: in_order(F.col("link") == k, value, F.col("idx"), F.col("seq"))
     whole = e.groupBy("file_id").agg(kind("local-path", F.col("safe")).alias("local"), kind("hyperlink", F.col("safe")).alias("hyper"),
                                      kind("linked-data", F.concat(F.substring_index("type", "/", -1), F.lit(": "), "safe")).alias("data"))

@@ -1,3 +1,100 @@
-"""Queries over files that Spark builds from the given tables."""
+"""Queries over files that Spark builds from the given tables: each row becomes a PDF or a presentation and is scanned."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import evidence
+from ..sources import build
+from . import render, scan
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def built(rows: DataFrame, make, name: str) -> DataFrame:
+    """(name, content) of ``make(values...)`` over the columns after the id."""
+    columns = rows.columns
+
+    def run(pdfs):
+        for pdf in pdfs:
+            out = [(name.format(v[0]), make(*v)) for v in zip(*(pdf[c] for c in columns))]
+            yield pd.DataFrame(out, columns=["name", "content"])
+
+    return rows.mapInPandas(run, "name string, content binary")
+
+
+def as_pdf(key: int, text: str, source: str) -> bytes:
+    """Lines of the text shown, covered, invisible or pale by turns."""
+    ways = ("", "BT 3 Tr ET", "BT 0 Tr ET 1 g", "BT 0 Tr ET 0 g")
+    content = ""
+    for i, line in enumerate(text.split("\n")[:40]):
+        content += build.show(line[:200], 72, 760 - 18 * i, ways[i % 4])
+        if i % 4 == 3:
+            content += f"0 g 60 {750 - 18 * i} 500 24 re f\n"
+    return build.pdf(content, {"Author": source} if key % 3 == 0 else None, revisions=1 + key % 2)
+
+
+def as_deck(key: int, text: str, role: str) -> bytes:
+    words = text.split()
+    shapes = [build.shape("Title", " ".join(words[:8])), build.shape("Aside", " ".join(words[8:16]), x=13_000_000 if key % 2 else 0),
+              build.shape("Box", " ".join(words[16:30]), hidden=key % 3 == 0)]
+    notes = {"ppt/slides/_rels/slide1.xml.rels": build.relationships(("rId1", "notesSlide", "../notesSlides/notesSlide1.xml", False)),
+             "ppt/notesSlides/notesSlide1.xml": f"<p:notes {build.P}><a:t>{' '.join(words[:40]).replace('<', ' ').replace('&', ' ')}</a:t></p:notes>"}
+    more = {"docProps/core.xml": f"<c><dc:creator>{role}</dc:creator></c>", "ppt/media/image1.png": build.png({"Author": role})}
+    return build.pptx([build.slide(shapes, hidden=key % 5 == 0)], more | (notes if key % 4 == 0 else {}))
+
+
+def pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), as_pdf, "doc{}.pdf")
+
+
+def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), "text", "role")
+    return built(rows, as_deck, "deck{}.pptx")
+
+
+COLUMNS = ("name", "size", "high", "medium", "low", "total", "score", "verdict_code", "complete")
+
+
+@query
+def pdf_reports(spark, sf_dir):
+    return scan.reports(pdfs(spark, sf_dir)).select(*COLUMNS)
+
+
+@query
+def pptx_reports(spark, sf_dir):
+    return scan.reports(decks(spark, sf_dir)).select(*COLUMNS)
+
+
+@query
+def pdf_text_items(spark, sf_dir):
+    files = evidence.described(pdfs(spark, sf_dir))
+    return evidence.pdf_evidence(files).where("kind = 'text'").select("file_id", "stream", "seq", "text", "left", "right", "bottom", "top", "render_mode")
+
+
+@query
+def zip_entries(spark, sf_dir):
+    files = evidence.described(decks(spark, sf_dir))
+    return evidence.package_entries(files).select("file_id", "idx", "name", "packed", "unpacked", "method", "crc", "directory")
+
+
+@query
+def image_metadata(spark, sf_dir):
+    files = evidence.described(decks(spark, sf_dir))
+    rows = evidence.package_entries(files).where("fields IS NOT NULL").select("file_id", "name", F.explode("fields").alias("f"))
+    return rows.select("file_id", F.col("name").alias("part"), F.col("f.name").alias("field"), F.col("f.value").alias("value"))
+
+
+@query
+def markdown_reports(spark, sf_dir):
+    described, found, covered = scan.scan(pdfs(spark, sf_dir))
+    return render.rendered(render.full_reports(described, found, covered, "2024-01-01T00:00:00.000Z"), "markdown")
