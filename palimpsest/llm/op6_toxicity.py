@@ -21,8 +21,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc_mod
 
@@ -116,27 +118,26 @@ def fit(documents: DataFrame, labels: DataFrame, models: int = MODELS, positives
     return np.mean([np.frombuffer(r["w"], np.float32) for r in trained], axis=0, dtype=np.float64)
 
 
-def score(documents: DataFrame, w: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and the score of each row's whole text."""
+def score(documents: DataFrame, w: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
+          name: str = "score") -> DataFrame:
+    """The columns ``keep`` and, as ``name``, the score of each row's whole text."""
     spark = documents.sparkSession
     known = bool(np.any(w))
     # 2**BITS coefficients at most, most of them 0
     nonzero = np.flatnonzero(np.abs(w[:-1]) > 1e-6)
     model = spark.sparkContext.broadcast((nonzero.astype(np.int32), w[nonzero].astype(np.float32), float(w[-1])))
-    schema = documents.select(*keep).schema.simpleString()[len("struct<"):-1]
+    schema = StructType([*documents.select(*keep).schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
         at, values, bias = model.value
         table = np.zeros(1 << BITS)
         table[at] = values
-        for pdf in batches:
-            total = np.array([table[features(t)].sum() + bias for t in pdf[text_col]], dtype=float)
-            out = pdf[list(keep)].copy()
-            out["score"] = 1 / (1 + np.exp(-np.clip(total, -500, 500))) if known else np.zeros(len(pdf))
-            yield out
+        for batch in batches:
+            total = np.array([table[features(t)].sum() + bias for t in batch.column(len(keep)).to_pylist()], dtype=float)
+            scores = 1 / (1 + np.exp(-np.clip(total, -500, 500))) if known else np.zeros(len(total))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=schema.names)
 
-    columns = list(dict.fromkeys([*keep, text_col]))
-    return documents.select(*columns).mapInPandas(run, schema.replace(":", " ").replace(",", ", ") + ", score double")
+    return documents.select(*keep, F.col(text_col).alias("_scored")).mapInArrow(run, schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -149,4 +150,4 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
 def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text scores below ``threshold``, with the columns of ``documents``."""
     keep = tuple(documents.columns)
-    return score(documents, fit(documents, labels), keep).where(F.col("score") < threshold).select(*keep)
+    return score(documents, fit(documents, labels), keep, name="_toxicity").where(F.col("_toxicity") < threshold).select(*keep)
