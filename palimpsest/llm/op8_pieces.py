@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-CHUNK, MEMO = 16_384, 600_000
+CHUNK, MEMO, AT_ONCE = 65_536, 300_000, 1 << 22
 BLANK, OWN_BLANK = "▁", "\udc81"
 LOW = -(1 << 60)
 UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -39,6 +39,35 @@ def default_model() -> str:
     return "/opt/tokenizers/piece_bpe_32k.model"
 
 
+SLOT_BITS = 20
+STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def hashes(codes: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For each length up to ``longest`` the 64-bit hashes (row, start) of all substrings."""
+    one = (codes.astype(np.uint64) + np.uint64(1)) * MIX
+    one ^= one >> np.uint64(32)
+    out = [one]
+    for n in range(2, longest + 1):
+        out.append(out[-1][:, :-1] * STEP + one[:, n - 1:])
+    return out
+
+
+def slot_of(h: np.ndarray) -> np.ndarray:
+    return (h * MIX) >> np.uint64(64 - SLOT_BITS)
+
+
+_KEPT: dict[int, "Pieces"] = {}
+
+
+def kept(vocabulary) -> "Pieces":
+    """The vocabulary's Pieces, made once for each Python worker; words stay in its memo from task to task."""
+    key = hash(tuple(vocabulary[1])) ^ len(vocabulary[0])
+    if key not in _KEPT:
+        _KEPT[key] = Pieces(*vocabulary)
+    return _KEPT[key]
+
+
 class Pieces:
     """The vocabulary with best segmentations of single words, chunks and texts."""
 
@@ -53,6 +82,17 @@ class Pieces:
         self.stem: dict[str, int | None] = {p[:n]: None for p in self.piece for n in range(1, len(p))}
         self.stem |= {p: score for p, (_, score) in self.piece.items()}
         self.memo: dict[str, tuple[int, bytes]] = {}
+        # an open-addressed table of the pieces' hashes for whole batches of words
+        self.key, self.at = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+        self.ids = np.array([i for _, i, _ in pieces], np.int32)
+        self.scores = np.array([s for _, _, s in pieces], np.int64)
+        self.probes = 1
+        for k, (p, _, _) in enumerate(pieces):
+            h = hashes(np.frombuffer(p.encode("utf-32-le"), np.uint32)[None, :], len(p))[-1][0]
+            slot, h, tries = int(slot_of(h)[0]), h[0], 1
+            while self.key[slot]:
+                slot, tries = (slot + 1) % len(self.key), tries + 1
+            self.key[slot], self.at[slot], self.probes = h, k, max(self.probes, tries)
 
     @staticmethod
     def load(model: str) -> tuple[list[tuple[str, int, int]], list[int]]:
@@ -145,14 +185,90 @@ class Pieces:
                 self.memo[word] = got
         return got
 
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """The number of the piece with each hash, -1 where there is none."""
+        slot = slot_of(h).astype(np.int64)
+        key = self.key[slot]
+        found = np.where(key == h, self.at[slot], -1)
+        going = np.nonzero((key != h) & (key != 0))
+        for _ in range(self.probes - 1):
+            if not len(going[0]):
+                break
+            slot[going] = (slot[going] + 1) % len(self.key)
+            key = self.key[slot[going]]
+            hit = key == h[going]
+            found[tuple(g[hit] for g in going)] = self.at[slot[tuple(g[hit] for g in going)]]
+            left = ~hit & (key != 0)
+            going = tuple(g[left] for g in going)
+        return found
+
+    def learn_words(self, words: list[str]) -> None:
+        """Puts the best segmentations of many words into the memo, all words of a length at once."""
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        if len(self.memo) + len(words) > MEMO:
+            self.memo.clear()
+        for n, group in by_length.items():
+            if n > 64 or len(group) < 8:
+                continue  # one by one, when they come
+            codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            pieces = [self.lookup(h) for h in hashes(codes, min(n, self.longest))]
+            values = [np.where(p >= 0, self.scores[p], LOW) for p in pieces]
+            values[0] = np.where(pieces[0] >= 0, values[0], self.unknown)
+            best = np.full((n + 1, len(group)), 2 * LOW, np.int64)
+            start = np.zeros((n + 1, len(group)), np.int64)
+            best[0] = 0
+            for end in range(1, n + 1):
+                for s in range(max(0, end - len(values)), end):  # the earliest start of the best stays
+                    value = best[s] + values[end - s - 1][:, s]
+                    better = value > best[end]
+                    best[end] = np.where(better, value, best[end])
+                    start[end] = np.where(better, s, start[end])
+            end, rows, taken = np.full(len(group), n), np.arange(len(group)), []
+            while (going := end > 0).any():
+                s = start[end, rows]
+                ids = np.full(len(group), -2, np.int32)  # -1: an unknown character, -2: nothing
+                for k, p in enumerate(pieces):
+                    m = np.flatnonzero(going & (end - s == k + 1))
+                    found = p[m, s[m]]
+                    ids[m] = np.where(found >= 0, self.ids[found], -1)
+                taken.append(ids)
+                end = np.where(going, s, end)
+            table = np.stack(taken[::-1], 1)
+            whole = (table != -1).all(1)
+            count = (table >= 0).sum(1)
+            flat = table[table >= 0] if whole.all() else table[whole][table[whole] >= 0]
+            ends = np.cumsum(np.where(whole, count, 0))
+            raw, scores = flat.astype(np.int32).tobytes(), best[n].tolist()
+            for w, ok, e, c, score in zip(group, whole.tolist(), ends.tolist(), count.tolist(), scores):
+                if ok:
+                    self.memo[w] = score, raw[4 * (e - c): 4 * e]
+
     def encode(self, escaped: str) -> tuple[int, bytes]:
         """(score, ids) of a text that begins and ends with words."""
-        score, out = 0, []
-        for word in UNIT.findall(escaped):
-            s, ids = self.unit(word)
-            score += s
-            out.append(ids)
-        return score, b"".join(out)
+        return self.encode_all([escaped])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[int, bytes]]:
+        out, at = [], 0
+        while at < len(texts):
+            words, size = [], 0
+            while at + len(words) < len(texts) and (not words or size < AT_ONCE):
+                size += len(texts[at + len(words)])
+                words.append(UNIT.findall(texts[at + len(words)]))
+            memo = self.memo
+            fresh = {w for ws in words for w in ws if w not in memo}
+            if len(fresh) > 64:
+                self.learn_words(list(fresh))
+            for ws in words:
+                score, ids = 0, []
+                for w in ws:
+                    got = memo.get(w) or self.unit(w)
+                    score += got[0]
+                    ids.append(got[1])
+                out.append((score, b"".join(ids)))
+            at += len(words)
+        return out
 
     def decode(self, ids: np.ndarray, begins: bool = True) -> bytes:
         """The bytes of the ids; ``begins``: without the blank that stands before a text."""
@@ -160,9 +276,9 @@ class Pieces:
         return raw[1:] if begins else raw
 
     def middle(self, text: str, inner: int) -> tuple[int, int]:
-        """The first and the last start of a word within the chunk (-1, -1 if there is none)."""
+        """The first start of a word that no piece from before the chunk reaches, and the last one (-1, -1: none)."""
         first = last = -1
-        for m in re.finditer(f"(?<=[^{BLANK}]){BLANK}", text[: inner]):
+        for m in re.compile(f"(?<=[^{BLANK}]){BLANK}").finditer(text, self.longest, inner):
             if first < 0:
                 first = m.start()
             last = m.start()
@@ -249,31 +365,31 @@ def encode(documents: DataFrame, text_col: str = "text", model: str | None = Non
     """The columns ``keep`` (of simple types), n_bytes, pieces binary (int32 ids in order), n_pieces and score."""
     spark = documents.sparkSession
     vocabulary = spark.sparkContext.broadcast(Pieces.load(model or default_model()))  # bounded by the vocabulary
-    kept = [f"_k{i}" for i in range(len(keep))]
-    types = {k: documents.schema[c].dataType for k, c in zip(kept, keep)}
+    kept_ = [f"_k{i}" for i in range(len(keep))]
+    types = {k: documents.schema[c].dataType for k, c in zip(kept_, keep)}
     docs = rows_of(documents, text_col).select("_row", F.octet_length("_text").cast("long").alias("n_bytes"), "_text",
-                                               *[F.col(c).cast("string").alias(k) for k, c in zip(kept, keep)])
-    fields = "_row long, n_bytes long, " + ", ".join(f"{k} string" for k in kept)
-    columns = ["_row", "n_bytes", *kept]
+                                               *[F.col(c).cast("string").alias(k) for k, c in zip(kept_, keep)])
+    fields = "_row long, n_bytes long, " + ", ".join(f"{k} string" for k in kept_)
+    columns = ["_row", "n_bytes", *kept_]
 
-    def small_or_split(pdfs):
-        p = Pieces(*vocabulary.value)
+    def small(pdfs):
+        p = kept(vocabulary.value)
+        for pdf in pdfs:
+            got = p.encode_all([escape(t) for t in pdf["_text"]])
+            yield pdf[columns].assign(pieces=[ids for _, ids in got], score=[score for score, _ in got])
+
+    def split_up(pdfs):
+        p = kept(vocabulary.value)
         for pdf in pdfs:
-            out = []
             for values in zip(*(pdf[c] for c in (*columns, "_text"))):
-                escaped = escape(values[-1])
-                if len(escaped) <= chunk:
-                    score, ids = p.encode(escaped)
-                    out.append((*values[:-1], -1, 0, None, ids, score, None))
-                    continue
-                for k, text, exits in split(escaped, p.longest, chunk):
-                    m = p.matrix(text, exits)
-                    out.append((*(values[:-1] if not k else (values[0], None, *[None] * len(kept))), k, exits,
-                                text.encode("utf-8", "surrogatepass"), None, None, m.tobytes()))
-            yield pd.DataFrame(out, columns=[*columns, "chunk", "exits", "text", "pieces", "score", "matrix"]).astype({"n_bytes": "Int64", "score": "Int64"})
+                parts = list(split(escape(values[-1]), p.longest, chunk))
+                rest = (values[0], None, *[None] * len(kept_))
+                yield pd.DataFrame([(*(values[:-1] if not k else rest), k, exits, text.encode("utf-8", "surrogatepass"), p.matrix(text, exits).tobytes())
+                                    for k, text, exits in parts], columns=[*columns, "chunk", "exits", "text", "matrix"]).astype({"n_bytes": "Int64"})
 
-    first = stored(docs.mapInPandas(small_or_split, fields + ", chunk int, exits int, text binary, pieces binary, score long, matrix binary"), "pieces")
-    giant = first.where("chunk >= 0")
+    short = F.length("_text") < chunk
+    direct = docs.where(short).mapInPandas(small, fields + ", pieces binary, score long")
+    giant = stored(docs.where(~short).mapInPandas(split_up, fields + ", chunk int, exits int, text binary, matrix binary"), "pieces")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -284,7 +400,7 @@ def encode(documents: DataFrame, text_col: str = "text", model: str | None = Non
     fixed = giant.select("_row", "chunk", "matrix").groupBy("_row").applyInPandas(scan, "_row long, chunk int, entry int, leave int, total long")
 
     def back(pdfs):
-        p = Pieces(*vocabulary.value)
+        p = kept(vocabulary.value)
         for pdf in pdfs:
             ids = [p.between(bytes(t).decode("utf-8", "surrogatepass"), int(x), int(e), int(o)) for t, x, e, o in zip(pdf["text"], pdf["exits"], pdf["entry"], pdf["leave"])]
             yield pd.DataFrame({"_row": pdf["_row"], "chunk": pdf["chunk"], "total": pdf["total"], "pieces": ids})
@@ -293,10 +409,10 @@ def encode(documents: DataFrame, text_col: str = "text", model: str | None = Non
     # one document's pieces, as large as its text
     whole = traced.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("chunk", "pieces"))).alias("parts"), F.first("total").alias("score"))
     whole = whole.select("_row", F.concat(F.expr("aggregate(transform(parts, x -> x.pieces), cast('' as binary), (a, x) -> concat(a, x))")).alias("pieces"), "score")
-    long_ = giant.where("chunk = 0").drop("pieces", "score").join(whole, "_row")
+    long_ = giant.where("chunk = 0").join(whole, "_row")
     shape = ["n_bytes", "pieces", (F.octet_length("pieces") / 4).cast("long").alias("n_pieces"), "score"]
-    back_to = [F.col(k).cast(types[k]).alias(c) for k, c in zip(kept, keep)]
-    return first.where("chunk < 0").select(*back_to, *shape).unionByName(long_.select(*back_to, *shape))
+    back_to = [F.col(k).cast(types[k]).alias(c) for k, c in zip(kept_, keep)]
+    return direct.select(*back_to, *shape).unionByName(long_.select(*back_to, *shape))
 
 
 def decode(encoded: DataFrame, model: str | None = None, keep: tuple[str, ...] = ("doc_id",), column: str = "pieces") -> DataFrame:
@@ -305,7 +421,7 @@ def decode(encoded: DataFrame, model: str | None = None, keep: tuple[str, ...] =
 
     @F.pandas_udf("string")
     def text(pieces: pd.Series) -> pd.Series:
-        p = Pieces(*vocabulary.value)
+        p = kept(vocabulary.value)
         return pieces.map(lambda b: p.decode(np.frombuffer(b, np.int32)).decode("utf-8", "surrogatepass") if b is not None else None)
 
     return encoded.select(*keep, text(column).alias("text"))
@@ -318,7 +434,7 @@ def round_trip(documents: DataFrame, model: str | None = None) -> DataFrame:
 
     @F.pandas_udf("string")
     def decoded_hash(pieces: pd.Series) -> pd.Series:
-        p = Pieces(*vocabulary.value)
+        p = kept(vocabulary.value)
         return pieces.map(lambda b: hashlib.sha256(p.decode(np.frombuffer(b, np.int32))).hexdigest())
 
     return encoded.select("doc_id", "n_bytes", "n_pieces", "score", F.sha2("pieces", 256).alias("pieces_sha256"), decoded_hash("pieces").alias("decoded_sha256"))
