@@ -64,10 +64,8 @@ def structure_hits(files: DataFrame, entries: DataFrame) -> DataFrame:
     n = F.size("names")
     locked = emit(locked, hit(STEP, "pptx.package.encrypted-entry", evidence=listed(F.col("names"), 8, ", "),
                               summary=F.concat(n.cast("string"), F.lit(" internal file"), F.when(n == 1, "").otherwise("s"), F.lit(" are encrypted."))))
-    opened = e.select("file_id").distinct()
     empty = files.where("detected = 'zip'").join(entries.where("idx = -1").select("file_id"), "file_id", "left_anti")
     bare = emit(empty.join(required(entries), "file_id", "left_anti"), hit(STEP + 1, "pptx.package.signature"))
-    del opened
     return unreadable.unionByName(odd).unionByName(locked).unionByName(bare)
 
 
