@@ -181,28 +181,35 @@ class RunIndex:
     def __init__(self, text: np.ndarray, ends: np.ndarray, docs: np.ndarray, span: int):
         """text: symbols, 0 is the separator; ends: places of the separators; docs: the document at each place."""
         n = len(text)
-        wide = max(n, int(text.max())) + 2
-        rank, length, classes = text.astype(np.int64), 1, None
+        # the first sort takes as many symbols as fit in a word, each further one doubles the length
+        names = np.cumsum(np.bincount(text) > 0)
+        bits = int(names[-1]).bit_length()
+        length = min(62 // bits, span - 1)
+        both, here = np.zeros(n, np.int64), names[text]
+        for k in range(length):
+            both <<= bits
+            both[: n - k] |= here[k:]
+        classes = None
         while True:
-            if length * 2 >= span and classes is None:
-                classes = joined(rank, span - length, wide)  # two overlapping halves of the current length
-            both = joined(rank, length, wide)
-            order = np.argsort(both, kind="stable")
+            order = np.argsort(both)
             ordered = both[order]
             fresh = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
             rank = np.empty(n, np.int64)
             rank[order] = fresh
-            length *= 2
             if fresh[-1] == n - 1 or length >= n:
                 break
+            if length * 2 >= span and classes is None:
+                classes = joined(rank, span - length, n + 2)  # two overlapping pieces of the current length
+            both = joined(rank, length, n + 2)
+            length *= 2
         if classes is None:
-            classes = rank
+            classes = joined(rank, max(0, span - length), n + 2) if length < span else rank
         last = text[order - 1]  # the symbol before each suffix; the text is a circle
         self.start = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
         self.char = last[self.start]
         size = np.diff(np.r_[self.start, n])
         # LF of a run's first row: rows of smaller symbols, then earlier rows of this one
-        by_char = np.lexsort((self.start, self.char))
+        by_char = np.argsort(names[self.char].astype(np.uint16 if names[-1] < 1 << 16 else np.int64), kind="stable")
         self.step = np.empty(len(size), np.int64)
         self.step[by_char] = np.cumsum(size[by_char]) - size[by_char]
         spans = classes[order]
