@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import on_workers
 from ..operators import evidence
 from ..sources import build
 from . import render, scan
@@ -23,6 +24,7 @@ def query(f):
 def built(rows: DataFrame, make, name: str) -> DataFrame:
     """(name, content) of ``make(values...)`` over the columns after the id."""
     columns = rows.columns
+    on_workers(rows.sparkSession)
 
     def run(pdfs):
         for pdf in pdfs:

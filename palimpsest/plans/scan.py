@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import on_workers
 from ..operators import evidence, findings, pdf_rules, pptx_rules
 from ..operators.evidence import MAX_BYTES, POWERPOINT
 from ..operators.rules import emit, hit, said
@@ -39,6 +40,7 @@ def container_coverage(files: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, max_bytes: int = MAX_BYTES, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, findings, coverage) of (name, content). Findings are distinct by id and have their place in the report."""
+    on_workers(files.sparkSession)
     described = evidence.described(files, max_bytes)
     fits = described.where("NOT too_large")
     pdfs, zips = fits.where("detected = 'pdf'"), fits.where("detected = 'zip'")
