@@ -10,12 +10,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest import on_workers
+
 
 #: Rows of an Arrow batch. Whole texts travel to Python, so a batch of Spark's own default would hold tens of megabytes.
 BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (tests on one machine) a temporary folder is taken instead.
     """
+    on_workers(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
