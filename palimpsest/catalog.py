@@ -441,15 +441,15 @@ def dms_to_degrees(spark, sf_dir):
 
 
 _OVER = """greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + 20, b.y + b.h) - greatest(a.y, b.y)) / greatest(1, a.w * 20)"""
-_TEXTS = "SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS seq, l_returnflag AS text, l_quantity * 4 AS x, l_linenumber * 10.0::DOUBLE AS y, l_tax * 1000 + 5 AS w, CAST(l_linenumber % 4 AS INTEGER) AS render_mode FROM lineitem"
-_RECTS = "SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS seq, l_quantity * 4 - 40 AS x, l_linenumber * 10.0::DOUBLE - 5 AS y, l_discount * 2000 AS w, l_tax * 500 AS h FROM lineitem WHERE l_linenumber % 2 = 0"
+_TEXTS = "SELECT l_orderkey, (l_linenumber * 1000000 + l_partkey) * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS seq, l_returnflag AS text, l_quantity * 4 AS x, l_linenumber * 10.0::DOUBLE AS y, l_tax * 1000 + 5 AS w, CAST(l_linenumber % 4 AS INTEGER) AS render_mode FROM lineitem"
+_RECTS = "SELECT l_orderkey, (l_linenumber * 1000000 + l_partkey) * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS seq, l_quantity * 4 - 40 AS x, l_linenumber * 10.0::DOUBLE - 5 AS y, l_discount * 2000 AS w, l_tax * 500 AS h FROM lineitem WHERE l_linenumber % 2 = 0"
 
 
 @query(f"""WITH a AS ({_TEXTS}), b AS ({_RECTS}) SELECT l_orderkey, seq, text, round(arg_min(ratio, rect), 6) AS ratio FROM (SELECT a.l_orderkey, a.seq, a.text, b.seq AS rect, {_OVER} AS ratio FROM a JOIN b USING (l_orderkey) WHERE a.render_mode NOT IN (3, 7))
  WHERE ratio >= 0.55 GROUP BY ALL""")
 def covered_text(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    n, x, seq = F.col("l_linenumber"), F.col("l_quantity") * 4, F.col("l_linenumber") * 1000000 + F.col("l_partkey")
+    n, x, seq = F.col("l_linenumber"), F.col("l_quantity") * 4, (F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 1000000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("bigint")
     texts = line.select("l_orderkey", seq.alias("seq"), F.col("l_returnflag").alias("text"), x.alias("left"), (x + (F.col("l_tax") * 1000 + 5)).alias("right"),
                         (n * 10.0).alias("bottom"), (n * 10.0 + 20).alias("top"), (n % 4).alias("render_mode"))
     rects = line.where(n % 2 == 0).select("l_orderkey", seq.alias("seq"), (x - 40).alias("left"), (x - 40 + F.col("l_discount") * 2000).alias("right"),
