@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BLOCK, SHARD, MOST, SEED = 4, 128, 3, 17
+BLOCK, SHARD, MOST, SEED, SALTS = 4, 128, 3, 17, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -83,7 +83,9 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sources = sainte_lague(sources, ["one"], "skey", "target", "blocks")
     sources = cut(sources.select("skey", "source_size", "target", F.col("quota").alias("source_quota"),
                                  F.ceil(F.col("n_docs") / shard_rows).cast("long").alias("shards")))
-    dealt = docs.join(sources, "skey").withColumn("shard", F.pmod(F.xxhash64("draw", F.lit(1)), F.col("shards")))
+    # a source may hold a third of all rows: its row is there once for each salt
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = docs.withColumn("salt", F.pmod("draw", F.lit(SALTS).cast("long"))).join(salted, ["skey", "salt"]).withColumn("shard", F.pmod(F.xxhash64("draw", F.lit(1)), F.col("shards")))
     shards = dealt.groupBy("skey", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
     shards = sainte_lague(cut(shards), ["skey"], "shard", "shard_size", "source_quota")
     shards = cut(shards.select("skey", "shard", "shard_size",
