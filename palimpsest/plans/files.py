@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import on_workers
+from ..functions import sensitive
+from ..functions.text import SPACE
 from ..operators import evidence
 from ..sources import build
 from . import render, scan
@@ -34,25 +37,80 @@ def built(rows: DataFrame, make, name: str) -> DataFrame:
     return rows.mapInPandas(run, "name string, content binary")
 
 
+PATTERNS = {r.id: re.compile(r.pattern.replace("<b>", r"\b").replace("<s>", SPACE), re.ASCII) for r in sensitive.RULES}
+#: Rules whose matches may hold blanks: no line or shape ends within such a match.
+SPACED = [PATTERNS[k] for k in ("private-key", "bearer-token", "credential-assignment", "us-ssn", "iban", "payment-card")]
+LINE, LONGEST, LINES = 80, 300, 20  # characters of a line and of one shown text at most; lines of a content stream, within the caps of each kind
+
+
+def units(text: str) -> list[str]:
+    """The words with what a rule matches across blanks kept in one."""
+    clean = " ".join(text.split())
+    held = [m.span() for rule in SPACED for m in rule.finditer(clean)]
+    bound = {at for begin, end in held for at in range(begin, end) if clean[at] == " "}
+    out, begin = [], 0
+    for at in [i for i, c in enumerate(clean) if c == " " and i not in bound] + [len(clean)] if clean else []:
+        out.append(clean[begin:at])
+        begin = at + 1
+    return out
+
+
+def cut(unit: str) -> list[str]:
+    """The unit in pieces of ``LONGEST`` characters at most, none of which ends within a match that one piece can hold."""
+    if len(unit) <= LONGEST:
+        return [unit]
+    held = sorted(m.span() for p in PATTERNS.values() for m in p.finditer(unit) if m.end() - m.start() <= LONGEST)
+    out, begin = [], 0
+    while begin < len(unit):
+        end = min(len(unit), begin + LONGEST)
+        for first, last in reversed(held):
+            if begin < first < end < last:
+                end = first
+        out.append(unit[begin:end])
+        begin = end
+    return out
+
+
+def wrapped(line: str) -> list[str]:
+    """All of the line in pieces of about ``LINE`` characters; a unit without a break is cut only where one shown text ends."""
+    out: list[str] = []
+    for unit in units(line):
+        if out and len(out[-1]) + 1 + len(unit) <= LINE:
+            out[-1] += " " + unit
+        else:
+            out += cut(unit)
+    return out or [""]
+
+
 def as_pdf(key: int, text: str, source: str) -> bytes:
-    """Lines of the text shown, covered, invisible or pale by turns."""
+    """All lines of the text, wrapped, shown, covered, invisible or pale by turns, on as many pages as they need."""
     ways = ("", "BT 3 Tr ET", "BT 0 Tr ET 1 g", "BT 0 Tr ET 0 g")
-    content = ""
-    for i, line in enumerate(text.split("\n")[:40]):
-        content += build.show(line[:200], 72, 760 - 18 * i, ways[i % 4])
-        if i % 4 == 3:
-            content += f"0 g 60 {750 - 18 * i} 500 24 re f\n"
-    return build.pdf(content, {"Author": source} if key % 3 == 0 else None, revisions=1 + key % 2)
+    lines = [piece for line in text.split("\n") for piece in wrapped(line)]
+    pages = []
+    for begin in range(0, len(lines), LINES):
+        content = ""
+        for i, line in enumerate(lines[begin: begin + LINES]):
+            content += build.show(line, 72, 760 - 18 * i, ways[i % 4])
+            if i % 4 == 3:
+                content += f"0 g 60 {750 - 18 * i} {max(500, 24 + 6 * len(line))} 24 re f\n"
+        pages.append(content)
+    return build.pdf(pages, {"Author": source} if key % 3 == 0 else None, revisions=1 + key % 2)
 
 
 def as_deck(key: int, text: str, role: str) -> bytes:
-    words = text.split()
-    shapes = [build.shape("Title", " ".join(words[:8])), build.shape("Aside", " ".join(words[8:16]), x=13_000_000 if key % 2 else 0),
-              build.shape("Box", " ".join(words[16:30]), hidden=key % 3 == 0)]
-    notes = {"ppt/slides/_rels/slide1.xml.rels": build.relationships(("rId1", "notesSlide", "../notesSlides/notesSlide1.xml", False)),
-             "ppt/notesSlides/notesSlide1.xml": f"<p:notes {build.P}><a:t>{' '.join(words[:40]).replace('<', ' ').replace('&', ' ')}</a:t></p:notes>"}
+    """All words of the text over as many slides, and notes, as they need."""
+    words = units(text)
+    slides, notes = [], {}
+    for at in range(0, max(1, len(words)), 30):
+        title, aside, box = (" ".join(words[at + i: at + j]) for i, j in ((0, 8), (8, 16), (16, 30)))
+        slides.append(build.slide([build.shape("Title", title), build.shape("Aside", aside, x=13_000_000 if key % 2 else 0),
+                                   build.shape("Box", box, hidden=key % 3 == 0)], hidden=key % 5 == 0))
+    for n, at in enumerate(range(0, max(1, len(words)), 40), 1):
+        said = " ".join(words[at: at + 40]).replace("<", " ").replace("&", " ")
+        notes[f"ppt/slides/_rels/slide{n}.xml.rels"] = build.relationships(("rId1", "notesSlide", f"../notesSlides/notesSlide{n}.xml", False))
+        notes[f"ppt/notesSlides/notesSlide{n}.xml"] = f"<p:notes {build.P}><a:t>{said}</a:t></p:notes>"
     more = {"docProps/core.xml": f"<c><dc:creator>{role}</dc:creator></c>", "ppt/media/image1.png": build.png({"Author": role})}
-    return build.pptx([build.slide(shapes, hidden=key % 5 == 0)], more | (notes if key % 4 == 0 else {}))
+    return build.pptx(slides, more | (notes if key % 4 == 0 else {}))
 
 
 def pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,16 @@ P = 'xmlns:p="p" xmlns:a="a" xmlns:r="r"'
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
-def pdf(content: str, info: dict[str, str] | None = None, extra: str = "", filters: str = "/FlateDecode", revisions: int = 1) -> bytes:
-    """One page with one compressed content stream; ``extra`` objects and ``revisions`` end marks."""
-    stream = zlib.compress(content.encode("latin-1", "replace"))
+def pdf(content: str | list[str], info: dict[str, str] | None = None, extra: str = "", filters: str = "/FlateDecode", revisions: int = 1) -> bytes:
+    """A page with one compressed content stream for each content; ``extra`` objects and ``revisions`` end marks."""
+    streams = [zlib.compress(c.encode("latin-1", "replace")) for c in ([content] if isinstance(content, str) else content)]
+    numbers = [(3, 4)] + [(100 + 2 * i, 101 + 2 * i) for i in range(1, len(streams))]
+    kids = " ".join(f"{page} 0 R" for page, _ in numbers)
     out = [b"%PDF-1.7\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n",
-           b"2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 >>\nendobj\n3 0 obj\n<< /Type /Page /MediaBox [0 0 612 792] /Contents 4 0 R >>\nendobj\n",
-           b"4 0 obj\n<< /Length %d /Filter %s >>\nstream\n" % (len(stream), filters.encode()), stream, b"\nendstream\nendobj\n"]
+           f"2 0 obj\n<< /Type /Pages /Kids [{kids}] /Count {len(streams)} >>\nendobj\n".encode()]
+    for (page, body), stream in zip(numbers, streams):
+        out += [b"%d 0 obj\n<< /Type /Page /MediaBox [0 0 612 792] /Contents %d 0 R >>\nendobj\n" % (page, body),
+                b"%d 0 obj\n<< /Length %d /Filter %s >>\nstream\n" % (body, len(stream), filters.encode()), stream, b"\nendstream\nendobj\n"]
     if info:
         out.append(("5 0 obj\n<< " + " ".join(f"/{k} ({v})" for k, v in info.items()) + " >>\nendobj\n").encode("latin-1", "replace"))
     out.append(extra.encode("latin-1", "replace") + b"\nstartxref\n0\n" + b"%%EOF\n" * revisions)
