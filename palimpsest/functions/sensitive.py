@@ -78,13 +78,13 @@ NEEDS = {
     "npm-token": ("npm_",), "slack-token": ("xox",), "stripe-secret": ("sk_",), "sendgrid-key": ("SG.",), "jwt": ("eyJ",), "credential-assignment": (":", "="),
     "connection-string": ("://",), "internal-url": ("://",), "email-address": ("@",),
 }
-#: Rules of numbers: a pair of digits must be there.
-DIGITS = ("us-ssn", "iban", "payment-card")
+#: Rules of numbers: a pair of digits must be there; those of a card may be set apart.
+DIGITS = {"us-ssn": "[0-9][0-9]", "iban": "[0-9][0-9]", "payment-card": "[0-9][ -]?[0-9]"}
 
 
 def may_match(text: Column, rule: Rule) -> Column:
     if rule.id in DIGITS:
-        return text.rlike("[0-9][0-9]")
+        return text.rlike(DIGITS[rule.id])
     out = F.lit(rule.id not in NEEDS)
     for word in NEEDS.get(rule.id, ()):
         out = out | F.contains(text, F.lit(word))
