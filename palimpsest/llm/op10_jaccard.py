@@ -1,11 +1,11 @@
-"""N-gram Jaccard join: MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash prefixes of a fixed length (banding) with exact verification.
 
 A document is the set of its ``WORDS``-word shingles (lower-cased ``\\w+`` words, 64-bit hashes); a text of 1 to 4 words
 is the one shingle of all its words, a text without words has none and meets nothing. Documents with equal sets are
 one class of copies, represented by the smallest doc_id; only representatives are joined.
-Forest: ``TREES`` sorted lists of signatures of ``DEPTH`` MinHash values. Matching starts at whole signatures and the
-prefix is shortened as long as the recall expected at the threshold, 1 - (1 - s^m)^trees, is below ``RECALL``: every
-shorter prefix also holds the longer matches. Where sorted neighbours share that prefix they form a bucket.
+Banding in place of a forest: of ``TREES`` signatures of at most ``DEPTH`` MinHash values only a prefix is made. Its
+length is fixed beforehand: the longest whose expected recall at the threshold, 1 - (1 - s^m)^trees, is ``RECALL`` or
+more; it is not adapted to the matches of the data. Documents that share a prefix form a bucket.
 Equal buckets of several trees are one bucket. A bucket of any size is dealt over cells of two bounded blocks; a cell
 compares its documents by one matrix product of shingle counts and keeps pairs whose exact Jaccard is ``SIMILARITY``
 or more. A pair that meets in several buckets counts in the least of their numbers. Cells return links per document and a
@@ -106,13 +106,15 @@ def sketch(documents: DataFrame, depth: int) -> DataFrame:
     return ids.mapInPandas(run, "row long, doc_id string, a long, b long, n int, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def compare(cell: pd.DataFrame, bucket: int, similarity: float) -> pd.DataFrame:
-    """Links and spanning forest of one cell; rows carry side (0: first block, 1: second), copies and keys."""
+def compare(cell: pd.DataFrame, bucket: int, similarity: float, within: bool) -> pd.DataFrame:
+    """Links and spanning forest of one cell; rows carry side (0: first block, 1: second), copies and keys.
+
+    ``within``: the cell is one block against itself; else a block may be empty, and then nothing meets.
+    """
     sets = [np.frombuffer(b, np.uint64) for b in cell["shingles"]]
     sides, copies, ids = cell["side"].to_numpy(), cell["copies"].to_numpy(), cell["rep"].to_numpy()
     keys = np.stack(cell["keys"])
     one, two = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    within = not len(two)
     if within:
         two = one
     size = np.array([len(s) for s in sets])
@@ -209,8 +211,9 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for cell in grouped(batches, ["bucket", "i", "j"]):
-            if len(cell) > 1:
-                yield compare(cell, int(cell["bucket"].iloc[0]), similarity)
+            within = bool(cell["i"].iloc[0] == cell["j"].iloc[0])
+            if len(cell) > 1 and (within or cell["side"].nunique() == 2):
+                yield compare(cell, int(cell["bucket"].iloc[0]), similarity, within)
 
     found = stored(cells.mapInPandas(run, "rep long, links long, to long"), "jaccard-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
