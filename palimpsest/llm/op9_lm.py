@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, stored
 
-ORDERS, BITS, GATES, STRIDE, RATE, BINS, FREQUENT, SLOTS = (2, 3, 4), 18, 8, 512, 0.004, 24, 1 << 17, 4096
-END, BATCH, PRIOR = 256, 1 << 18, 24.0
+ORDERS, BITS, GATES, STRIDE, RATE, BINS, FREQUENT, SLOTS = (2, 3, 4), 18, 8, 16, 0.004, 24, 1 << 17, 4096
+END, BATCH, MIX_BATCH, PRIOR = 256, 1 << 18, 1 << 22, 24.0
 WORDS_AT_ONCE = 200_000
 
 
@@ -151,23 +151,29 @@ def logits(counts: np.ndarray) -> np.ndarray:
 def mix_scores(texts: list[bytes], code: Code, table: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
     out = np.zeros(len(texts))
-    for ids in grouped_by_bytes(texts):
-        out[ids] = _mix([texts[i] for i in ids], code, table)
+    # the longest first: a step works on the documents that still go on, and those of like length share their steps
+    order = np.argsort([-len(t) for t in texts], kind="stable")
+    texts = [texts[i] for i in order]
+    for ids in grouped_by_bytes(texts, MIX_BATCH):
+        out[order[ids]] = _mix([texts[i] for i in ids], code, table)
     return out
 
 
 def _mix(texts: list[bytes], code: Code, table: np.ndarray) -> np.ndarray:
+    """The same for texts of falling length."""
     symbols, starts = stream(texts)
     hashes = contexts(symbols)
     size = np.array([len(t) + 1 for t in texts])
     k, n = len(hashes), len(texts)
-    weights = np.full((k, n * GATES), 1.25 / k, np.float32)
+    all_weights = np.full((k, n * GATES), 1.25 / k, np.float32)
     bins = np.linspace(-8, 8, BINS)
     seen = np.stack([PRIOR / (1 + np.exp(bins)), PRIOR / (1 + np.exp(-bins))], 1)
-    seen = np.tile(seen.ravel(), n)
+    all_seen = np.tile(seen.ravel(), n)
     total = np.zeros(n)
     for begin in range(0, int(size.max()), STRIDE):
         docs = np.flatnonzero(size > begin)
+        m = len(docs)  # these are the first ones
+        weights, seen = all_weights[:, : m * GATES], all_seen[: m * BINS * 2]
         length = np.minimum(size[docs] - begin, STRIDE)
         first = np.cumsum(length) - length
         at = np.repeat(starts[docs] + begin - first, length)
@@ -198,10 +204,10 @@ def _mix(texts: list[bytes], code: Code, table: np.ndarray) -> np.ndarray:
         one -= p
         one *= RATE
         for j in range(k):
-            weights[j] += np.bincount(gate, one * inputs[j], n * GATES).astype(np.float32)
+            weights[j] += np.bincount(gate, one * inputs[j], m * GATES).astype(np.float32)
         place += place
         place += bit
-        seen += np.bincount(place, minlength=n * BINS * 2)
+        seen += np.bincount(place, minlength=m * BINS * 2)
     return total / np.log(10)
 
 
