@@ -1,11 +1,12 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template matches a block that holds at least ``THRESHOLD`` of the template's distinct words.
+A block is a line, or a window of words anywhere in the text, whatever its line breaks: as long as the template's notice
+and ``SLACK`` of that more. A template matches a block that holds at least ``THRESHOLD`` of the template's distinct words.
 The join is exact: the template words are ordered by how many blocks of the whole corpus hold them (rarest first);
 a template of n words needing ``need`` of them must share one of its first n - need + 1 words with the block's first
 (words shared with the vocabulary) - need + 1 ones (prefix filter); a block needs at least ``need`` vocabulary words
 (length filter); at the first shared word, what is left on either side must still reach ``need`` (positional
-filter). Survivors are verified on the whole word sets. Only DataFrame functions are used; the collected word counts
+filter). A window that matches holds one of the same first words, so windows are only laid around those. Survivors are verified on the whole word sets. Only DataFrame functions are used; the collected word counts
 are bounded by the templates' vocabulary, not by the corpus.
 
 Cases: a null text counts as empty, with 0 words, no labels and score 0; null or repeated doc_ids stay separate rows;
@@ -16,6 +17,7 @@ outside A-Z it only maps word characters to word characters, so no count, place
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,9 @@ TEMPLATES = [
 ]
 
 THRESHOLD = 0.9
+#: How much longer than its notice a template's windows are, for inserted words.
+SLACK = 0.1
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -53,9 +58,12 @@ def flat(text: Column) -> Column:
 
 
 def template_words(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
-    import re
+    return [(label, sorted(set(re.findall(WORD, notice.lower())))) for label, notice in templates]
 
-    return [(label, sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", notice.lower())))) for label, notice in templates]
+
+def window_sizes(templates=TEMPLATES) -> list[int]:
+    """The words of each template's windows."""
+    return [math.ceil(len(re.findall(WORD, notice.lower())) * (1 + SLACK)) for _, notice in templates]
 
 
 def words_in(text: Column, sub: Column) -> Column:
@@ -87,6 +95,14 @@ def phrase_places(padded: Column, phrases=PHRASES) -> dict[str, Column]:
     }
 
 
+def surroundings(words: Column, heads: list[str], longest: int) -> Column:
+    """array<struct<word, before, around>>: each head with up to ``longest`` - 1 words on either side, ``before`` of them before it."""
+    one = F.transform(words, lambda w, i: F.when(F.array_contains(F.lit(heads), w), F.struct(
+        w.alias("word"), F.least(i, F.lit(longest - 1)).alias("before"),
+        F.slice(words, F.greatest(F.lit(1), i - longest + 2), F.least(i, F.lit(longest - 1)) + longest).alias("around"))))
+    return F.when(F.arrays_overlap(words, F.lit(heads)), F.array_compact(one))
+
+
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES,
          threshold: float = THRESHOLD, phrases=PHRASES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row."""
@@ -105,13 +121,13 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     place = {w: i for i, w in enumerate(order)}
 
     plans = []
-    for label, words in sets:
+    for (label, words), size in zip(sets, window_sizes(templates)):
         ordered = sorted(words, key=place.get)
         need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
-        plans += [(label, ordered, need, w, i) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
-    heads = sorted({p[3] for p in plans})
+        plans += [(label, ordered, need, size, w, i) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
+    heads = sorted({p[4] for p in plans})
     # the templates' prefixes: fixed by TEMPLATES, a few hundred rows at most
-    prefixes = spark.createDataFrame(plans, "label string, template array<string>, need int, word string, t_place int")
+    prefixes = spark.createDataFrame(plans, "label string, template array<string>, need int, length int, word string, t_place int")
 
     padded = F.concat(F.lit(" "), F.col("flat"), F.lit(" "))
     base = rows.select("doc_id", "text", flat(F.col("text")).alias("flat")).select(
@@ -119,7 +135,8 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         F.when(F.col("flat") == "", 0).otherwise(words_in(F.col("flat"), F.lit(" ")) + 1).cast("long").alias("n_words"),
         *[c.alias(k) for k, c in phrase_places(padded, phrases).items()],
         F.filter(F.split("text", "\n"), lambda b: F.arrays_overlap(tokens(b), F.lit(heads))).alias("blocks"),
-    ).withColumn("row", F.monotonically_increasing_id())
+        F.split("flat", " ").alias("all_words"),
+    ).withColumn("surroundings", surroundings(F.col("all_words"), heads, max(window_sizes(templates)))).drop("all_words").withColumn("row", F.monotonically_increasing_id())
     base = cut(base)
 
     blocks = base.select("row", F.explode("blocks").alias("block")).select(
@@ -130,11 +147,22 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         & (F.col("b_place") <= F.size("words") - F.col("need"))
         & (F.least(F.size("words") - F.col("b_place"), F.size("template") - F.col("t_place")) >= F.col("need")))
     shared = F.size(F.array_intersect("words", "template"))
-    found = met.where(shared >= F.col("need")).groupBy("row").agg(
-        F.collect_set("label").alias("more"), F.max(shared / F.size("template")).alias("best"))
+    in_lines = met.where(shared >= F.col("need")).select("row", "label", (shared / F.size("template")).alias("part"))
+
+    # of the words around a head those that a window of the template's length with this head can hold
+    near = base.select("row", F.explode("surroundings").alias("s")).select("row", "s.word", "s.before", "s.around").join(F.broadcast(prefixes), "word")
+    begin = F.greatest(F.lit(0), F.col("before") - F.col("length") + 1)
+    near = near.select("row", "label", "template", "need", "length", F.slice(
+        "around", begin + 1, F.col("before") - begin + F.col("length")).alias("around")).where(
+        F.size(F.array_intersect("around", "template")) >= F.col("need"))
+    most = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("around") - F.col("length") + 1)), lambda i: F.size(
+        F.array_intersect(F.slice("around", i, F.col("length")), F.col("template")))))
+    in_windows = near.select("row", "label", "need", "template", most.alias("most")).where(F.col("most") >= F.col("need")).select(
+        "row", "label", (F.col("most") / F.size("template")).alias("part"))
+    found = in_lines.unionByName(in_windows).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("part").alias("best"))
 
     labels = F.array_sort(F.array_union("base_list", F.coalesce(F.col("more"), F.array().cast("array<string>"))))
-    return base.drop("blocks").join(found, "row", "left").select(
+    return base.drop("blocks", "surroundings").join(found, "row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.concat_ws(",", "base_list").alias("base_labels"), F.concat_ws(",", labels).alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.col("best"), F.lit(0.0))).alias("score"))
