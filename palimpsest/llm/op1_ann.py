@@ -1,28 +1,40 @@
 """Approximate nearest neighbours: multiprobe p-stable hashing with exact reranking.
 
-Each table has ``m`` hash functions floor((a.x + b) / w), a Gaussian (2-stable), b uniform in [0, w). A query visits
-its own bucket and then perturbed ones in the order of their estimated success: moving coordinate i by -1 or +1 costs
-the squared distance from the query's projection to that slot's border, a perturbation set costs the sum over its
-coordinates. The sets are made in increasing cost by shifting and expanding a heap over the sorted single costs.
-Candidates of all tables are merged before the exact distance, in double precision on the original vectors, ranks them.
-
-Cases: fewer than ``k`` candidates give fewer rows; equal vectors have distance 0 and rank by id; null, zero and
-non-finite vectors take no part; an empty table gives no rows; further columns are ignored. Buckets have no cap: a
-bucket holds at most its cell's rows. The slot width is fitted in each cell from a bounded sample of its own rows
-(``SAMPLE`` vectors). A query whose tables give fewer than ``k`` candidates within a cell is compared with the
-whole cell, so a small cell never loses neighbours.
+Each of ``TABLES`` tables has ``HASHES`` functions floor((a.x + b) / w), a Gaussian (2-stable), b uniform in [0, w). A row's
+bucket is the tuple of all its slots. The shuffle goes by the bucket's cell, its first slots in steps of ``COARSE``, as many
+of them as keep about ``CELL_ROWS`` rows in a cell; cells beyond that are dealt over blocks.
+Queries visit perturbed buckets in the order of their estimated success. Moving a coordinate costs the squared distance
+from the query's projection to the border that is crossed, a bucket the sum over its coordinates. Cells come first: the
+perturbation sets of the coarse slots are made in increasing cost by shifting and expanding a heap, and each query goes to
+its own cell and the first ``probes`` of them. Within a cell the buckets that exist are visited in the same order, up to the cost
+``reach`` at which a table has given its share of rows. Candidates of all tables are merged; the exact distance, in double
+precision on the original vectors, ranks them.
+
+``w`` and ``reach`` are fitted for each vector length on a bounded sample (``SAMPLE`` distinct vectors, lowest print first);
+lengths without a sample visit all buckets of their cells. All rows are indexed, no bucket is capped. A query whose tables give fewer
+than ``k`` + 1 rows is compared with all rows, in blocks.
+
+Cases: fewer than ``k`` candidates give fewer rows; equal vectors have distance 0 and rank by id; rows that repeat an id
+are rows and queries of their own; null, zero and non-finite vectors take no part; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .vectors import grid_search, keep_best, usable
+from .common import parts_for, stored
+from .vectors import distinct, finish, grid, in_cells, matrix, search_cells, usable
 
-TABLES, HASHES, PROBES, WIDTH, SAMPLE, SEED = 10, 10, 60, 5.3, 256, 20240607
+TABLES, HASHES, WIDTH, COARSE, SEED = 10, 40, 1.0, 3.0, 20240607
+SHARE, LEAST, SAMPLE = 0.01, 48, 1024
+CELL_ROWS, PROBES = 2048, 256
 
 
 def probe_sets(n: int, probes: int) -> np.ndarray:
@@ -49,60 +61,158 @@ def probe_sets(n: int, probes: int) -> np.ndarray:
     return flags
 
 
-def multiprobe(qi, q, ri, r, k, tables=TABLES, hashes=HASHES, probes=PROBES, width=WIDTH, seed=SEED):
-    rng = np.random.default_rng(seed)
-    some = r[rng.permutation(len(r))[:SAMPLE]]
-    spread = float(np.sqrt(np.mean((some - some.mean(0)) ** 2))) or float(np.abs(some).max()) or 1.0
-    w = width * spread * np.sqrt(r.shape[1]) / 2
-    sets = probe_sets(hashes, probes)
-    pairs = []
-    multiply = rng.integers(1, 2**62, hashes, dtype=np.int64) | 1
-    scale = 1.0 / w
-    for _ in range(tables):
-        a = rng.standard_normal((r.shape[1], hashes)) * scale
-        b = rng.random(hashes)
-        with np.errstate(over="ignore", invalid="ignore"):
-            slots = np.floor(r @ a + b)
-            place = q @ a + b
-        base = np.floor(place)
-        limit = 2.0**52
-        keys = (np.clip(slots, -limit, limit).astype(np.int64) * multiply).sum(1)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        down = place - base
-        single = np.concatenate([down, 1 - down], 1) ** 2
-        rank = np.argsort(single, 1, kind="stable")
-        step = np.concatenate([-np.ones(hashes, np.int64), np.ones(hashes, np.int64)])
-        add = (step * np.r_[multiply, multiply])[rank]
-        coord = rank % hashes
-        own = (np.clip(base, -limit, limit).astype(np.int64) * multiply).sum(1)
-        wanted = [own]
-        for flags in sets:
-            wanted.append(own + add[:, flags].sum(1))
-            held = coord[:, flags]
-            if held.shape[1] > 1:  # both directions of one coordinate: not a bucket, look at the query's own again
-                held = np.sort(held, 1)
-                wanted[-1] = np.where((held[:, 1:] == held[:, :-1]).any(1), own, wanted[-1])
-        wanted = np.stack(wanted, 1).ravel()
-        lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-        n = hi - lo
-        which = np.repeat(np.arange(len(wanted)) // (len(sets) + 1), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        pairs.append(np.unique(which * len(r) + order[at]))
-    pairs = np.unique(np.concatenate(pairs))
-    few = np.bincount(pairs // len(r), minlength=len(q)) <= k
-    if few.any():
-        extra = (np.flatnonzero(few)[:, None] * len(r) + np.arange(len(r))).ravel()
-        pairs = np.unique(np.concatenate([pairs, extra]))
-    a, b = pairs // len(r), pairs % len(r)
-    a, b = a[qi[a] != ri[b]], b[qi[a] != ri[b]]
-    score = np.empty(len(a))
-    for i in range(0, len(a), 1 << 16):
-        s = slice(i, i + (1 << 16))
-        score[s] = np.sqrt(((q[a[s]] - r[b[s]]) ** 2).sum(1))
-    return keep_best(a, b, score, ri, k, True)
+def functions(dim: int, table: int, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a / w, b / w) of a table."""
+    rng = np.random.default_rng([SEED, dim, table])
+    return rng.standard_normal((dim, HASHES)) / width, rng.random(HASHES)
+
+
+def costs(place: np.ndarray, slots: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cost) of all pairs whose bucket costs no more than ``most``; coordinates one by one, most pairs drop out early."""
+    total = np.zeros((len(place), len(slots)), np.float32)
+    q = r = None
+    for d in range(place.shape[1]):
+        if q is None:
+            gap = slots[None, :, d] - place[:, d, None]
+        else:
+            gap = slots[r, d] - place[q, d]
+        np.maximum(gap, -1 - gap, out=gap)
+        np.maximum(gap, 0, out=gap)
+        gap *= gap
+        total += gap
+        if d % 8 == 7 and np.isfinite(most):
+            if q is None:
+                q, r = np.nonzero(total <= most)
+                total = total[q, r]
+            else:
+                keep = total <= most
+                q, r, total = q[keep], r[keep], total[keep]
+    if q is None:
+        q, r = np.nonzero(total <= most)
+        return q, r, total[q, r]
+    keep = total <= most
+    return q[keep], r[keep], total[keep]
+
+
+def fit(sample: np.ndarray, rows: int) -> tuple[float, float]:
+    """(w, reach) for vectors of one length: slots of WIDTH deviations, and the cost within which a table finds its share."""
+    spread = float(np.sqrt(((sample - sample.mean(0)) ** 2).sum(1).mean())) or float(np.abs(sample).max())
+    width = WIDTH * spread
+    share = min(1.0, max(SHARE, LEAST / max(1, rows)))
+    if share >= 1 or len(sample) < 8:
+        return width, np.inf
+    found = []
+    for t in range(2):
+        a, b = functions(sample.shape[1], t, width)
+        place = (sample @ a + b).astype(np.float32)
+        q, r, cost = costs(place[:256], np.floor(place))
+        found.append(cost[q != r])
+    return width, float(np.quantile(np.concatenate(found), share))
+
+
+def coarse_slots(rows: int) -> int:
+    """How many coarse slots make cells of about CELL_ROWS rows, two cells and a bit for each slot."""
+    return int(np.clip(round(math.log(max(1, rows) / CELL_ROWS) / math.log(2.2)), 1, 16))
+
+
+def cell_key(slots: np.ndarray) -> np.ndarray:
+    odd = np.random.default_rng(SEED).integers(1, 2**62, slots.shape[1], dtype=np.int64) | 1
+    with np.errstate(over="ignore"):
+        return (np.clip(slots, -(2.0**52), 2.0**52).astype(np.int64) * odd).sum(1)
+
+
+def probed(place: np.ndarray, probes: int) -> np.ndarray:
+    """(query, own cell and the first perturbed ones) keys for coarse projections; a set that moves a coordinate both ways repeats the own one."""
+    n = place.shape[1]
+    base = np.floor(place)
+    down = place - base
+    single = np.concatenate([down, 1 - down], 1) ** 2
+    rank = np.argsort(single, 1, kind="stable")
+    step = np.concatenate([-np.ones(n), np.ones(n)])
+    coordinate, move = rank % n, step[rank]
+    out = [cell_key(base)]
+    for flags in probe_sets(n, probes):
+        moved = base.copy()
+        for s in np.flatnonzero(flags):
+            moved[np.arange(len(base)), coordinate[:, s]] += move[:, s]
+        out.append(cell_key(moved))
+    return np.stack(out, 1)
+
+
+def hashed(groups: DataFrame, fits: dict[int, tuple[float, float]], slots: int, probes: int, queries: bool) -> DataFrame:
+    """The groups in their cells (t, cell), or the query groups in the cells that they visit."""
+
+    def run(pdfs):
+        for pdf in pdfs:
+            for dim, part in pdf.groupby("dim"):
+                x = matrix(part["vec"])
+                width = fits.get(dim, (1.0, np.inf))[0]
+                for t in range(TABLES):
+                    a, b = functions(dim, t, width)
+                    place = (x @ a[:, :slots] + b[:slots]) / COARSE
+                    keys = probed(place, probes) if queries else cell_key(np.floor(place))[:, None]
+                    at = np.repeat(np.arange(len(part)), keys.shape[1])
+                    out = part.iloc[at].assign(t=t, cell=keys.ravel())
+                    yield (out.drop_duplicates(["a", "b", "cell"]) if queries else out)[["t", "cell", "dim", "a", "b", "least", "vec"]]
+
+    rows = (groups.where("asks") if queries else groups).select("dim", "a", "b", "least", "vec")
+    return rows.mapInPandas(run, "t int, cell long, dim int, a long, b long, least long, vec binary")
+
+
+def visit(t: int, dim: int, fits: dict[int, tuple[float, float]]):
+    """The kernel of a cell of table ``t``: exact distances of the rows whose buckets the queries visit."""
+    width, reach = fits.get(dim, (1.0, np.inf))
+    a, b = functions(dim, t, width)
+
+    def kernel(q: np.ndarray, r: np.ndarray):
+        slots = np.floor(r @ a + b).astype(np.float32)
+        place = (q @ a + b).astype(np.float32)
+        step = max(1, (1 << 20) // len(r))
+        pairs = [(i + x, y) for i in range(0, len(q), step) for x, y, _ in [costs(place[i: i + step], slots, reach)]]
+        at, row = (np.concatenate(x) for x in zip(*pairs))
+        return at, row, distances(q, r, at, row), np.bincount(at, minlength=len(q))
+
+    return kernel
+
+
+def distances(q: np.ndarray, r: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    score = np.empty(len(at))
+    for i in range(0, len(at), 1 << 15):
+        s = slice(i, i + (1 << 15))
+        score[s] = np.sqrt(((q[at[s]] - r[row[s]]) ** 2).sum(1))
+    return score
+
+
+def all_pairs(q: np.ndarray, r: np.ndarray):
+    at, row = np.divmod(np.arange(len(q) * len(r)), len(r))
+    return at, row, distances(q, r, at, row), np.full(len(q), len(r))
+
+
+def candidates(groups: DataFrame, k: int) -> DataFrame:
+    """The tables' lists; ``scored`` is how many rows a query met in that cell."""
+    spark = groups.sparkSession
+    n = groups.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.col("n").desc()).limit(64).collect()  # the commonest lengths
+    fits = {}
+    for row in n:
+        some = groups.where(F.col("dim") == row["dim"]).orderBy("a", "b").limit(SAMPLE).toPandas()  # SAMPLE rows
+        fits[row["dim"]] = fit(matrix(some["vec"]), row["n"])
+    n_rows = groups.count()
+    slots = coarse_slots(n_rows)
+    probes = min(PROBES, math.ceil(0.6 * 3**slots))
+    rows, asked = hashed(groups, fits, slots, probes, False), hashed(groups, fits, slots, probes, True)
+    key = ["t", "dim", "cell"]
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n_rows")).join(asked.groupBy(*key).agg(F.count("*").alias("n_asked")), key)
+    sizes = stored(sizes, "ann-cells").select(*key, "n_rows", "n_asked")
+    cells = in_cells(rows.join(sizes, key), asked.join(sizes, key), key, F.col("n_rows"), F.col("n_asked"), 2 * CELL_ROWS, CELL_ROWS)
+    return search_cells(cells, key, lambda v: visit(int(v[0]), int(v[1]), fits), k, True, "double", parts_for(n_rows * TABLES, 2 * CELL_ROWS))
 
 
 def nearest(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest rows found, by Euclidean distance."""
-    return grid_search(usable(embeddings, id_col, vec_col, True), every, k, multiprobe, "double", True)
+    groups, asked = distinct(usable(embeddings, id_col, vec_col, True), every, k)
+    lists = stored(candidates(groups, k), "ann-lists")
+    met = lists.select("qa", "qb", "a", "b").distinct().join(groups.select("a", "b", F.size("ids").alias("n")), ["a", "b"])
+    enough = met.groupBy(F.col("qa").alias("a"), F.col("qb").alias("b")).agg(F.sum("n").alias("n")).where(F.col("n") > k)
+    few = groups.where("asks").join(enough, ["a", "b"], "left_anti")
+    more = grid(groups, few, lambda _: all_pairs, k, True, "double")
+    return finish(lists.unionByName(more), groups, asked, k, True)

@@ -63,6 +63,47 @@ def test_empty_and_single(spark):
         assert f(empty).count() == 0 and f(one).count() == 0
 
 
+def test_rows_that_repeat_an_id_stay_apart(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 0, "x", 1, 2) for i, v in rows], SCHEMA)
+    for f, k, score, ascending in ((op1_ann.nearest, 10, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())), True),
+                                   (op2_topk.topk, 5, lambda a, b: int(np.floor(256 * a).astype(int) @ np.floor(256 * b).astype(int)), False)):
+        single = [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
+        want = []
+        for n, (q, x) in enumerate(single):
+            if q == 100:
+                others = [(score(x, y), i) for m, (i, y) in enumerate(single) if m != n]
+                want += [(rank, i, s) for rank, (s, i) in enumerate(sorted(others, key=lambda p: (p[0] if ascending else -p[0], p[1]))[:k], 1)]
+        assert sorted((r["rank"], r["vec_id"], pytest.approx(r["score"])) for r in f(df).collect()) == sorted(want)
+
+
+def test_large_components_are_exact_or_raise(spark):
+    def table(*xs):
+        return spark.createDataFrame([(50 * i, [x, 1.0]) for i, x in enumerate(xs)], "vec_id long, embedding array<double>")
+
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in op2_topk.topk(table(600000.0, 700000.0, 3.0)).collect()}
+    assert got[0, 50] == 153600000 * 179200000 + 65536 and got[0, 100] == 153600000 * 768 + 65536
+    with pytest.raises(Exception, match="64 bits"):
+        op2_topk.topk(table(1e12, 1e12)).collect()
+
+
+def test_a_tenth_of_the_pairs_is_scored():
+    """On vectors without clusters, the hardest case, at the size from which a table's share is SHARE."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    q = x[:60]
+    fitted = {64: op1_ann.fit(x[:1024], len(x))}
+    seen = np.zeros((len(q), len(x)), bool)
+    for t in range(op1_ann.TABLES):
+        at, row, _, scored = op1_ann.visit(t, 64, fitted)(q, x)
+        assert np.array_equal(scored, np.bincount(at, minlength=len(q)))
+        seen[at, row] = True
+    far = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    far[np.arange(60), np.arange(60)] = 9
+    assert seen.mean() <= 0.11 and np.take_along_axis(seen, np.argsort(far, 1)[:, :10], 1).mean() >= 0.9
+
+
 def test_probes_come_in_order_of_cost():
     sets = op1_ann.probe_sets(6, 40)
     assert len({tuple(s) for s in sets}) == 40 and sets[0].tolist() == [True] + [False] * 11
