@@ -6,7 +6,9 @@ The join is exact: the template words are ordered by how many blocks of the whol
 a template of n words needing ``need`` of them must share one of its first n - need + 1 words with the block's first
 (words shared with the vocabulary) - need + 1 ones (prefix filter); a block needs at least ``need`` vocabulary words
 (length filter); at the first shared word, what is left on either side must still reach ``need`` (positional
-filter). A window that matches holds one of the same first words, so windows are only laid around those. Survivors are verified on the whole word sets. Only DataFrame functions are used; the collected word counts
+filter). A window that matches holds one of the same first words, so windows are only laid around those. Survivors are verified on the
+whole word sets, and there the words that tell licenses apart count: those that a template must have and those that it must not
+(GPL 2 is not GPL 3, and no NonCommercial notice is CC BY). Only DataFrame functions are used; the collected word counts
 are bounded by the templates' vocabulary, not by the corpus.
 
 Cases: a null text counts as empty, with 0 words, no labels and score 0; null or repeated doc_ids stay separate rows;
@@ -31,18 +33,36 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Public license notices, as (label, notice).
+CC = "This work is licensed under a Creative Commons Attribution"
+GNU = "as published by the Free Software Foundation"
+GPL = f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License {GNU}, either version"
+
+#: Public license notices, as (label, notice, words that must be there, words that must not).
 TEMPLATES = [
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache org licenses LICENSE-2.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mit", "Released under the MIT License.", "", ""),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "charge", ""),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "fee", ""),
+    ("apache-2", "Licensed under the Apache License, Version 2.0.", "", ""),
+    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache org licenses LICENSE-2.0", "apache 2", ""),
+    ("cc-by", "Licensed under CC BY 4.0.", "", "nc nd sa"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", "", "nd sa"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0.", "", "nc"),
+    ("cc-by", f"{CC} 4.0 International License", "attribution", "noncommercial noderivatives noderivs sharealike"),
+    ("cc-by-nc", f"{CC}-NonCommercial License", "noncommercial", "noderivatives noderivs sharealike"),
+    ("cc-by-nc-nd", f"{CC}-NonCommercial-NoDerivatives 4.0 International License", "noncommercial noderivatives", ""),
+    ("cc-by-nc-sa", f"{CC}-NonCommercial-ShareAlike 4.0 International License", "noncommercial sharealike", ""),
+    ("cc-by-nd", f"{CC}-NoDerivatives 4.0 International License", "noderivatives", "noncommercial"),
+    ("cc-by-sa", f"{CC}-ShareAlike 4.0 International License", "sharealike", "noncommercial"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "waived", ""),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3.", "gnu 3", "affero lesser"),
+    ("gpl-2", "This work is licensed under the GNU General Public License, version 2.", "gnu 2", "affero lesser"),
+    ("gpl-3", f"{GPL} 3 of the License", "gnu 3", "affero lesser"),
+    ("gpl-2", f"{GPL} 2 of the License", "gnu 2", "affero lesser"),
+    ("lgpl", f"under the terms of the GNU Lesser General Public License {GNU}", "lesser", ""),
+    ("agpl-3", f"under the terms of the GNU Affero General Public License {GNU}, either version 3 of the License", "affero 3", ""),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2", ""),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution", ""),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered", ""),
 ]
 
 THRESHOLD = 0.9
@@ -57,13 +77,14 @@ def flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), BREAKS, " "))
 
 
-def template_words(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
-    return [(label, sorted(set(re.findall(WORD, notice.lower())))) for label, notice in templates]
+def template_words(templates=TEMPLATES) -> list[tuple[str, list[str], list[str], list[str]]]:
+    """(label, distinct words, words that must be there, words that must not) of each template."""
+    return [(label, sorted(set(re.findall(WORD, notice.lower()))), must.split(), never.split()) for label, notice, must, never in templates]
 
 
 def window_sizes(templates=TEMPLATES) -> list[int]:
     """The words of each template's windows."""
-    return [math.ceil(len(re.findall(WORD, notice.lower())) * (1 + SLACK)) for _, notice in templates]
+    return [math.ceil(len(re.findall(WORD, t[1].lower())) * (1 + SLACK)) for t in templates]
 
 
 def words_in(text: Column, sub: Column) -> Column:
@@ -108,7 +129,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row."""
     spark = documents.sparkSession
     sets = template_words(templates)
-    vocabulary = sorted({w for _, words in sets for w in words})
+    vocabulary = sorted({w for _, *lists in sets for words in lists for w in words})
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def tokens(block: Column) -> Column:
@@ -121,13 +142,13 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     place = {w: i for i, w in enumerate(order)}
 
     plans = []
-    for (label, words), size in zip(sets, window_sizes(templates)):
+    for (label, words, must, never), size in zip(sets, window_sizes(templates)):
         ordered = sorted(words, key=place.get)
         need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
-        plans += [(label, ordered, need, size, w, i) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
-    heads = sorted({p[4] for p in plans})
+        plans += [(label, ordered, need, size, must, never, w, i) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
+    heads = sorted({p[6] for p in plans})
     # the templates' prefixes: fixed by TEMPLATES, a few hundred rows at most
-    prefixes = spark.createDataFrame(plans, "label string, template array<string>, need int, length int, word string, t_place int")
+    prefixes = spark.createDataFrame(plans, "label string, template array<string>, need int, length int, must array<string>, never array<string>, word string, t_place int")
 
     padded = F.concat(F.lit(" "), F.col("flat"), F.lit(" "))
     base = rows.select("doc_id", "text", flat(F.col("text")).alias("flat")).select(
@@ -146,17 +167,19 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         (F.size("words") >= F.col("need"))
         & (F.col("b_place") <= F.size("words") - F.col("need"))
         & (F.least(F.size("words") - F.col("b_place"), F.size("template") - F.col("t_place")) >= F.col("need")))
-    shared = F.size(F.array_intersect("words", "template"))
+    telling = lambda held: (F.size(F.array_except("must", held)) == 0) & ~F.arrays_overlap("never", held)
+    shared = F.when(telling(F.col("words")), F.size(F.array_intersect("words", "template"))).otherwise(0)
     in_lines = met.where(shared >= F.col("need")).select("row", "label", (shared / F.size("template")).alias("part"))
 
     # of the words around a head those that a window of the template's length with this head can hold
     near = base.select("row", F.explode("surroundings").alias("s")).select("row", "s.word", "s.before", "s.around").join(F.broadcast(prefixes), "word")
     begin = F.greatest(F.lit(0), F.col("before") - F.col("length") + 1)
-    near = near.select("row", "label", "template", "need", "length", F.slice(
+    near = near.select("row", "label", "template", "need", "length", "must", "never", F.slice(
         "around", begin + 1, F.col("before") - begin + F.col("length")).alias("around")).where(
         F.size(F.array_intersect("around", "template")) >= F.col("need"))
-    most = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("around") - F.col("length") + 1)), lambda i: F.size(
-        F.array_intersect(F.slice("around", i, F.col("length")), F.col("template")))))
+    window = lambda i: F.slice("around", i, F.col("length"))
+    most = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("around") - F.col("length") + 1)), lambda i: F.when(
+        telling(window(i)), F.size(F.array_intersect(window(i), F.col("template")))).otherwise(0)))
     in_windows = near.select("row", "label", "need", "template", most.alias("most")).where(F.col("most") >= F.col("need")).select(
         "row", "label", (F.col("most") / F.size("template")).alias("part"))
     found = in_lines.unionByName(in_windows).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("part").alias("best"))
@@ -170,7 +193,8 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
 def oracle() -> str:
     """The same by brute force: every line against every template."""
-    values = ", ".join(f"('{label}', {words!r}, {max(1, math.ceil(THRESHOLD * len(words) - 1e-9))})" for label, words in template_words())
+    listed = lambda words: f"CAST({words!r} AS VARCHAR[])"
+    values = ", ".join(f"('{label}', {words!r}, {max(1, math.ceil(THRESHOLD * len(words) - 1e-9))}, {listed(must)}, {listed(never)})" for label, words, must, never in template_words())
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     spots = []
@@ -180,14 +204,14 @@ def oracle() -> str:
         spots.append(f"list_filter(range(0, len(w) - {len(words) - 1}), lambda i: {test})")
     labels = list(PHRASES.values())
     return f"""
-WITH t(label, words, need) AS (VALUES {values}),
+WITH t(label, words, need, must, never) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{low}') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '{pattern}') AS w FROM d),
 p AS (SELECT r, doc_id, len(w) AS n_words, {', '.join(f'{s} AS p{i}' for i, s in enumerate(spots))} FROM w),
 b AS (SELECT r, unnest(string_split(text, chr(10))) AS block FROM d),
 bw AS (SELECT r, list_distinct(regexp_extract_all(block, '{pattern}')) AS words FROM b),
 m AS (SELECT r, label, CAST(len(list_intersect(bw.words, t.words)) AS DOUBLE) / len(t.words) AS s
-      FROM bw JOIN t ON len(list_intersect(bw.words, t.words)) >= need),
+      FROM bw JOIN t ON len(list_intersect(bw.words, t.words)) >= need AND list_has_all(bw.words, must) AND NOT list_has_any(bw.words, never)),
 f AS (SELECT r, list(DISTINCT label) AS more, max(s) AS best FROM m GROUP BY r),
 q AS (SELECT r, doc_id, n_words, list_concat({', '.join(f'p{i}' for i in range(len(spots)))}) AS spots,
       list_concat({', '.join(f"CASE WHEN len(p{i}) > 0 THEN ['{label}'] ELSE CAST([] AS VARCHAR[]) END" for i, label in enumerate(labels))}) AS base
