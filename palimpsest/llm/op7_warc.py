@@ -75,7 +75,10 @@ def frames(archive: bytes) -> Iterator[bytes]:
     size = struct.unpack_from("<I", view, 4)[0]
     if len(view) < 8 + size:
         raise ValueError("the dictionary frame is cut off")
-    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(view[8: 8 + size])))
+    words = bytes(view[8: 8 + size])
+    if words[:4] == zstandard.FRAME_HEADER:  # the dictionary may be a frame itself
+        words = zstandard.ZstdDecompressor().decompressobj().decompress(words)
+    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words))
     at = 8 + size
     while at < len(view):
         one, out, step = reader.decompressobj(), [], 1 << 14
