@@ -5,11 +5,15 @@
    meet in buckets (once for each task, so a passage of a third of all documents costs a bucket one entry a task);
    those of two documents set a bit in a filter of fixed size. A full filter lets more pass, it never drops a match.
 2. Windows. Around each anchor that passes, all bytes of the strings that may have it as their anchor go to its bucket.
-   Within a task equal windows are one; of their documents the larger ones are settled at once, the smallest goes on.
-3. Index. A bucket builds a Burrows-Wheeler transform over its distinct windows, kept as runs with the LF value at each
-   run's head, and splits the suffix order in classes of equal SPAN-byte prefixes, each with its least document, sampled
-   at the class head. All windows stream through the index from their last byte: an LF step a byte gives the row of the
-   longest match, and where SPAN or more bytes match, the class tells whether a smaller document has the string.
+   Within a task equal windows are one; of their documents the larger ones are settled at once, the smallest goes on. An
+   anchor that occurs in ``HOT`` groups of documents or more is split: its strings fall into classes by how far their anchor is from
+   their start, and the bytes on both sides that all strings of a class hold are part of the bucket's key, so equal strings still meet.
+3. Index. The distinct windows of an anchor are ranked by document. For each bit of the rank the windows without it are indexed
+   and those with it, which belong to larger documents, stream through the index of the windows whose ranks agree above that bit.
+   The index is a Burrows-Wheeler transform kept as runs, with the LF value of each run's head and text places sampled at both
+   ends of each run. A stream goes from a window's last byte to its first: where the row's run holds the byte it takes the LF step,
+   else it goes on from the end of the nearest run of that byte above or below, whichever sampled place has the longer match.
+   The lengths are the matching statistics; a start with ``SPAN`` or more bytes is marked.
 4. Spans are joined back to the documents by a key of id and text, merged and cut out.
 
 Cases: a null text counts as empty; texts under SPAN bytes are untouched; null doc_ids neither lose bytes nor cause it;
@@ -32,7 +36,10 @@ from .common import grouped
 SPAN, GRAM = 50, 24
 LEFT = SPAN - GRAM
 WIDE = LEFT + SPAN
-BUCKETS, ROWS_PER_BUCKET, FILTER_BITS, FLUSH = 256, 4000, 27, 4 << 20
+BUCKETS, ROWS_PER_BUCKET, FILTER_BITS, FLUSH = 64, 4000, 27, 4 << 20
+BLOCK = 12
+STEPS = np.arange(BLOCK)
+HOT, HOT_BITS, CLASSES, INDEXED = 1024, 23, 9, 8_000
 POSITION, MASK = np.uint64(30), np.uint64((1 << 30) - 1)
 _rng = np.random.default_rng(50)
 BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -128,9 +135,26 @@ def filter_place(h: np.ndarray, slice_bits: int) -> np.ndarray:
     return ((low * ODD[5]) >> np.uint64(20)).astype(np.int64) % slice_bits
 
 
-def shared_filter(docs: DataFrame, buckets: int, bits: int = FILTER_BITS) -> tuple[np.ndarray, int]:
-    """A bit for each anchor hash of two or more documents; (bits packed by bucket, bits of a bucket's slice)."""
-    slice_bits = max(8, (1 << bits) // buckets // 8 * 8)
+class Bits:
+    """A bit set of fixed size over anchor hashes, in slices by bucket."""
+
+    def __init__(self, buckets: int, bits: int):
+        self.buckets, self.size = buckets, max(8, (1 << bits) // buckets // 8 * 8)
+        self.packed = np.zeros((buckets, self.size // 8), np.uint8)
+
+    def slice_of(self, h: np.ndarray) -> bytes:
+        flags = np.zeros(self.size, np.uint8)
+        flags[filter_place(h, self.size)] = 1
+        return np.packbits(flags).tobytes()
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        place = filter_place(h, self.size)
+        return (self.packed[bucket_of(h, self.buckets), place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def shared_filter(docs: DataFrame, buckets: int, bits: int = FILTER_BITS, hot: int = HOT) -> tuple[Bits, Bits]:
+    """Bits for the anchor hashes of two or more documents, and for those in ``hot`` or more groups of documents."""
+    common, frequent = Bits(buckets, bits), Bits(buckets, min(bits, HOT_BITS))
 
     def hashes(pdfs):
         for texts, ids in batches_of(pdfs, ("text", "doc_id")):
@@ -162,138 +186,231 @@ def shared_filter(docs: DataFrame, buckets: int, bits: int = FILTER_BITS) -> tup
                 return out.view(np.uint64).ravel()
 
             values, times = np.unique(read("once"), return_counts=True)
-            more = read("more")
+            more, again = np.unique(read("more"), return_counts=True)
             shared = np.concatenate([values[times > 1], more, np.intersect1d(values, more)])
-            flags = np.zeros(slice_bits, np.uint8)
-            flags[filter_place(shared, slice_bits)] = 1
-            yield pd.DataFrame({"bucket": group["bucket"].iloc[:1], "bits": [np.packbits(flags).tobytes()]})
+            both, at = np.unique(np.concatenate([values, more]), return_inverse=True)
+            often = both[np.bincount(at, np.concatenate([times, again])) >= hot] if len(both) else both
+            yield pd.DataFrame({"bucket": group["bucket"].iloc[:1], "bits": [common.slice_of(shared)], "often": [frequent.slice_of(often)]})
 
     found = docs.mapInPandas(hashes, "bucket int, once binary, more binary").repartition("bucket").sortWithinPartitions("bucket")
-    packed = np.zeros((buckets, slice_bits // 8), np.uint8)
-    for r in found.mapInPandas(meet, "bucket int, bits binary").toLocalIterator():  # 2**bits bits, whatever the corpus
-        packed[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-    return packed, slice_bits
+    for r in found.mapInPandas(meet, "bucket int, bits binary, often binary").toLocalIterator():  # 2**bits bits, whatever the corpus
+        common.packed[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+        frequent.packed[r["bucket"]] = np.frombuffer(r["often"], np.uint8)
+    return common, frequent
 
 
 class RunIndex:
-    """A run-compressed Burrows-Wheeler transform of texts, each closed by a separator, with sampled run heads."""
-
-    def __init__(self, text: np.ndarray, ends: np.ndarray, docs: np.ndarray, span: int):
-        """text: symbols, 0 is the separator; ends: places of the separators; docs: the document at each place."""
-        n = len(text)
+    """A run-compressed Burrows-Wheeler transform of texts, each closed by a separator, with text places sampled at run ends."""
+
+    def __init__(self, symbols: np.ndarray, size: np.ndarray):
+        """``symbols`` (above 0) are the texts one after the other, ``size`` their lengths. Separators (0) differ by their place."""
+        ends = np.cumsum(size + 1) - 1
+        text = np.zeros(int(size.sum()) + len(size), np.int64)
+        inside = np.ones(len(text), bool)
+        inside[ends] = False
+        text[inside] = symbols
+        self.text, self.closed = text.astype(np.int32), np.repeat(ends, size + 1)
+        n, longest = len(text), int(size.max()) + 1
         # the first sort takes as many symbols as fit in a word, each further one doubles the length
         names = np.cumsum(np.bincount(text) > 0)
         bits = int(names[-1]).bit_length()
-        length = min(62 // bits, span - 1)
-        both, here = np.zeros(n, np.int64), names[text]
+        length = max(1, 62 // bits)
+        both, here, left = np.zeros(n, np.int64), names[text], self.closed - np.arange(n) + 1
         for k in range(length):
             both <<= bits
-            both[: n - k] |= here[k:]
-        classes = None
+            both[: n - k] |= np.where(left[: n - k] > k, here[k:], 0)
         while True:
-            order = np.argsort(both)
+            order = np.argsort(both, kind="stable" if length >= longest else None)
             ordered = both[order]
             fresh = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
             rank = np.empty(n, np.int64)
             rank[order] = fresh
-            if fresh[-1] == n - 1 or length >= n:
-                break
-            if length * 2 >= span and classes is None:
-                classes = joined(rank, span - length, n + 2)  # two overlapping pieces of the current length
-            both = joined(rank, length, n + 2)
+            if fresh[-1] == n - 1 or length >= longest:
+                break  # what is equal up to its separator stands by place
+            far = np.zeros(n, np.int64)
+            far[: n - length] = np.where(left[: n - length] > length, rank[length:] + 1, 0)
+            both = rank * (n + 2) + far
             length *= 2
-        if classes is None:
-            classes = joined(rank, max(0, span - length), n + 2) if length < span else rank
         last = text[order - 1]  # the symbol before each suffix; the text is a circle
         self.start = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
         self.char = last[self.start]
-        size = np.diff(np.r_[self.start, n])
+        size_ = np.diff(np.r_[self.start, n])
         # LF of a run's first row: rows of smaller symbols, then earlier rows of this one
-        by_char = np.argsort(names[self.char].astype(np.uint16 if names[-1] < 1 << 16 else np.int64), kind="stable")
-        self.step = np.empty(len(size), np.int64)
-        self.step[by_char] = np.cumsum(size[by_char]) - size[by_char]
-        spans = classes[order]
-        self.class_start = np.flatnonzero(np.r_[True, spans[1:] != spans[:-1]])
-        self.class_doc = np.minimum.reduceat(docs[order], self.class_start)
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        self.entry = place[ends]  # the row of each text's separator, where its stream begins
-
-    def before(self, row: np.ndarray) -> np.ndarray:
-        """LF: the row of the suffix that is one byte longer."""
-        run = np.searchsorted(self.start, row, "right") - 1
+        self.by_char = np.argsort(self.char, kind="stable")
+        self.step = np.empty(len(size_), np.int64)
+        self.step[self.by_char] = np.cumsum(size_[self.by_char]) - size_[self.by_char]
+        self.end = self.start + size_ - 1
+        self.head, self.tail = order[self.start], order[self.end]  # sampled text places
+        self.keys = self.char[self.by_char] * (len(size_) + 1) + self.by_char  # ascending: runs of each symbol in order
+
+    def lf(self, row: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """The row of the suffix that is one symbol longer."""
         return self.step[run] + row - self.start[run]
 
-    def least_doc(self, row: np.ndarray) -> np.ndarray:
-        return self.class_doc[np.searchsorted(self.class_start, row, "right") - 1]
-
-
-def joined(rank: np.ndarray, ahead: int, wide: int) -> np.ndarray:
-    """The rank of each place together with that of the place ``ahead``; past the end comes before all."""
-    far = np.zeros(len(rank), np.int64)
-    far[: max(0, len(rank) - ahead)] = rank[ahead:] + 1
-    return rank * wide + far
+    def common(self, place: np.ndarray, streams: np.ndarray, row: np.ndarray, at: int, length: np.ndarray) -> np.ndarray:
+        """How many symbols from ``place`` on equal those of the streams' rows from ``at`` on, ``length`` at most."""
+        out = np.zeros(len(place), np.int64)
+        going = np.flatnonzero(length > 0)
+        for k in range(0, int(length.max()) if len(length) else 0, BLOCK):  # a few symbols at once
+            t = self.text.take(place[going][:, None] + (k + STEPS), mode="clip")
+            s = streams.take((row[going] * streams.shape[1] + at + k)[:, None] + STEPS, mode="clip")
+            differs = t != s
+            met = np.where(differs.any(1), differs.argmax(1), BLOCK)
+            out[going] += met
+            going = going[(met == BLOCK) & (length[going] > k + BLOCK)]
+            if not len(going):
+                break
+        return np.minimum(out, length)
+
+    def statistics(self, streams: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(stream, place) -> the length of the longest match with any text that starts there. ``streams`` are padded rows of symbols."""
+        out = np.zeros(streams.shape, np.int64)
+        row, place, length = (np.zeros(len(streams), np.int64) for _ in range(3))
+        for at in range(streams.shape[1] - 1, -1, -1):
+            live = np.flatnonzero(size > at)
+            c, r = streams[live, at], row[live]
+            run = np.searchsorted(self.start, r, "right") - 1
+            same = (self.char[run] == c) & (length[live] > 0)
+            new_row, new_place, new_length = self.lf(r, run), place[live] - 1, length[live] + 1
+            other = np.flatnonzero(~same)
+            if len(other):
+                o, oc = live[other], c[other]
+                key = oc * (len(self.start) + 1) + run[other]
+                after = np.searchsorted(self.keys, key)
+                best = np.full(len(other), -1)
+                for k, samples, rows in ((after - 1, self.tail, self.end), (after, self.head, self.start)):
+                    good = (k >= 0) & (k < len(self.keys))
+                    target = self.by_char[np.clip(k, 0, len(self.keys) - 1)]
+                    good &= self.char[target] == oc
+                    g = np.flatnonzero(good)
+                    met = self.common(samples[target[g]], streams, o[g], at + 1, length[o[g]])
+                    better = met > best[g]
+                    g, met = g[better], met[better]
+                    best[g] = met
+                    t = target[g]
+                    new_row[other[g]] = self.lf(rows[t], t)
+                    new_place[other[g]] = samples[t] - 1
+                none = best < 0  # the symbol does not occur
+                new_row[other[none]] = 0
+                new_length[other] = best + 1
+            row[live], place[live], length[live] = new_row, new_place, new_length
+            out[live, at] = new_length
+        return out
 
 
-def long_matches(symbols: np.ndarray, size: np.ndarray, docs: np.ndarray, span: int) -> np.ndarray:
-    """(window, start) -> the least document of all windows that hold the ``span`` symbols there; own where none does.
+def long_matches(padded: np.ndarray, size: np.ndarray, anchor: np.ndarray, mark: np.ndarray, docs: np.ndarray, span: int) -> np.ndarray:
+    """(window, start) -> does a window with the same anchor and a smaller document hold the ``span`` symbols that start there?
 
-    ``symbols`` (above 0) are the windows one after the other, ``size`` their lengths.
+    ``padded`` are rows of symbols of ``size``, with the anchor itself as the one symbol at ``mark``; ``anchor`` numbers the anchors.
     """
-    ends = np.cumsum(size + 1) - 1
-    text = np.zeros(int(size.sum()) + len(size), np.int64)
-    inside = np.ones(len(text), bool)
-    inside[ends] = False
-    text[inside] = symbols
-    index = RunIndex(text, ends, np.repeat(docs, size + 1), span)
-    least = np.repeat(docs[:, None], max(1, int(size.max()) - span + 1), 1)
-    row, alive = index.entry, np.arange(len(size))
-    for done in range(1, int(size.max()) + 1):
-        keep = size[alive] >= done
-        alive, row = alive[keep], row[keep]
-        row = index.before(row)
-        if done >= span:
-            least[alive, size[alive] - done] = index.least_doc(row)
-    return least
-
-
-def union(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Disjoint (start, end) rows that cover the same places, touching ones joined."""
+    out = np.zeros((len(size), max(1, int(size.max()) - span + 1)), bool)
+    order = np.lexsort((docs, anchor))
+    first = np.r_[True, anchor[order][1:] != anchor[order][:-1]]
+    fresh = np.r_[True, docs[order][1:] != docs[order][:-1]] | first
+    dense = np.cumsum(fresh) - 1
+    rank = np.empty(len(size), np.int64)
+    rank[order] = dense - np.repeat(dense[first], np.diff(np.r_[np.flatnonzero(first), len(size)]))
+    for bit in range(int(rank.max()).bit_length()):
+        _, node = np.unique(anchor * (1 << 32) + (rank >> (bit + 1)), return_inverse=True)
+        larger = rank >> bit & 1 == 1
+        asked = np.flatnonzero(larger & ~all_of(out, size, span))
+        held = np.flatnonzero(~larger & np.isin(node, node[asked]))
+        held = held[np.argsort(node[held], kind="stable")]
+        for a in range(0, len(held), INDEXED):  # a node may reach over several indexes
+            part = held[a: a + INDEXED]
+            index = RunIndex(*flat(padded, size, mark, node, part))
+            lo, hi = node[part[0]], node[part[-1]]
+            some = asked[(node[asked] >= lo) & (node[asked] <= hi)]
+            for b in range(0, len(some), INDEXED):
+                i = some[b: b + INDEXED]
+                streams = padded[i].astype(np.int32)
+                streams[np.arange(len(i)), mark[i]] = 257 + node[i]
+                out[i] |= index.statistics(streams, size[i])[:, : out.shape[1]] >= span
+    return out
+
+
+def all_of(out: np.ndarray, size: np.ndarray, span: int) -> np.ndarray:
+    return (out | (np.arange(out.shape[1]) > (size - span)[:, None])).all(1)
+
+
+def flat(padded: np.ndarray, size: np.ndarray, mark: np.ndarray, node: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = padded[part].astype(np.int64)
+    rows[np.arange(len(part)), mark[part]] = 257 + node[part]
+    return rows[np.arange(rows.shape[1]) < size[part][:, None]], size[part]
+
+
+def united(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Disjoint (group, start, end) rows that cover the same places of each group, touching ones joined."""
     if not len(start):
-        return np.empty((0, 2), np.int32)
+        return group, start, end
+    wide = int(end.max()) + 2
+    start, end = start + group * wide, end + group * wide
     order = np.argsort(start, kind="stable")
     start, reach = start[order], np.maximum.accumulate(end[order])
-    new = np.r_[True, start[1:] > reach[:-1]]
-    first = np.flatnonzero(new)
-    return np.stack([start[first], reach[np.r_[first[1:] - 1, len(start) - 1]]], 1).astype(np.int32)
+    first = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    group = start[first] // wide
+    return group, start[first] - group * wide, reach[np.r_[first[1:] - 1, len(start) - 1]] - group * wide
 
 
-def spans_by_key(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, bytes]]:
-    order = np.lexsort((start, key, doc))
-    doc, key, start, end = doc[order], key[order], start[order], end[order]
-    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(key) else []
-    return [(int(doc[a]), int(key[a]), union(start[a:b], end[a:b]).tobytes()) for a, b in zip(cuts, [*cuts[1:], len(key)])]
+def spans_by_key(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    """(doc, key, spans) for each document and key that occur."""
+    if not len(doc):
+        return [], [], []
+    order = np.lexsort((key, doc))
+    fresh = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1])]
+    head = order[fresh]
+    group, start, end = united(np.cumsum(fresh) - 1, start[order].astype(np.int64), end[order].astype(np.int64))
+    raw = np.stack([start, end], 1).astype(np.int32).tobytes()
+    edges = (np.searchsorted(group, np.arange(len(head) + 1)) * 8).tolist()
+    return doc[head].tolist(), key[head].tolist(), [raw[a:b] for a, b in zip(edges, edges[1:])]
 
 
 FIELDS = (("anchor", np.uint64), ("doc", np.int64), ("key", np.int32), ("at", np.int32), ("left", np.uint8), ("size", np.uint8))
 ROUTED = "bucket int, " + ", ".join(f"{n} binary" for n, _ in FIELDS) + ", bytes binary, spans binary"
 
 
-def route(docs: DataFrame, packed, slice_bits: int, buckets: int) -> DataFrame:
+def beside(b: Batch, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of the ``left`` bytes before and the ``right`` bytes after the anchors at ``at``."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(LEFT):
+        for there, from_ in ((left > k, at - 1 - k), (right > k, at + GRAM + k)):
+            byte = BYTE[b.bytes[np.clip(from_, 0, len(b.bytes) - 1)]]
+            out = np.where(there, mixed(out * ODD[k % 5] + byte), out)
+    return out
+
+
+def windows(b: Batch, at: np.ndarray, h: np.ndarray, hot: np.ndarray):
+    """(bucket key, place of the anchor, bytes before it, bytes after it) of the windows around anchors."""
+    own = b.owner(at)
+    before, after = np.minimum(LEFT, at - b.begin[own]), np.minimum(LEFT, b.end[own] - at - GRAM)
+    cold = ~hot
+    out = [(h[cold], at[cold], before[cold], after[cold])]
+    if hot.any():
+        h, at, before, after = (x[hot] for x in (h, at, before, after))
+        edges = np.linspace(0, LEFT + 1, CLASSES + 1).astype(int)
+        for c, (least, most) in enumerate(zip(edges, edges[1:] - 1)):  # strings with ``least`` to ``most`` bytes before the anchor
+            can = np.flatnonzero((before >= least) & (after >= LEFT - most))
+            full = lambda n: np.full(len(can), n)
+            key = mixed(h[can] * ODD[7] + beside(b, at[can], full(least), full(LEFT - most))) + np.uint64(c)
+            out.append((key, at[can], np.minimum(before[can], most), np.minimum(after[can], LEFT - least)))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def route(docs: DataFrame, filters, buckets: int) -> DataFrame:
     """Rows of windows by bucket; rows with ``spans`` (key in ``key``) are settled already and lie in random buckets."""
     columns = [c.split()[0] for c in ROUTED.split(", ")]
 
     def run(pdfs):
-        bits, packer = packed.value, zstandard.ZstdCompressor(level=1)
+        (common, frequent), packer = filters.value, zstandard.ZstdCompressor(level=1)
         for texts, ids, keys in batches_of(pdfs, ("text", "doc_id", "key")):
             b = Batch(texts)
-            place = filter_place(b.hash, slice_bits)
-            passed = bits[bucket_of(b.hash, buckets), place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1
-            at, h = b.at[passed == 1], b.hash[passed == 1]
+            passed = common.holds(b.hash)
+            h, at, left, right = windows(b, b.at[passed], b.hash[passed], frequent.holds(b.hash[passed]))
+            fits = left + right >= SPAN - GRAM
+            h, at, left, right = h[fits], at[fits], left[fits], right[fits]
             own = b.owner(at)
-            left = np.minimum(LEFT, at - b.begin[own])
-            size = left + np.minimum(SPAN, b.end[own] - at)
-            first, last = at - left, at - left + size - 16
+            size = left + GRAM + right
+            first, last = at - left, at + GRAM + right - 16
             pieces = [b.h16[np.minimum(first + 16 * j, last)] for j in range(5)]
             window = np.zeros(len(at), np.uint64)
             for j, p in enumerate(pieces):
@@ -308,28 +425,28 @@ def route(docs: DataFrame, packed, slice_bits: int, buckets: int) -> DataFrame:
             gone = order[d > least]
             on = order[d == least]
             out = [(abs(d + k) % buckets, b"", np.int64(d).tobytes(), np.int32(k).tobytes(), b"", b"", b"", b"", s)
-                   for d, k, s in spans_by_key(doc[gone], key[gone], start[gone], (start + size)[gone])]
+                   for d, k, s in zip(*spans_by_key(doc[gone], key[gone], start[gone], (start + size)[gone]))]
             fields = {"anchor": h, "doc": doc, "key": key, "at": start, "left": left, "size": size}
             for k, i in by_bucket(bucket_of(h[on], buckets)):
                 i = on[i]
                 # the anchor's own bytes stay behind: its hash stands for them
                 n = size[i] - GRAM
                 place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                flat = np.repeat(first[i], n) + place + GRAM * (place >= np.repeat(left[i], n))
-                out.append((k, *(fields[f][i].astype(t).tobytes() for f, t in FIELDS), packer.compress(b.bytes[flat].tobytes()), b""))
+                taken = np.repeat(first[i], n) + place + GRAM * (place >= np.repeat(left[i], n))
+                out.append((k, *(fields[f][i].astype(t).tobytes() for f, t in FIELDS), packer.compress(b.bytes[taken].tobytes()), b""))
             yield pd.DataFrame(out, columns=columns)
 
     return docs.mapInPandas(run, ROUTED).repartition("bucket").sortWithinPartitions("bucket")
 
 
-def resolve(group: pd.DataFrame) -> list[tuple[int, int, bytes]]:
+def resolve(group: pd.DataFrame) -> tuple[list[int], list[int], list[bytes]]:
     """(doc_id, key, spans) of one bucket."""
     settled = group["spans"].map(len) > 0
-    out = [(int.from_bytes(d, "little", signed=True), int.from_bytes(k, "little", signed=True), s)
-           for d, k, s in zip(group["doc"][settled], group["key"][settled], group["spans"][settled])]
+    done = ([int.from_bytes(d, "little", signed=True) for d in group["doc"][settled]], [int.from_bytes(k, "little", signed=True) for k in group["key"][settled]],
+            group["spans"][settled].tolist())
     group = group[~settled]
     if not len(group):
-        return out
+        return done
     f = {n: np.frombuffer(b"".join(group[n]), t) for n, t in FIELDS}
     unpacker = zstandard.ZstdDecompressor()
     raw = np.frombuffer(b"".join(map(unpacker.decompress, group["bytes"])), np.uint8)
@@ -350,29 +467,33 @@ def resolve(group: pd.DataFrame) -> list[tuple[int, int, bytes]]:
     which[order] = np.cumsum(new) - 1
     head = order[new]
     doc = f["doc"][head]
-    least = np.repeat(doc[:, None], WIDE - SPAN + 1, 1)
+    hit = np.zeros((len(head), WIDE - SPAN + 1), bool)
     # anchors with several distinct windows go through the index
     _, anchor, times = np.unique(f["anchor"][head], return_inverse=True, return_counts=True)
     several = np.flatnonzero(times[anchor] > 1)
     several = several[np.argsort(anchor[several], kind="stable")]
-    # whole anchors together, in parts of a bounded number of windows where the anchors allow it
     edges = np.r_[0, np.flatnonzero(np.diff(anchor[several])) + 1, len(several)] if len(several) else np.array([0])
     part = 0
-    while part < len(edges) - 1:
-        to = max(part + 1, int(np.searchsorted(edges, edges[part] + 8_000, "right")) - 1)
+    while part < len(edges) - 1:  # whole anchors together
+        to = max(part + 1, int(np.searchsorted(edges, edges[part] + 2 * INDEXED, "right")) - 1)
         i = several[edges[part]: edges[to]]
-        rows, n = head[i], size[head[i]]
+        rows = head[i]
+        n, left = size[rows], f["left"][rows].astype(np.int64)
+        # bytes are 1 to 256; the anchor itself is one symbol, at ``left``
+        padded = np.zeros((len(i), int(n.max()) + 1), np.int16)
+        column = np.arange(padded.shape[1])
+        there = (column <= n[:, None]) & (column != left[:, None])
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        # bytes are 1 to 256; the anchor itself is one symbol of its own
-        text = np.insert(raw[np.repeat(offset[rows], n) + place].astype(np.int64) + 1, np.cumsum(n) - n + f["left"][rows], 257 + anchor[i] - anchor[i].min())
-        found = long_matches(text, n + 1, doc[i], SPAN - GRAM + 1)
-        least[i, : found.shape[1]] = found
+        padded[there] = raw[np.repeat(offset[rows], n) + place].astype(np.int16) + 1
+        found = long_matches(padded, n + 1, anchor[i], left, doc[i], SPAN - GRAM + 1)
+        hit[i, : found.shape[1]] = found
         part = to
-    shift, entry = np.meshgrid(np.arange(WIDE - SPAN + 1), np.arange(len(size)))
-    hit = (least[which] < f["doc"][:, None]) & (shift <= (size + GRAM - SPAN)[:, None])
-    e, s = entry[hit], shift[hit]
+    # a copy of a window whose least document is smaller is covered as a whole
+    every = np.arange(WIDE - SPAN + 1) <= (size + GRAM - SPAN)[:, None]
+    e, s = np.nonzero((hit[which] | (doc[which] < f["doc"])[:, None]) & every)
     begin = f["at"][e] + s
-    return out + spans_by_key(f["doc"][e], f["key"][e], begin, begin + SPAN)
+    found = spans_by_key(f["doc"][e], f["key"][e], begin, begin + SPAN)
+    return tuple(a + b for a, b in zip(done, found))
 
 
 def removed_spans(docs: DataFrame, n_rows: int) -> DataFrame:
@@ -380,14 +501,13 @@ def removed_spans(docs: DataFrame, n_rows: int) -> DataFrame:
     spark = docs.sparkSession
     buckets = 1 << max(BUCKETS.bit_length() - 1, (n_rows // ROWS_PER_BUCKET).bit_length())
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN))
-    packed, slice_bits = shared_filter(usable.select("text", "doc_id"), buckets)
-    filter_ = spark.sparkContext.broadcast(packed)
+    filters = spark.sparkContext.broadcast(shared_filter(usable.select("text", "doc_id"), buckets))  # 2**27 and 2**23 bits
 
     def run(pdfs):
         for group in grouped(pdfs, ["bucket"]):
-            yield pd.DataFrame(resolve(group), columns=["doc_id", "key", "spans"])
+            yield pd.DataFrame(dict(zip(("doc_id", "key", "spans"), resolve(group))))
 
-    found = route(usable, filter_, slice_bits, buckets).mapInPandas(run, "doc_id long, key int, spans binary")
+    found = route(usable, filters, buckets).mapInPandas(run, "doc_id long, key int, spans binary")
     return found.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("pieces"))
 
 
@@ -401,7 +521,8 @@ def merged(pieces) -> np.ndarray:
     if pieces is None or not len(pieces):
         return np.empty((0, 2), np.int32)
     both = np.frombuffer(b"".join(pieces), np.int32).reshape(-1, 2)
-    return union(both[:, 0], both[:, 1])
+    _, start, end = united(np.zeros(len(both), np.int64), both[:, 0].astype(np.int64), both[:, 1].astype(np.int64))
+    return np.stack([start, end], 1)
 
 
 def keep_bytes(text: bytes, spans: np.ndarray) -> bytes:
