@@ -16,6 +16,8 @@ from .functions import geometry as g
 from .functions import sensitive, text, xml
 from .operators import findings as fo
 from .operators import packages as po
+from .operators import pptx_rules
+from .operators.rules import in_order, listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,13 +33,15 @@ def query(sql: str = ""):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import files  # registers the file scans
+    from .plans import built_rules, files
 
-    return QUERIES | files.QUERIES
+    return QUERIES | files.QUERIES | built_rules.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    from .plans import built_rules
+
+    return ORACLES | built_rules.ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -224,7 +228,7 @@ def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def constructed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fo.text_findings(constructed(spark, sf_dir).where("o_orderkey % 7 < 3"), "o_orderkey", "text", F.lit(""))
+    return fo.text_findings(constructed(spark, sf_dir), "o_orderkey", "text", F.lit(""))
 
 
 _HIGH = "'Revoke or rotate the credential, remove the content and scan a fresh copy.'"
@@ -240,7 +244,7 @@ def _sql_findings(matches: str, key: str, location: str) -> str:
 
 _DOCS = f"SELECT m.*, d.source FROM ({_sql_matches('documents', 'doc_id', 'text')}) m JOIN documents d USING (doc_id)"
 DOC_FINDINGS = _sql_findings(_DOCS, "doc_id", "('Source ' || source)")
-BUILT_FINDINGS = _sql_findings(_sql_matches(f"(SELECT * FROM ({CONSTRUCTED}) WHERE o_orderkey % 7 < 3)", "o_orderkey", "text"), "o_orderkey", "'Document'")
+BUILT_FINDINGS = _sql_findings(_sql_matches(f"({CONSTRUCTED})", "o_orderkey", "text"), "o_orderkey", "'Document'")
 _FIRST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, id ORDER BY ord) AS nth FROM f) WHERE nth = 1"
 _WEIGHT = "CASE severity WHEN 'high' THEN 2800 WHEN 'medium' THEN 1000 WHEN 'low' THEN 300 ELSE 0 END"
 _COUNTS = f"""SELECT file_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
@@ -327,7 +331,8 @@ def coverage_fold(spark, sf_dir):
  (SELECT o_custkey, o_orderpriority || ' ' || o_orderkey AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders) GROUP BY o_custkey""")
 def top_n_evidence(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("p"))
-    return fo.evidence_list(o, ["o_custkey"], ["o_orderkey"], "p", 5)
+    values = o.groupBy("o_custkey").agg(in_order(F.lit(True), F.col("p"), F.col("o_orderkey")).alias("values"))
+    return values.select("o_custkey", listed(F.col("values"), 5, "; ").alias("evidence"), F.size("values").cast("bigint").alias("n"))
 
 
 # ---- XML --------------------------------------------------------------------------------------------------------
@@ -384,9 +389,8 @@ _RELS = "concat('<Relationships><Relationship Id=\"rId', {k}, '\" Type=\"http://
 def relationship_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rel_id, type, target, external and link class from relationship parts built of part keys."""
     part = spark.sql("SELECT p_partkey, " + _RELS.format(k="p_partkey") + " AS rels FROM {part}", part=table(spark, sf_dir, "part"))
-    t = part.select("p_partkey", F.explode(xml.tags(F.col("rels"), "Relationship")).alias("t"))
-    a = {n: F.coalesce(xml.attribute(F.col("t.attributes"), n), F.lit("")) for n in ("Id", "Type", "Target", "TargetMode")}
-    return t.select("p_partkey", a["Id"].alias("rel_id"), a["Type"].alias("type"), a["Target"].alias("target"), (F.lower(a["TargetMode"]) == "external").alias("external"))
+    parts = part.select(F.col("p_partkey").alias("file_id"), F.lit("ppt/_rels/presentation.xml.rels").alias("name"), F.lit(0).alias("idx"), F.col("rels").alias("text"))
+    return pptx_rules.relationships(parts).select(F.col("file_id").alias("p_partkey"), "rel_id", "type", "target", "external")
 
 
 _REL_SQL = """SELECT p_partkey, 'rId' || p_partkey AS rel_id, 'http://x/' || CASE WHEN p_partkey % 3 = 0 THEN 'hyperlink' ELSE 'image' END AS type,

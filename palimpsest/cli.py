@@ -20,7 +20,7 @@ from .plans import render, scan
 
 SUPPORTED = ("pdf", *POWERPOINT)
 UNITS = {"": 1, "b": 1, "kb": 10**3, "kib": 1 << 10, "mb": 10**6, "mib": 1 << 20, "gb": 10**9, "gib": 1 << 30}
-JOINS = {"markdown": "\n\n---\n\n", "text": "\n" + "=" * 72 + "\n\n", "quiet": "\n", "html": "\n", "json": "\n"}
+JOINS = {"markdown": "\n\n---\n\n", "text": "\n" + "=" * 72 + "\n\n", "html": "\n"}
 
 
 def parse_size(raw: str) -> int:
@@ -38,12 +38,16 @@ def read_files(spark: SparkSession, paths: list[str], recursive: bool = False) -
     if named:
         parts.append(spark.read.format("binaryFile").load(named))
     if folders:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folders if recursive else [f"{p}/*" for p in folders])
+        # a subfolder named like a partition would be read as one
+        deep = recursive or any("=" in e.name for p in folders for e in os.scandir(p) if e.is_dir())
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", str(deep).lower()).load(folders)
+        if not recursive:
+            found = found.where(F.regexp_replace("path", "^file:/*|/[^/]*$", "").isin(*[os.path.abspath(p).strip("/") for p in folders]))
         parts.append(found.where(F.lower(F.substring_index("path", ".", -1)).isin(*SUPPORTED)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.col("path").alias("name"), "content")
+    return out.select(F.monotonically_increasing_id().cast("string").alias("file_id"), F.col("path").alias("name"), "content")
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
@@ -56,6 +60,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--max-size", type=parse_size, default=MAX_BYTES)
     p.add_argument("--stdin-name", default="stdin.pdf")
     p.add_argument("-q", "--quiet", action="store_true")
+    p.add_argument("--no-color", action="store_false", dest="color")
     p.add_argument("-v", "--version", action="version", version=render.VERSION)
     a = p.parse_args(argv)
     if a.format == "html" and a.output and len(a.paths) > 1:
@@ -75,18 +80,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             raise FileNotFoundError(", ".join(missing))
         files = read_files(spark, paths, a.recursive) if paths else None
         if "-" in a.paths:
-            given = spark.createDataFrame([(a.stdin_name, sys.stdin.buffer.read())], "name string, content binary")
+            given = spark.createDataFrame([("-", a.stdin_name, sys.stdin.buffer.read())], "file_id string, name string, content binary")
             files = files.unionByName(given) if files is not None else given
-        described, found, covered = scan.scan(files, a.max_size)
+        done = scan.scan(files, a.max_size)
         now = datetime.datetime.now(datetime.UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
-        full = render.full_reports(described, found, covered, now).persist()
+        full = render.full_reports(done, now).persist()
         code = exit_codes(full, a.fail_on).first()["exit_code"]
         if a.format == "sarif":
-            out = render.sarif(described, found, covered)
+            out = render.sarif(done)
         else:
-            form = "quiet" if a.quiet and a.format == "text" else a.format
-            rows = [r["report"] for r in render.rendered(full, form).orderBy("file_id").toLocalIterator()]
-            out = JOINS[form].join(rows[:1] if form == "html" else rows) + ("\n" if form in ("quiet", "json") else "")
+            quiet = "painted" if a.color and not a.output and sys.stdout.isatty() else "quiet"
+            form = quiet if a.quiet and a.format == "text" else a.format
+            rows = [r["report"] for r in full.orderBy("name", "file_id").select(render.FORMATS[form]().alias("report")).toLocalIterator()]
+            if form == "json":
+                out = render.json_document(rows)
+            else:
+                out = JOINS.get(form, "\n").join(rows[:1] if form == "html" else rows) + ("\n" if form in ("quiet", "painted") else "")
+        full.unpersist()
+        done.release()
     except Exception as e:  # noqa: BLE001  any failure is an execution error to the caller
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -1,118 +1,184 @@
-"""Evidence tables of files: bytes in, typed rows out. One file is one row, its budgets are sequential within it."""
+"""Evidence of files: bytes in, typed rows out, in one pass that no file can fail.
+
+``described`` works out what needs the whole bytes in Spark (hash, type, PDF markers). ``inspected`` hands the bytes of files
+within the limit to the kernels and gives one table of rows by kind: file, entry, stream, string, text, rect. One file is one row
+of input, its budgets are sequential within it; whatever goes wrong inside a file becomes its ``failure``, and no bytes go further.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension_of
 from ..sources import archives, images, pdf
+from . import pdf_rules
 
 POWERPOINT = ("pptx", "pptm", "ppsx", "ppsm", "potx", "potm")
 MAX_BYTES = 512 << 20
 
+FILE = "file_id string, name string, type string, size bigint, sha256 string, extension string, detected string, too_large boolean, marks string"
+OUTCOME = "failure string, duration_ms bigint"
+ENTRY = ("file_id string, idx int, name string, packed bigint, unpacked bigint, method int, crc bigint, flags int, directory boolean, zip64 boolean, "
+         "text string, error string, zip_error boolean, fields array<struct<name:string,value:string>>, latitude double, longitude double")
+PDF = ("file_id string, kind string, stream int, seq int, key string, text string, left double, right double, bottom double, top double, "
+       "render_mode double, r double, g double, b double, size bigint")
+WANTED = (".xml", ".rels")
+RAW_KEYS = ("Author", "Creator", "Producer", "F", "UF", "V", "DV", "Contents")
+STREAM_KEYS = ("Author", "Creator", "Producer")
+
+
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+#: All columns of the table, each once.
+ALL = list({c.split()[0]: c for schema in (PDF, ENTRY, FILE, OUTCOME) for c in schema.split(", ")}.values())
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
+         "array<struct<name:string,value:string>>": pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))}
+COLUMNS = {c.split()[0]: ARROW[c.split(" ", 1)[1]] for c in ALL}
+
 
 def described(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(name, content) as file_id, name, size, sha256, extension, detected, too_large, content; the name is the id.
+    """(name, content) as FILE columns and content (null where it is not to be decoded); ``marks`` are the PDF markers as JSON.
 
-    The content of a file above the limit is hashed but never decoded.
+    ``file_id`` is taken from the input if it has one, which must be unique. Else each row has one of its own, its name and place, so
+    that files of one name stay apart; the place is fixed once the table is written. ``type`` is the declared type, if given.
     """
     head = F.hex(F.substring("content", 1, 8))
     detected = F.when(head.startswith("255044462D"), "pdf").when(head.startswith("504B0304") | head.startswith("504B0506"), "zip").when(
         head == "D0CF11E0A1B11AE1", "ole").otherwise("unknown")
     size = F.octet_length("content").cast("bigint")
-    return files.select(F.col("name").alias("file_id"), "name", size.alias("size"), F.sha2("content", 256).alias("sha256"), extension_of(F.col("name")).alias("extension"),
-                        detected.alias("detected"), (size > max_bytes).alias("too_large"), "content")
+    own = F.col("file_id").cast("string") if "file_id" in files.columns else F.concat("name", F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    type_ = F.col("type") if "type" in files.columns else F.lit("")
+    rows = files.select(own.alias("file_id"), "name", type_.alias("type"), size.alias("size"), F.sha2("content", 256).alias("sha256"),
+                        extension_of(F.col("name")).alias("extension"), detected.alias("detected"), (size > max_bytes).alias("too_large"), "content")
+    fits = ~F.col("too_large") & F.col("detected").isin("pdf", "zip")
+    is_pdf = ~F.col("too_large") & (F.col("detected") == "pdf")
+    rows = rows.withColumns({"marks": F.when(is_pdf, F.to_json(pdf_rules.marks(F.decode("content", "ISO-8859-1")))), "content": F.when(fits, F.col("content"))})
+    return rows.select(*names(FILE), "content")
+
+
+def package_rows(file_id: str, data: bytes) -> Iterator[tuple]:
+    """ENTRY rows: each entry with its XML text or image metadata; a package that cannot be opened is one row, idx -1."""
+    try:
+        package = archives.open_package(data)
+    except archives.PackageError as e:
+        yield (file_id, -1, None, 0, 0, 0, 0, 0, False, False, None, str(e), True, None, None, None)
+        return
+    last = {e.name: i for i, e in enumerate(package.entries)}  # of equal names the last is the part
+    for i, e in enumerate(package.entries):
+        text = error = fields = lat = lon = None
+        zip_error = False
+        media = e.name.startswith("ppt/media/")
+        try:
+            if last[e.name] == i and e.name.lower().endswith(WANTED) and e.unpacked <= archives.XML_BYTES:
+                text = package.read(e).decode("utf-8-sig", "replace")
+            elif media and not e.directory and e.unpacked <= archives.MEDIA_BYTES:
+                found = images.metadata(package.read(e))
+                if found:
+                    fields = [{"name": k, "value": v} for k, v in found[0].items()]
+                    lat, lon = found[1] or (None, None)
+        except (archives.PackageError, ValueError) as x:
+            error, zip_error = str(x), isinstance(x, archives.PackageError)
+        yield (file_id, i, e.name, e.packed, e.unpacked, e.method, e.crc, e.flags, e.directory, package.zip64, text, error, zip_error, fields, lat, lon)
+
+
+def pdf_rows(file_id: str, data: bytes) -> Iterator[tuple]:
+    """PDF rows of kind stream (key: status), string (stream 0: the raw file), text and rect."""
+    none = (None,) * 9
+    source, total = data.decode("latin-1"), 0
+    for key in RAW_KEYS:
+        for seq, value in enumerate(pdf.keyed_strings(source, key)):
+            yield (file_id, "string", 0, seq, key, value.replace("\0", " "), *none)
+    for s in pdf.streams(source):
+        if total >= pdf.ALL_BYTES:
+            yield (file_id, "stream", s.index, 0, "over", None, *none)
+            return
+        try:
+            body = pdf.decoded(s.raw, s.filters)
+        except pdf.Unsupported:
+            yield (file_id, "stream", s.index, 0, "unsupported", None, *none)
+            continue
+        except ValueError:
+            yield (file_id, "stream", s.index, 0, "failed", None, *none)
+            continue
+        total += len(body)
+        yield (file_id, "stream", s.index, 0, "decoded", None, *none[:-1], len(body))
+        inner = body.decode("latin-1")
+        page = pdf.interpret(inner)
+        for seq, (text, *values) in enumerate(page.texts):
+            yield (file_id, "text", s.index, seq, None, text.replace("\0", " "), *values, None)
+        for seq, (*sides, r, g, b) in enumerate(page.rects):
+            yield (file_id, "rect", s.index, seq, None, None, *sides, None, r, g, b, None)
+        for key in STREAM_KEYS:
+            for seq, value in enumerate(pdf.keyed_strings(inner, key)):
+                yield (file_id, "string", s.index, seq, key, value.replace("\0", " "), *none)
+
+
+def table_of(rows: list[tuple], columns: list[str], kind: str | None = None) -> pa.RecordBatch:
+    """The rows under the common columns; lone surrogates, which no column can hold, become question marks."""
+    given = dict(zip(columns, zip(*rows)))
+    if kind:
+        given["kind"] = [kind] * len(rows)
+
+    def array(name: str, type_: pa.DataType) -> pa.Array:
+        if name not in given:
+            return pa.nulls(len(rows), type_)
+        values = given[name]
+        try:
+            return pa.array(values, type_)
+        except UnicodeEncodeError:
+            return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], type_)
 
+    return pa.RecordBatch.from_arrays([array(n, t) for n, t in COLUMNS.items()], names=list(COLUMNS))
 
-ENTRY = ("file_id string, idx int, name string, packed bigint, unpacked bigint, method int, crc bigint, flags int, directory boolean, zip64 boolean, "
-         "text string, error string, zip_error boolean, fields array<struct<name:string,value:string>>, latitude double, longitude double")
-WANTED = (".xml", ".rels")
 
+def inspected(files: DataFrame) -> DataFrame:
+    """The rows of all ``described`` files."""
+    kernels = {"pdf": (pdf_rows, names(PDF), None), "zip": (package_rows, names(ENTRY), "entry")}
 
-def package_entries(files: DataFrame) -> DataFrame:
-    """One row for each entry with its XML text or image metadata; a package that cannot be opened is one row, idx -1."""
-    columns = [c.split()[0] for c in ENTRY.split(", ")]
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                about = tuple(batch.column(c)[i].as_py() for c in names(FILE))
+                content, file_id, detected = batch.column("content")[i], about[0], about[6]
+                began, failure, rows = time.perf_counter(), None, []
+                if content.is_valid and detected in kernels:
+                    kernel, columns, kind = kernels[detected]
+                    try:
+                        rows = list(kernel(file_id, content.as_py()))
+                    except Exception as e:  # noqa: BLE001  one file must never end the scan of the others
+                        rows, failure = [], str(e) or type(e).__name__
+                for at in range(0, len(rows), 10_000):
+                    yield table_of(rows[at: at + 10_000], columns, kind)
+                yield table_of([(*about, failure, round(1000 * (time.perf_counter() - began)))], [*names(FILE), *names(OUTCOME)], "file")
 
-    def rows(file_id: str, data: bytes) -> Iterator[tuple]:
-        try:
-            package = archives.open_package(data)
-        except archives.PackageError as e:
-            yield (file_id, -1, None, 0, 0, 0, 0, 0, False, False, None, str(e), True, None, None, None)
-            return
-        last = {e.name: i for i, e in enumerate(package.entries)}  # of equal names the last is the part
-        for i, e in enumerate(package.entries):
-            text = error = fields = lat = lon = None
-            zip_error = False
-            media = e.name.startswith("ppt/media/")
-            try:
-                if last[e.name] == i and e.name.lower().endswith(WANTED) and e.unpacked <= archives.XML_BYTES:
-                    text = package.read(e).decode("utf-8-sig", "replace")
-                elif media and not e.directory and e.unpacked <= archives.MEDIA_BYTES:
-                    found = images.metadata(package.read(e))
-                    if found:
-                        fields = [{"name": k, "value": v} for k, v in found[0].items()]
-                        lat, lon = found[1] or (None, None)
-            except (archives.PackageError, ValueError) as x:
-                error, zip_error = str(x), isinstance(x, archives.PackageError)
-            yield (file_id, i, e.name, e.packed, e.unpacked, e.method, e.crc, e.flags, e.directory, package.zip64, text, error, zip_error, fields, lat, lon)
-
-    def run(pdfs):
-        for pdf_ in pdfs:
-            for file_id, data in zip(pdf_["file_id"], pdf_["content"]):
-                yield pd.DataFrame(list(rows(file_id, bytes(data))), columns=columns)
-
-    return files.select("file_id", "content").mapInPandas(run, ENTRY)
+    return files.mapInArrow(run, ", ".join(ALL))
 
 
-PDF = ("file_id string, kind string, stream int, seq int, key string, text string, left double, right double, bottom double, top double, "
-       "render_mode double, r double, g double, b double, size bigint")
-RAW_KEYS = ("Author", "Creator", "Producer", "F", "UF", "V", "DV", "Contents")
-STREAM_KEYS = ("Author", "Creator", "Producer")
+def file_rows(rows: DataFrame) -> DataFrame:
+    marks = F.from_json("marks", pdf_rules.MARKS)
+    return rows.where("kind = 'file'").select(*[c for c in names(FILE) if c != "marks"], *names(OUTCOME), marks.alias("marks"))
+
+
+def package_entries(files: DataFrame) -> DataFrame:
+    """ENTRY rows of ``described`` files."""
+    return entry_rows(inspected(files.where("detected = 'zip'")))
+
+
+def entry_rows(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'entry'").select(*names(ENTRY))
 
 
 def pdf_evidence(files: DataFrame) -> DataFrame:
-    """Rows of kind stream (key: status), string (stream 0: the raw file), text and rect."""
-    columns = [c.split()[0] for c in PDF.split(", ")]
-    none = (None,) * 9
+    """PDF rows of ``described`` files."""
+    return item_rows(inspected(files.where("detected = 'pdf'")))
+
 
-    def rows(file_id: str, data: bytes) -> Iterator[tuple]:
-        source, total = data.decode("latin-1"), 0
-        for key in RAW_KEYS:
-            for seq, value in enumerate(pdf.keyed_strings(source, key)):
-                yield (file_id, "string", 0, seq, key, value.replace("\0", " "), *none)
-        for s in pdf.streams(source):
-            if total >= pdf.ALL_BYTES:
-                yield (file_id, "stream", s.index, 0, "over", None, *none)
-                return
-            try:
-                body = pdf.decoded(s.raw, s.filters)
-            except pdf.Unsupported:
-                yield (file_id, "stream", s.index, 0, "unsupported", None, *none)
-                continue
-            except ValueError:
-                yield (file_id, "stream", s.index, 0, "failed", None, *none)
-                continue
-            total += len(body)
-            yield (file_id, "stream", s.index, 0, "decoded", None, *none[:-1], len(body))
-            inner = body.decode("latin-1")
-            page = pdf.interpret(inner)
-            for seq, (text, *values) in enumerate(page.texts):
-                yield (file_id, "text", s.index, seq, None, text.replace("\0", " "), *values, None)
-            for seq, (*sides, r, g, b) in enumerate(page.rects):
-                yield (file_id, "rect", s.index, seq, None, None, *sides, None, r, g, b, None)
-            for key in STREAM_KEYS:
-                for seq, value in enumerate(pdf.keyed_strings(inner, key)):
-                    yield (file_id, "string", s.index, seq, key, value.replace("\0", " "), *none)
-
-    def run(pdfs):
-        for pdf_ in pdfs:
-            for file_id, data in zip(pdf_["file_id"], pdf_["content"]):
-                out = list(rows(file_id, bytes(data)))
-                if out:
-                    yield pd.DataFrame(out, columns=columns)
-
-    return files.select("file_id", "content").mapInPandas(run, PDF)
+def item_rows(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("kind").isin("stream", "string", "text", "rect")).select(*names(PDF))

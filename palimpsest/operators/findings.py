@@ -36,24 +36,30 @@ def identified(rows: DataFrame) -> DataFrame:
         "tags": F.array_sort(F.array_distinct("tags"))})
 
 
+SEVERE = "Revoke or rotate the credential, remove the content and scan a fresh copy."
+MILD = "Confirm that the value is meant for the recipient or remove it."
 CONCEALED = "A private or credential-like value appears in concealed content."
 
 
-def text_findings(texts: DataFrame, file_id: str, text: str, location: Column) -> DataFrame:
-    """A finding for each sensitive value in the text, at most ``sensitive.MOST`` a text."""
-    m = texts.select(F.col(file_id).cast("string").alias("file_id"), location.alias("location"),
-                     F.posexplode(sensitive.matches(F.col(text))).alias("ord", "m"))
-    severe = F.col("m.severity") == "high"
+def sensitive_findings(texts: DataFrame, text: str, summary: Column, remediation: Column) -> DataFrame:
+    """A finding for each sensitive value in the text, at most ``sensitive.MOST`` a text; texts have file_id, base (the first ``ord``), location.
+
+    A null ``remediation`` stands for the advice of the value's severity.
+    """
+    m = texts.select("file_id", "base", "location", summary.alias("said"), remediation.alias("advice"), F.posexplode(sensitive.matches(F.col(text))).alias("k", "m"))
     return identified(m.select(
-        "file_id", F.col("ord").cast("bigint").alias("ord"), F.concat(F.lit("content."), "m.rule_id").alias("rule_id"),
-        F.col("m.severity").alias("severity"), F.lit("high").alias("confidence"),
-        F.concat("m.label", F.lit(" found in concealed content")).alias("title"), F.lit(CONCEALED).alias("summary"),
-        F.col("m.evidence").alias("evidence"), "location",
-        F.when(severe, "Revoke or rotate the credential, remove the content and scan a fresh copy.").otherwise(
-            "Confirm that the value is meant for the recipient or remove it.").alias("remediation"),
+        "file_id", (F.col("base") + F.col("k")).cast("bigint").alias("ord"), F.concat(F.lit("content."), "m.rule_id").alias("rule_id"),
+        F.col("m.severity").alias("severity"), F.lit("high").alias("confidence"), F.concat("m.label", F.lit(" found in concealed content")).alias("title"),
+        F.col("said").alias("summary"), F.col("m.evidence").alias("evidence"), "location", F.coalesce("advice", F.when(F.col("m.severity") == "high", SEVERE).otherwise(MILD)).alias("remediation"),
         F.array(F.lit("sensitive-content"), F.lit("hidden-content")).alias("tags"), F.lit(None).cast("string").alias("data")))
 
 
+def text_findings(texts: DataFrame, file_id: str, text: str, location: Column) -> DataFrame:
+    """The findings of a table of concealed texts."""
+    rows = texts.select(F.col(file_id).cast("string").alias("file_id"), F.lit(0).alias("base"), location.alias("location"), F.col(text).alias("text"))
+    return sensitive_findings(rows, "text", F.lit(CONCEALED), F.lit(None).cast("string"))
+
+
 def first_wins(findings: DataFrame) -> DataFrame:
     """Of the findings of a file with one id, the first emitted."""
     rest = [c for c in findings.columns if c not in ("file_id", "id")]
@@ -85,7 +91,7 @@ def counted(findings: DataFrame) -> DataFrame:
 def verdict(high: Column, medium: Column, complete: Column) -> dict[str, Column]:
     """code, title and summary; low and info findings never decide, and what is incomplete is never cleared."""
     plural = lambda n: F.when(n == 1, "").otherwise("s")
-    cases = [
+    cases = [  # fixed values
         (high > 0, "DO_NOT_SEND", "Do not send yet", F.concat(high.cast("string"), F.lit(" high-risk finding"), plural(high), F.lit(" need attention before this file is shared."))),
         (~complete, "INCOMPLETE", "Scan incomplete", F.lit("Part of the file could not be inspected. Treat the absence of high-risk findings as inconclusive.")),
         (medium > 0, "REVIEW", "Review before sending", F.concat(medium.cast("string"), F.lit(" finding"), plural(medium), F.lit(" may expose information the normal document view does not make obvious."))),
@@ -150,11 +156,3 @@ def fold_coverage(events: DataFrame) -> DataFrame:
 
     return events.groupBy("file_id").agg(texts("check").alias("checks"), texts("limitation").alias("limitations")).withColumn(
         "complete", F.size("limitations") == 0)
-
-
-def evidence_list(rows: DataFrame, key: list[str], order: list[str], text: str, most: int, separator: str = "; ") -> DataFrame:
-    """The first ``most`` texts of each key, joined; ``n`` counts all."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    top = rows.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= most)
-    joined = top.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", text))), lambda e: e[text]), separator).alias("evidence"))
-    return joined.join(rows.groupBy(*key).agg(F.count("*").alias("n")), key)

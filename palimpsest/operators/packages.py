@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import COVERED, invisible, overlap_ratio
 
 RATIO, LARGE = 2000, 128 << 20
+#: Height of the lowest level's bands in points, and the level of what is higher than all bands.
+BAND, LEVELS = 16.0, 12
 
 
 def safe_path(name: Column) -> Column:
@@ -23,10 +25,14 @@ def compression_ratio(packed: Column, unpacked: Column) -> Column:
     return F.when(packed == 0, F.when(unpacked > 0, float("inf")).otherwise(1.0)).otherwise(unpacked / packed)
 
 
+def nth_of_name(entries: DataFrame, file_id: str = "file_id", name: str = "name", order: str = "idx") -> DataFrame:
+    """Adds ``nth``: which entry of the file with this name, in any case, it is."""
+    return entries.withColumn("nth", F.row_number().over(Window.partitionBy(file_id, F.lower(name)).orderBy(order)))
+
+
 def duplicate_names(entries: DataFrame, file_id: str = "file_id", name: str = "name", order: str = "idx") -> DataFrame:
     """Entries whose name, in any case, an earlier entry of the file has."""
-    w = Window.partitionBy(file_id, F.lower(name)).orderBy(order)
-    return entries.withColumn("_nth", F.row_number().over(w)).where("_nth > 1").drop("_nth")
+    return nth_of_name(entries, file_id, name, order).where("nth > 1").drop("nth")
 
 
 def orphans(parts: DataFrame, used: DataFrame, on: list[str]) -> DataFrame:
@@ -34,12 +40,23 @@ def orphans(parts: DataFrame, used: DataFrame, on: list[str]) -> DataFrame:
 
 
 def covered_texts(texts: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
-    """Visible texts that a rectangle of their stream covers, with the first such rectangle's ratio."""
-    t = texts.where(~invisible(F.col("render_mode")))
-    r = rects.select(*keys, F.col("seq").alias("rect"), *[F.col(c).alias(f"r_{c}") for c in ("left", "right", "bottom", "top")])
+    """Visible texts that a rectangle of their stream covers, with the first such rectangle's ratio.
+
+    A rectangle that covers more than half of a text holds the middle of its height. So texts and rectangles meet by bands of
+    the page: a rectangle lies in one or two bands of the level whose bands are as high as it, a text's middle in one band a level.
+    """
+    height = F.greatest(F.col("top") - F.col("bottom"), F.lit(BAND))
+    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log2(height / BAND)))).cast("int")
+    band = lambda y, of: F.when(of < LEVELS, F.floor(y / (BAND * F.pow(F.lit(2.0), of)))).otherwise(0).cast("long")
+    middle = (F.col("bottom") + F.col("top")) / 2
+    t = texts.where(~invisible(F.col("render_mode"))).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("band", band(middle, F.col("level")))
+    r = rects.withColumn("level", level).withColumn("band", F.explode(F.array_distinct(F.array(band(F.col("bottom"), F.col("level")), band(F.col("top"), F.col("level"))))))
+    r = r.select(*keys, "level", "band", F.col("seq").alias("rect"), *[F.col(c).alias(f"r_{c}") for c in ("left", "right", "bottom", "top")])
+    levels = r.select(*keys, "level").distinct()
+    t = t.join(levels, [*keys, "level"], "left_semi")
     sides = ("left", "right", "bottom", "top")
     ratio = overlap_ratio({s: F.col(s) for s in sides}, {s: F.col(f"r_{s}") for s in sides})
-    met = t.join(r, keys).withColumn("ratio", ratio).where(F.col("ratio") >= COVERED)
+    met = t.join(r, [*keys, "level", "band"]).withColumn("ratio", ratio).where(F.col("ratio") >= COVERED)
     return met.groupBy(*keys, "seq").agg(F.min_by("ratio", "rect").alias("ratio"), F.first("text").alias("text"))
 
 

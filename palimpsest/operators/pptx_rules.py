@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import xml
 from ..functions.text import EDGE, SPACE, compact, format_bytes, squeezed
-from .packages import LARGE, RATIO, compression_ratio, encrypted, safe_path
-from .rules import emit, hit, in_order, listed, said
+from .packages import LARGE, RATIO, comment_authors, compression_ratio, encrypted, nth_of_name, orphans, safe_path
+from .rules import emit, hit, in_order, listed
 
+#: The checks that a report names, and (in ``coverage``) what limits one.
 CHECKS = ("Office package structure, integrity, and entry safety", "Macros and executable content", "Author, company, and custom document properties",
           "Speaker notes, hidden slides, hidden objects, off-slide objects, cropped images, and alt text", "Comments and collaboration data",
           "Embedded files, custom XML, and retained application data", "External relationships and linked data", "Embedded image metadata")
+OPENED = "Office package structure"
 CORE = (("creator", "docProps/core.xml", "creator"), ("lastModifiedBy", "docProps/core.xml", "lastModifiedBy"), ("company", "docProps/app.xml", "Company"),
         ("manager", "docProps/app.xml", "Manager"), ("template", "docProps/app.xml", "Template"))
+#: What a finding's data tells of the document's properties, in this order.
+FIELDS = ("creator", "lastModifiedBy", "title", "subject", "keywords", "company", "manager", "template", "application")
 SLIDE = r"(?i)^ppt/slides/slide(\d+)\.xml$"
 NEED = ("[Content_Types].xml", "ppt/presentation.xml")
 STEP = 1_000_000  # between groups of rules in the order of emission
@@ -47,9 +51,8 @@ def required(entries: DataFrame) -> DataFrame:
 
 def structure_hits(files: DataFrame, entries: DataFrame) -> DataFrame:
     unreadable = emit(entries.where("idx = -1"), hit(0, "pptx.package.invalid", evidence=F.col("error")))
-    lower = Window.partitionBy("file_id", F.lower("name")).orderBy("idx")
     ratio = compression_ratio(F.col("packed"), F.col("unpacked"))
-    e = entries.where("idx >= 0").withColumn("nth", F.row_number().over(lower)).withColumn("ratio", ratio)
+    e = nth_of_name(entries.where("idx >= 0")).withColumn("ratio", ratio)
     named_ = F.concat(F.lit("Duplicate or case-colliding entry name: "), "name")
     at = F.col("idx").cast("bigint") * 4
     odd = emit(
@@ -86,14 +89,18 @@ def package_hits(files: DataFrame, parts: DataFrame) -> DataFrame:
     shown = F.concat(name, F.lit(" ("), format_bytes(F.col("unpacked")), F.lit(")"))
     custom_xml = compact(xml.strip_xml(F.coalesce("text", F.lit(""))), 600)
     whole = parts.groupBy("file_id").agg(
-        matching(r"(?i)(^|/)vbaProject\.bin$").alias("macros"), text_of(NEED[0]).alias("types"), *[text_of(p).alias(f"p_{k}") for k, p, _ in CORE],
+        matching(r"(?i)(^|/)vbaProject\.bin$").alias("macros"), text_of(NEED[0]).alias("types"), text_of("docProps/core.xml").alias("core"), text_of("docProps/app.xml").alias("app"),
         text_of("docProps/custom.xml").alias("custom"), matching(r"(?i)^ppt/comments/.*\.xml$").alias("comments"),
         matching(r"(?i)(^|/)(people|persons|authors|commentAuthors)\.xml$|/commentsExt/").alias("people"),
         in_order(name.startswith("ppt/embeddings/") & ~F.col("directory"), shown, idx).alias("embedded"),
         matching(r"(?i)^customXml/(?!_rels/).*\.xml$").alias("custom_names"), matching(r"(?i)^customXml/(?!_rels/).*\.xml$", value=custom_xml).alias("custom_texts"),
         matching(r"(?i)(revision|userData|viewProps|presProps|tags)/").alias("state")).join(files.select("file_id", "extension"), "file_id")
     macro = (F.size("macros") > 0) | F.col("types").rlike(r"(?i)presentation\.macroEnabled\.main\+xml")
-    identity = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), xml.first_text(F.coalesce(f"p_{k}", F.lit("")), tag).alias("v")) for k, _, tag in CORE]), lambda x: x["v"] != "")
+    part = {"docProps/core.xml": "core", "docProps/app.xml": "app"}
+    value = lambda p, tag: xml.first_text(F.coalesce(part[p], F.lit("")), tag)
+    identity = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), value(p, tag).alias("v")) for k, p, tag in CORE]), lambda x: x["v"] != "")
+    of = {k: (p, tag) for k, p, tag in CORE} | {k: ("docProps/core.xml", k) for k in ("title", "subject", "keywords")} | {"application": ("docProps/app.xml", "Application")}
+    fields = F.struct(*[value(*of[k]).alias(k) for k in FIELDS])
     pairs = lambda rows: F.transform(rows, lambda x: F.concat(x["k"], F.lit(": "), x["v"]))
     properties = F.filter(F.transform(xml.tags(F.coalesce("custom", F.lit("")), "property"), lambda t: F.struct(
         F.coalesce(F.nullif(xml.attribute(t["attributes"], "name"), F.lit("")), F.lit("Custom property")).alias("k"), compact(xml.strip_xml(t["inner"]), 300).alias("v"))), lambda x: x["v"] != "")
@@ -105,7 +112,7 @@ def package_hits(files: DataFrame, parts: DataFrame) -> DataFrame:
         whole,
         hit(2 * STEP, "pptx.macro", F.col("macro"), evidence=F.when(F.size("macros") > 0, F.array_join("macros", ", ")).otherwise("Macro-enabled presentation content type")),
         hit(2 * STEP + 1, "pptx.macro.extension-mismatch", F.col("macro") & (F.col("extension") == "pptx")),
-        hit(2 * STEP + 2, "pptx.metadata.personal", F.size("identity") > 0, evidence=listed(F.col("identity"), 8, "; "), data=F.to_json(F.struct(F.col("identity").alias("fields")))),
+        hit(2 * STEP + 2, "pptx.metadata.personal", F.size("identity") > 0, evidence=listed(F.col("identity"), 8, "; "), data=F.to_json(F.struct(fields.alias("fields")))),
         hit(2 * STEP + 3, "pptx.metadata.custom", F.size("properties") > 0, evidence=listed(F.col("properties"), 10, "; "), scan=F.array_join("properties", "\n"), scan_location="Custom document properties"),
         hit(400 * STEP, "pptx.collaboration", (F.size("people") > 0) & (F.size("comments") == 0), evidence=listed(F.col("people"), 10, ", ")),
         hit(500 * STEP, "pptx.embedded-files", F.size("embedded") > 0, evidence=listed(F.col("embedded"), 15, ", ")),
@@ -134,7 +141,7 @@ def slide_hits(parts: DataFrame, rels: DataFrame) -> DataFrame:
     texts = parts.select("file_id", "name", F.coalesce("text", F.lit("")).alias("xml"))
     spoken = notes.join(texts, ["file_id", "name"]).withColumn("text", compact(xml.text_runs(F.col("xml")), 2400)).where("text <> ''")
     spoken = emit(spoken, hit(base + 1, "pptx.notes", evidence=F.col("text"), location=place, scan=F.col("text"), scan_location=F.concat(place, F.lit(" speaker notes"))))
-    lost = parts.where(F.col("name").rlike(r"(?i)^ppt/notesSlides/notesSlide\d+\.xml$")).join(notes.select("file_id", "name"), ["file_id", "name"], "left_anti")
+    lost = orphans(parts.where(F.col("name").rlike(r"(?i)^ppt/notesSlides/notesSlide\d+\.xml$")), notes.select("file_id", "name"), ["file_id", "name"])
     lost = lost.withColumn("nth", F.row_number().over(Window.partitionBy("file_id").orderBy("idx"))).where("nth <= 20")
     lost = lost.withColumn("said", compact(xml.text_runs(F.coalesce("text", F.lit(""))), 1800)).where("said <> ''")
     lost = emit(lost, hit(300 * STEP + F.col("nth"), "pptx.notes.orphaned", evidence=F.col("said"), location=F.col("name"), scan=F.col("said")))
@@ -146,20 +153,29 @@ def shapes(parts: DataFrame, s: DataFrame) -> DataFrame:
     p = F.lit(rf"(?is)<p:(sp|pic|graphicFrame|cxnSp){EDGE}.*?</p:\1[{SPACE}]*>")
     blocks = F.arrays_zip(F.regexp_extract_all("xml", p, F.lit(0)).alias("xml"), F.regexp_extract_all("xml", p, F.lit(1)).alias("type"))
     b = s.select("file_id", "slide", "number", F.posexplode(blocks).alias("seq", "b")).select("file_id", "slide", "number", "seq", F.col("b.xml").alias("xml"), F.col("b.type").alias("type"))
-    tag = lambda col, name: F.regexp_extract(col, rf"(?i)<{name}{EDGE}([^>]*)/?[{SPACE}]*>", 1)
     moved = F.regexp_extract("xml", rf"(?is)<a:xfrm{EDGE}[^>]*>(.*?)</a:xfrm[{SPACE}]*>", 1)
     b = b.withColumns({"props": tag(F.col("xml"), "p:cNvPr"), "moved": F.when(moved != "", moved).otherwise(F.col("xml")), "rect": tag(F.col("xml"), "a:srcRect"), "blip": tag(F.col("xml"), "a:blip")})
     b = b.withColumns({"off": tag(F.col("moved"), "a:off"), "ext": tag(F.col("moved"), "a:ext")})
     at = lambda col, name: xml.attribute(F.col(col), name)
     text = lambda name: F.coalesce(at("props", name), F.lit(""))
-    size = parts.where(f"name = '{NEED[1]}'").select("file_id", tag(F.coalesce("text", F.lit("")), "p:sldSz").alias("sz"))
-    width, height = (F.coalesce(F.nullif(number(at("sz", a)), F.lit(0.0)), F.lit(d)) for a, d in zip(("cx", "cy"), g.SLIDE))
-    return b.join(size, "file_id").select(
+    return b.join(slide_sizes(parts), "file_id").select(
         "file_id", "slide", "number", "seq", "type", F.coalesce(F.nullif(text("name"), F.lit("")), F.trim(F.concat(F.lit("Object "), text("id")))).alias("name"),
         one_of(at("props", "hidden"), "1", "true", "on", "yes").alias("hidden"), text("descr").alias("descr"), text("title").alias("title"), compact(xml.text_runs(F.col("xml")), 1000).alias("text"),
         *[number(at("off", a)).alias(a) for a in "xy"], *[number(at("ext", a)).alias(a) for a in ("cx", "cy")],
         *[number(F.coalesce(F.nullif(at("rect", a), F.lit("")), F.lit("0"))).alias(f"crop_{a}") for a in "ltrb"],
-        F.coalesce(F.nullif(at("blip", "r:embed"), F.lit("")), at("blip", "embed"), F.lit("")).alias("rel_id"), width.alias("width"), height.alias("height"))
+        F.coalesce(F.nullif(at("blip", "r:embed"), F.lit("")), at("blip", "embed"), F.lit("")).alias("rel_id"), "width", "height")
+
+
+def tag(col: Column, name: str) -> Column:
+    """The attributes of the first such tag."""
+    return F.regexp_extract(col, rf"(?i)<{name}{EDGE}([^>]*)/?[{SPACE}]*>", 1)
+
+
+def slide_sizes(parts: DataFrame) -> DataFrame:
+    """file_id, width and height of the slides."""
+    size = parts.where(f"name = '{NEED[1]}'").select("file_id", tag(F.coalesce("text", F.lit("")), "p:sldSz").alias("sz"))
+    width, height = (F.coalesce(F.nullif(number(xml.attribute(F.col("sz"), a)), F.lit(0.0)), F.lit(float(d))) for a, d in zip(("cx", "cy"), g.SLIDE))
+    return size.select("file_id", width.alias("width"), height.alias("height"))
 
 
 def shape_hits(parts: DataFrame, s: DataFrame, linked: DataFrame) -> DataFrame:
@@ -191,11 +207,10 @@ def comment_hits(parts: DataFrame) -> DataFrame:
     c = c.withColumn("said", text).where("said <> ''").select("file_id", F.col("name").alias("part"), "nth", "said", F.regexp_extract_all("xml", F.lit(rf"""(?i)authorId[{SPACE}]*=[{SPACE}]*["']([^"']+)["']"""), F.lit(1)).alias("ids"))
     who = parts.where("name = 'ppt/commentAuthors.xml'").select("file_id", F.posexplode(xml.tags(F.coalesce("text", F.lit("")), "cmAuthor")).alias("k", "t"))
     a = lambda n: F.nullif(xml.attribute(F.col("t.attributes"), n), F.lit(""))
-    who = who.select("file_id", "k", F.coalesce(a("id"), F.lit("")).alias("id"), F.coalesce(a("name"), a("initials")).alias("who"))
-    who = who.groupBy("file_id", "id").agg(F.max_by("who", "k").alias("who")).where("who IS NOT NULL")
-    seen = c.select("file_id", "part", F.posexplode("ids").alias("k", "id")).join(who, ["file_id", "id"])
-    seen = seen.groupBy("file_id", "part").agg(F.array_join(F.array_distinct(in_order(F.lit(True), F.col("who"), F.col("k"))), ", ").alias("authors"))
-    c = c.join(seen, ["file_id", "part"], "left")
+    who = who.select("file_id", "k", F.coalesce(a("id"), F.lit("")).alias("author_id"), a("name").alias("name"), a("initials").alias("initials"))
+    who = who.groupBy("file_id", "author_id").agg(F.max_by(F.struct("name", "initials"), "k").alias("w")).select("file_id", "author_id", "w.name", "w.initials")
+    seen = c.select("file_id", "part", F.posexplode("ids").alias("seq", "author_id"))
+    c = c.join(comment_authors(seen, who), ["file_id", "part"], "left")
     return emit(c, hit(350 * STEP + F.col("nth"), "pptx.comments", evidence=F.col("said"), scan=F.col("said"), scan_location=F.col("part"),
                        location=F.concat_ws(" — ", "part", F.nullif("authors", F.lit("")))))
 
@@ -248,18 +263,18 @@ def image_hits(parts: DataFrame) -> DataFrame:
                 hit(701 * STEP, "pptx.image.metadata", F.size("fields") > 0, evidence=listed(F.col("fields"), 8, "; ")))
 
 
-def findings(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """All findings of the packages; without the required parts only those on the structure."""
+def hits(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """Rule rows of the packages; without the required parts only those on the structure."""
     parts = named(entries).join(required(entries), "file_id", "left_semi")
     rels = relationships(parts)
     rows = structure_hits(files, entries)
     for more in (package_hits(files, parts), slide_hits(parts, rels), comment_hits(parts), link_hits(rels), image_hits(parts)):
         rows = rows.unionByName(more)
-    return said(rows, "pptx")
+    return rows
 
 
 def coverage(files: DataFrame, entries: DataFrame, strict: bool = True) -> DataFrame:
-    """file_id, complete, checks, limitations. ``strict``: an optional part that cannot be read is a limitation too."""
+    """file_id, checks, limitations. ``strict``: an optional part that cannot be read is a limitation too."""
     from ..sources.archives import MEDIA_BYTES, XML_BYTES
 
     needed = F.col("name").isin(*NEED) | F.col("name").rlike(SLIDE)
@@ -272,7 +287,26 @@ def coverage(files: DataFrame, entries: DataFrame, strict: bool = True) -> DataF
         F.col("error").isNotNull() & xml_part & (needed | F.lit(strict)), F.concat("name", F.lit(" could not be read: "), "error"))
     held = entries.groupBy("file_id").agg(in_order(limit.isNotNull(), limit, F.col("idx")).alias("limits"), F.bool_or(encrypted(F.col("flags"))).alias("locked"), F.bool_or(F.col("idx") == -1).alias("closed"))
     rows = files.where("detected = 'zip'").select("file_id").join(held, "file_id", "left").join(required(entries).withColumn("whole", F.lit(True)), "file_id", "left")
-    more = F.array_compact(F.array(F.when(F.col("locked"), "Encrypted package entries were not inspected."),
-                                   F.when(F.col("whole").isNull() & ~F.coalesce("closed", F.lit(False)), "Required PowerPoint package parts are missing.")))
-    limits = F.array_distinct(F.concat(more, F.coalesce("limits", F.array().cast("array<string>"))))
-    return rows.select("file_id", (F.size(limits) == 0).alias("complete"), F.lit(list(CHECKS)).alias("checks"), limits.alias("limitations"))
+    closed, bare = F.coalesce("closed", F.lit(False)), F.col("whole").isNull()
+    more = F.array_compact(F.array(F.when(F.col("locked"), "Encrypted package entries were not inspected.")))
+    limits = F.when(bare & ~closed, F.array(F.lit("Required PowerPoint package parts are missing."))).otherwise(
+        F.concat(more, F.coalesce("limits", F.array().cast("array<string>"))))
+    checks = F.when(closed, F.array(F.lit(OPENED))).when(bare, F.array(F.lit(CHECKS[0]))).otherwise(F.lit(list(CHECKS)))
+    return rows.select("file_id", checks.alias("checks"), limits.alias("limitations"))
+
+
+def details(files: DataFrame, entries: DataFrame, rule_rows: DataFrame) -> DataFrame:
+    """The counters of presentation reports, by file_id; ``rule_rows`` are the rows of ``hits``."""
+    parts = named(entries).join(required(entries), "file_id", "left_semi")
+    count = lambda *rules: F.count_if(F.col("rule").isin(*rules))
+    many = lambda p: F.count_if(F.col("name").rlike(p))
+    opened = entries.where("idx >= 0").groupBy("file_id").agg(F.count("*").alias("packageEntries"), F.bool_or("zip64").alias("zip64"))
+    held = parts.groupBy("file_id").agg(
+        many(SLIDE).alias("slides"), many(r"(?i)^ppt/comments/.*\.xml$").alias("commentFiles"), F.count_if(F.col("name").startswith("ppt/embeddings/") & ~F.col("directory")).alias("embeddedFiles"),
+        many(r"(?i)^customXml/(?!_rels/).*\.xml$").alias("customXmlParts"), F.count_if(F.col("latitude").isNotNull() | (F.size("fields") > 0)).alias("imagesWithMetadata"))
+    shown = rule_rows.groupBy("file_id").agg(
+        count("pptx.notes", "pptx.notes.orphaned").alias("notes"), count("pptx.slide.hidden").alias("hiddenSlides"), count("pptx.object.hidden").alias("hiddenObjects"),
+        count("pptx.object.off-slide").alias("offSlideObjects"), count("pptx.image.cropped").alias("croppedImages"), count("pptx.comments").alias("commentsWithText"))
+    links = relationships(parts).where("external").groupBy("file_id").agg(F.count("*").alias("externalRelationships"))
+    whole = held.join(shown, "file_id", "left").join(links, "file_id", "left").fillna(0)
+    return opened.join(slide_sizes(parts).select("file_id", F.struct("width", "height").alias("slideSize")), "file_id", "left").join(whole, "file_id", "left")

@@ -6,11 +6,12 @@ concealed text whose sensitive values become findings right after it. ``said`` a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sensitive
-from .findings import identified
+from .findings import identified, sensitive_findings
 
 #: Rule, default severity, confidence, title, summary, tags. Identifiers hash the summary.
 TEXTS = (
@@ -74,6 +75,17 @@ ADVICE = {
     "pptx": "Remove it from the copy that is to be shared, save that and scan it again.",
 }
 
+#: Rules added by ``register``: their texts, as in TEXTS, and their branches.
+REGISTERED: list[tuple[tuple[str, str, str, str, str, str], Callable[[DataFrame, DataFrame, DataFrame], DataFrame]]] = []
+
+
+def register(text: tuple[str, str, str, str, str, str], branch: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> None:
+    """Adds a rule to every scan after it. ``branch(files, pdf rows, package entries)`` gives the rows of ``emit``."""
+    if any(text[0] == known[0] for known in (*TEXTS, *(t for t, _ in REGISTERED))):
+        raise ValueError(f"there is a rule {text[0]} already")
+    REGISTERED.append((text, branch))
+
+
 FIELDS = {"ord": "bigint", "rule": "string", "severity": "string", "evidence": "string", "location": "string", "summary": "string",
           "data": "string", "scan": "string", "scan_location": "string"}
 #: Places between two emitted rows, for what their concealed text holds.
@@ -103,10 +115,13 @@ def in_order(when: Column, value: Column, *order: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.when(when, one))), lambda x: x["v"])
 
 
-def said(rows: DataFrame, kind: str) -> DataFrame:
-    """Findings in the common shape: the rules' own and those of the sensitive values in what they conceal."""
+def said(rows: DataFrame) -> DataFrame:
+    """Findings in the common shape: the rules' own and those of the sensitive values in what they conceal.
+
+    ``rows`` are those of ``emit`` with their ``family``, pdf or pptx.
+    """
     spark = rows.sparkSession
-    texts = spark.createDataFrame([(r, s, c, t, x, g) for r, s, c, t, x, g in TEXTS], "rule string, severity_ string, confidence string, title string, summary_ string, tags_ string")
+    texts = spark.createDataFrame([*TEXTS, *(text for text, _ in REGISTERED)], "rule string, severity_ string, confidence string, title string, summary_ string, tags_ string")
     prefix = F.substring_index("rule", ".", 1)
     advice = F.lit(ADVICE["file"])
     for k, v in ADVICE.items():
@@ -114,11 +129,8 @@ def said(rows: DataFrame, kind: str) -> DataFrame:
     own = rows.where("rule <> ''").join(F.broadcast(texts), "rule").select(  # as many rows as there are rules
         "file_id", "ord", F.col("rule").alias("rule_id"), F.coalesce("severity", "severity_").alias("severity"), "confidence", "title",
         F.coalesce("summary", "summary_").alias("summary"), "evidence", "location", advice.alias("remediation"), F.split("tags_", ",").alias("tags"), "data")
-    scanned = rows.where("scan <> ''").select("file_id", (F.col("ord") + 1).alias("base"), F.coalesce("scan_location", "location").alias("location"),
-                                              F.posexplode(sensitive.matches(F.col("scan"))).alias("k", "m"))
-    found = scanned.select(
-        "file_id", (F.col("base") + F.col("k")).alias("ord"), F.concat(F.lit("content."), "m.rule_id").alias("rule_id"), F.col("m.severity").alias("severity"),
-        F.lit("high").alias("confidence"), F.concat("m.label", F.lit(" found in concealed content")).alias("title"), F.lit(CONCEALED[kind]).alias("summary"),
-        F.col("m.evidence").alias("evidence"), "location", F.lit(ADVICE[kind]).alias("remediation"), F.array(F.lit("sensitive-content"), F.lit("hidden-content")).alias("tags"),
-        F.lit(None).cast("string").alias("data"))
-    return identified(own.unionByName(found))
+    by = lambda texts: F.when(F.col("family") == "pdf", texts["pdf"]).otherwise(texts["pptx"])
+    scanned = rows.where("scan <> ''").select("file_id", (F.col("ord") + 1).alias("base"), F.coalesce("scan_location", "location").alias("location"), "scan",
+                                              by(CONCEALED).alias("concealed"), by(ADVICE).alias("advice"))
+    found = sensitive_findings(scanned, "scan", F.col("concealed"), F.col("advice"))
+    return identified(own).unionByName(found)

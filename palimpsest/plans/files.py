@@ -24,17 +24,19 @@ def query(f):
     return f
 
 
-def built(rows: DataFrame, make, name: str) -> DataFrame:
-    """(name, content) of ``make(values...)`` over the columns after the id."""
+def built(rows: DataFrame, make, name: str, other: tuple[str, int] | None = None) -> DataFrame:
+    """(file_id, name, content) of ``make(values...)``; the first value is the key, of which every so many take the ``other`` name."""
     columns = rows.columns
     on_workers(rows.sparkSession)
 
     def run(pdfs):
         for pdf in pdfs:
-            out = [(name.format(v[0]), make(*v)) for v in zip(*(pdf[c] for c in columns))]
-            yield pd.DataFrame(out, columns=["name", "content"])
+            values = [[x.item() if hasattr(x, "item") else x for x in v] for v in zip(*(pdf[c] for c in columns))]
+            called = [(other[0] if other and v[0] % other[1] == 0 else name).format(v[0]) for v in values]
+            out = [(n, n, make(*v)) for n, v in zip(called, values)]
+            yield pd.DataFrame(out, columns=["file_id", "name", "content"])
 
-    return rows.mapInPandas(run, "name string, content binary")
+    return rows.mapInPandas(run, "file_id string, name string, content binary")
 
 
 PATTERNS = {r.id: re.compile(r.pattern.replace("<b>", r"\b").replace("<s>", SPACE), re.ASCII) for r in sensitive.RULES}
@@ -114,11 +116,11 @@ def as_deck(key: int, text: str, role: str) -> bytes:
 
 
 def pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return built(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), as_pdf, "doc{}.pdf")
+    return built(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source")), as_pdf, "doc{}.pdf")
 
 
 def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), "text", "role")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role"))
     return built(rows, as_deck, "deck{}.pptx")
 
 
@@ -156,5 +158,5 @@ def image_metadata(spark, sf_dir):
 
 @query
 def markdown_reports(spark, sf_dir):
-    described, found, covered = scan.scan(pdfs(spark, sf_dir))
-    return render.rendered(render.full_reports(described, found, covered, "2024-01-01T00:00:00.000Z"), "markdown")
+    done = scan.scan(pdfs(spark, sf_dir))
+    return render.rendered(render.full_reports(done, "2024-01-01T00:00:00.000Z"), "markdown")

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape_html, escape_markdown, format_bytes
 from ..operators.findings import LEVEL, SEVERITIES, reports, sarif_results, sarif_rules
+from .scan import Scan
 
 NAME, VERSION = "Palimpsest", "0.1.0"
+INCOMPLETE = f"{NAME.lower()}.scan-incomplete"
 DISCLAIMER = "This report identifies known indicators. It does not prove that a file is safe."
-ITEM = ("place", "id", "rule_id", "severity", "confidence", "title", "summary", "evidence", "location", "remediation", "tags")
+ITEM = ("place", "id", "rule_id", "severity", "confidence", "title", "summary", "evidence", "location", "remediation", "tags", "data")
 
 
-def full_reports(files: DataFrame, findings: DataFrame, coverage: DataFrame, scanned_at: str) -> DataFrame:
-    """Report rows with ``items``, the file's findings in order. One file's findings are bounded by its rules' caps."""
-    items = findings.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*ITEM))).alias("items"))
-    rows = reports(files, findings, coverage).join(items, "file_id", "left")
+def full_reports(done: Scan, scanned_at: str) -> DataFrame:
+    """Report rows with ``items``, the file's findings in order, and ``details``. One file's findings are bounded by its rules' caps."""
+    items = done.findings.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*ITEM))).alias("items"))
+    rows = reports(*done).join(items, "file_id", "left").join(done.details, "file_id", "left")
     none = F.array().cast(items.schema["items"].dataType)
     strings = F.array().cast("array<string>")
     return rows.withColumns({"items": F.coalesce("items", none), "checks": F.coalesce("checks", strings), "limitations": F.coalesce("limitations", strings), "scanned_at": F.lit(scanned_at)})
@@ -94,37 +96,71 @@ def as_html() -> Column:
 
 
 def as_json() -> Column:
-    items = F.transform("items", lambda f: F.struct(f["id"].alias("id"), f["rule_id"].alias("ruleId"), *[f[c].alias(c) for c in ITEM[3:]]))
-    return F.to_json(F.struct(
+    items = F.transform("items", lambda f: F.struct(f["id"].alias("id"), f["rule_id"].alias("ruleId"), *[f[c].alias(c) for c in ITEM[3:-1]]))
+    values = F.transform("items", lambda f: F.struct(f["id"].alias("id"), f["data"].alias("data")))
+    report = F.to_json(F.struct(
         F.lit("1.0").alias("schemaVersion"), F.struct(F.lit(NAME).alias("name"), F.lit(VERSION).alias("version")).alias("scanner"), F.col("scanned_at").alias("scannedAt"),
-        F.struct("name", "size", "sha256").alias("file"), F.struct(F.col("verdict_code").alias("code"), F.col("verdict_title").alias("title"), F.col("verdict_summary").alias("summary"), "score").alias("verdict"),
+        "duration_ms", F.struct("name", "size", "type", "sha256").alias("file"), F.struct(F.col("verdict_code").alias("code"), F.col("verdict_title").alias("title"), F.col("verdict_summary").alias("summary"), "score").alias("verdict"),
         items.alias("findings"), F.struct(*SEVERITIES, "total").alias("counts"), F.struct("complete", "checks", "limitations").alias("coverage")))
+    # ``data`` and ``details`` are JSON already: they follow as objects of their own
+    more = F.array_join(F.transform(F.filter(values, lambda v: v["data"].isNotNull()), lambda v: F.concat(F.lit('"'), v["id"], F.lit('":'), v["data"])), ",")
+    return F.concat(F.substring(report, F.lit(1), F.length(report) - 1),
+                    F.lit(',"details":'), F.coalesce("details", F.lit("{}")), F.lit(',"data":{'), more, F.lit("}}"))
 
 
 def as_line() -> Column:
     """The quiet form: verdict, file and counts."""
-    return F.format_string("%-16s %s  %dH %dM %dL", "verdict_code", "name", "high", "medium", "low")
+    return F.format_string("%s  %s  %dH %dM %dL", F.upper("verdict_title"), "name", "high", "medium", "low")
 
 
-FORMATS = {"text": as_text, "markdown": as_markdown, "html": as_html, "json": as_json, "quiet": as_line}
+def as_painted_line() -> Column:
+    """The quiet form with the verdict in red, yellow or green."""
+    tone = F.when(F.col("verdict_code") == "DO_NOT_SEND", 31).when(F.col("verdict_code").isin("REVIEW", "INCOMPLETE"), 33).otherwise(32)
+    return F.format_string("\033[%dm%s\033[0m  %s  %dH %dM %dL", tone, F.upper("verdict_title"), "name", "high", "medium", "low")
+
+
+FORMATS = {"text": as_text, "markdown": as_markdown, "html": as_html, "json": as_json, "quiet": as_line, "painted": as_painted_line}
 
 
 def rendered(full: DataFrame, form: str) -> DataFrame:
     return full.select("file_id", FORMATS[form]().alias("report"))
 
 
-def sarif(files: DataFrame, findings: DataFrame, coverage: DataFrame) -> str:
-    """One SARIF 2.1.0 document over all files, as small as their findings; made on the driver for the command line."""
+def sarif_rows(done: Scan) -> DataFrame:
+    """A row for each SARIF result: file_id, ord, result (JSON); what is written where the findings are too many for one document."""
+    place = lambda name: F.array(F.struct(F.struct(F.struct(name.alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
+    r = sarif_results(done.findings).join(done.files.select("file_id", "name"), "file_id")
+    result = F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), place(F.col("name")).alias("locations"),
+                                F.struct("severity", "confidence", F.col("finding_id").alias("findingId")).alias("properties")))
+    left = done.coverage.where("NOT complete").join(done.files.select("file_id", "name"), "file_id")
+    text = F.coalesce(F.nullif(F.array_join("limitations", " "), F.lit("")), F.lit("The scan did not cover the complete file."))
+    more = F.to_json(F.struct(F.lit(INCOMPLETE).alias("ruleId"), F.lit(LEVEL["medium"]).alias("level"), F.struct(text.alias("text")).alias("message"), place(F.col("name")).alias("locations")))
+    return r.select("file_id", "ord", result.alias("result")).unionByName(left.select("file_id", F.lit(2**62).alias("ord"), more.alias("result")))
+
+
+def sarif(done: Scan) -> str:
+    """One SARIF 2.1.0 document over all files, as small as their findings; put together on the driver for the command line."""
+    findings = done.findings
     rules = [{"id": r["rule_id"], "name": r["name"], "shortDescription": {"text": r["short"]}, "fullDescription": {"text": r["full"]}, "help": {"text": r["help"]},
               "defaultConfiguration": {"level": r["level"]}, "properties": {"confidence": r["confidence"]}} for r in sarif_rules(findings).orderBy("rule_id").toLocalIterator()]
-    place = lambda name: [{"physicalLocation": {"artifactLocation": {"uri": name}}}]
-    results = [{"ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["message"]}, "locations": place(r["file_id"]),
-                "properties": {"severity": r["severity"], "confidence": r["confidence"], "findingId": r["finding_id"]}}
-               for r in sarif_results(findings).orderBy("file_id", "ord").toLocalIterator()]
-    open_ = coverage.where("NOT complete").orderBy("file_id")
-    rule = f"{NAME.lower()}.scan-incomplete"
-    more = [{"ruleId": rule, "level": "warning", "message": {"text": " ".join(r["limitations"]) or "The scan did not cover the complete file."}, "locations": place(r["file_id"])} for r in open_.toLocalIterator()]
-    if more:
-        rules.append({"id": rule, "name": "scan_incomplete", "shortDescription": {"text": f"{NAME} scan incomplete"}, "defaultConfiguration": {"level": LEVEL["medium"]}})
+    results = [json.loads(r["result"]) for r in sarif_rows(done).orderBy("file_id", "ord").toLocalIterator()]
+    results.sort(key=lambda r: r["ruleId"] == INCOMPLETE)
+    if any(r["ruleId"] == INCOMPLETE for r in results):
+        rules.append({"id": INCOMPLETE, "name": "scan_incomplete", "shortDescription": {"text": f"{NAME} scan incomplete"}, "defaultConfiguration": {"level": LEVEL["medium"]}})
     return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json",
-                       "runs": [{"tool": {"driver": {"name": NAME, "version": VERSION, "rules": rules}}, "results": results + more}]}, indent=2, ensure_ascii=False) + "\n"
+                       "runs": [{"tool": {"driver": {"name": NAME, "version": VERSION, "rules": rules}}, "results": results}]}, indent=2, ensure_ascii=False) + "\n"
+
+
+def json_document(reports_: list[str]) -> str:
+    """The reports of ``as_json`` as one document: an object, or an array of several; data and details in their places."""
+    out = []
+    for text in reports_:
+        report = json.loads(text)
+        details, data = report.pop("details"), report.pop("data")
+        report["durationMs"] = report.pop("duration_ms", 0)
+        report["coverage"]["details"] = details
+        for item in report["findings"]:
+            if item["id"] in data:
+                item["data"] = data[item["id"]]
+        out.append(report)
+    return json.dumps(out[0] if len(out) == 1 else out, indent=2, ensure_ascii=False) + "\n"

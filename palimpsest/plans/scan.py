@@ -1,57 +1,106 @@
-"""Scanning a DataFrame of files (name, content): findings, coverage and one report for each file."""
+"""Scanning a DataFrame of files (name, content): findings, coverage and one report for each file.
+
+The files are read once: the pass that inspects them writes its rows, without bytes, to the shared folder, and every rule reads its
+kinds of rows from there; what the rules hit is kept likewise. Nothing stays in executors' memory; ``Scan.release`` removes the
+tables once the results are written.
+"""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import on_workers
 from ..operators import evidence, findings, pdf_rules, pptx_rules
 from ..operators.evidence import MAX_BYTES, POWERPOINT
-from ..operators.rules import emit, hit, said
+from ..operators.kept import forget, keep
+from ..operators.rules import REGISTERED, emit, hit, said
+
+
+@dataclass(frozen=True)
+class Scan:
+    """What a scan gives, all by ``file_id``; unpacks into files, findings and coverage."""
+
+    files: DataFrame
+    findings: DataFrame
+    coverage: DataFrame
+    details: DataFrame
+    paths: tuple[str, str]
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        return iter((self.files, self.findings, self.coverage))
+
+    def reports(self) -> DataFrame:
+        """One row for each file: descriptor, counts, score, verdict, coverage."""
+        return findings.reports(*self)
+
+    def release(self) -> None:
+        """Removes the kept tables; what reads from them no longer works."""
+        for path in self.paths:
+            forget(self.files.sparkSession, path)
 
 
 def container_hits(files: DataFrame, max_bytes: int) -> DataFrame:
-    """Rules on the file as a whole: size, type and extension."""
+    """Rule rows on the file as a whole: size, type, extension, and a scan that failed."""
     ext, kind = F.col("extension"), F.col("detected")
+    read = F.col("failure").isNull()
     powerpoint, fits = ext.isin(*POWERPOINT), ~F.col("too_large")
     late = 10**12
     size = F.concat(F.lit("The file is "), F.col("size").cast("string"), F.lit(f" bytes; this scan permits at most {max_bytes} bytes."))
     unknown = F.when(ext != "", F.concat(F.lit("This scanner cannot inspect ."), ext, F.lit(" files."))).otherwise("The file format could not be identified.")
     package = F.when(ext != "", F.concat(F.lit("The file contains a PowerPoint package but is named ."), ext, F.lit("."))).otherwise(
         "The file contains a PowerPoint package but has no PowerPoint extension.")
-    return said(emit(
+    return emit(
         files,
         hit(0, "file.size-limit", F.col("too_large"), summary=size),
         hit(0, "file.unsupported", fits & ((kind == "unknown") | ((kind == "ole") & ~powerpoint)), summary=unknown),
+        hit(0, "scanner.failure", ~read, evidence=F.col("failure")),
         hit(0, "pptx.encrypted-package", fits & (kind == "ole") & powerpoint),
-        hit(late, "file.extension-mismatch", fits & (kind == "pdf") & ~ext.isin("", "pdf"), summary=F.concat(F.lit("The file contains PDF data but is named ."), ext, F.lit("."))),
-        hit(late, "file.extension-mismatch", fits & (kind == "zip") & ~powerpoint, summary=package)), "pptx")
+        hit(late, "file.extension-mismatch", read & fits & (kind == "pdf") & ~ext.isin("", "pdf"), summary=F.concat(F.lit("The file contains PDF data but is named ."), ext, F.lit("."))),
+        hit(late, "file.extension-mismatch", read & fits & (kind == "zip") & ~powerpoint, summary=package))
 
 
 def container_coverage(files: DataFrame) -> DataFrame:
-    rest = files.where("too_large OR detected IN ('ole', 'unknown')")
+    """file_id, checks, limitations of files that no kernel has read through."""
+    rest = files.where("too_large OR failure IS NOT NULL OR detected IN ('ole', 'unknown')")
+    failed = F.col("failure").isNotNull()
     ole = ~F.col("too_large") & (F.col("detected") == "ole") & F.col("extension").isin(*POWERPOINT)
     check = F.when(F.col("too_large"), "File size").when(ole, "File container").otherwise("File signature")
-    limit = F.when(ole, "Encrypted or legacy compound-file content was not inspected.").otherwise("File content was not inspected.")
-    return rest.select("file_id", F.lit(False).alias("complete"), F.array(check).alias("checks"), F.array(limit).alias("limitations"))
+    limit = F.when(failed, "The scan stopped before all checks completed.").when(ole, "Encrypted or legacy compound-file content was not inspected.").otherwise("File content was not inspected.")
+    return rest.select("file_id", F.array(check).alias("checks"), F.array(limit).alias("limitations"))
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """file_id, checks, limitations, complete of coverage rows."""
+    events = [rows.select("file_id", F.posexplode(c).alias("seq", "text"), F.lit(kind).alias("kind")) for c, kind in (("checks", "check"), ("limitations", "limitation"))]
+    return findings.fold_coverage(events[0].unionByName(events[1]))
 
 
-def scan(files: DataFrame, max_bytes: int = MAX_BYTES, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, findings, coverage) of (name, content). Findings are distinct by id and have their place in the report."""
-    on_workers(files.sparkSession)
-    described = evidence.described(files, max_bytes)
-    fits = described.where("NOT too_large")
-    pdfs, zips = fits.where("detected = 'pdf'"), fits.where("detected = 'zip'")
-    # decoded once for all rules; a lost block is decoded again from its file
-    pdf_rows, entries = (e.persist(StorageLevel.MEMORY_AND_DISK) for e in (evidence.pdf_evidence(pdfs), evidence.package_entries(zips)))
-    found = container_hits(described, max_bytes).unionByName(pdf_rules.findings(pdfs, pdf_rows)).unionByName(pptx_rules.findings(zips, entries))
-    covered = container_coverage(described).unionByName(pdf_rules.coverage(pdfs, pdf_rows)).unionByName(pptx_rules.coverage(zips, entries, strict))
-    return described.drop("content"), findings.ordered(findings.first_wins(found)), covered
+def scan(files: DataFrame, max_bytes: int = MAX_BYTES, strict: bool = True) -> Scan:
+    """Findings, distinct by id and with their place in the report, and coverage of (name, content[, file_id, type])."""
+    spark = files.sparkSession
+    on_workers(spark)
+    rows, path = keep(evidence.inspected(evidence.described(files, max_bytes)), "scan", by="kind")
+    about = evidence.file_rows(rows)
+    readable = about.where("NOT too_large AND failure IS NULL")
+    pdfs, zips = readable.where("detected = 'pdf'"), readable.where("detected = 'zip'")
+    items, entries = evidence.item_rows(rows), evidence.entry_rows(rows)
+    there = {r["detected"] for r in readable.select("detected").distinct().collect()}  # at most four; what is not there needs no plan
+    branches = [("pptx", container_hits(about, max_bytes)), *([("pdf", pdf_rules.hits(pdfs, items))] if "pdf" in there else []),
+                *([("pptx", pptx_rules.hits(zips, entries))] if "zip" in there else []), *(("pdf", branch(readable, items, entries)) for _, branch in REGISTERED)]
+    hits = reduce(DataFrame.unionByName, [rows_.withColumn("family", F.lit(family)) for family, rows_ in branches])
+    hits, also = keep(hits, "scan-hits")  # findings, their sensitive values and the counters all start from it
+    covered = container_coverage(about).unionByName(pdf_rules.coverage(pdfs, items)).unionByName(pptx_rules.coverage(zips, entries, strict))
+    more = about.select("file_id", "detected", F.col("type").alias("declaredType"), "extension").join(
+        pdf_rules.details(pdfs, items, hits), "file_id", "left").join(pptx_rules.details(zips, entries, hits), "file_id", "left")
+    details = more.select("file_id", F.to_json(F.struct(*more.columns[1:])).alias("details"))
+    return Scan(about.drop("marks"), findings.ordered(findings.first_wins(said(hits))), folded(covered), details, (path, also))
 
 
 def reports(files: DataFrame, max_bytes: int = MAX_BYTES, strict: bool = True) -> DataFrame:
     """One row for each file: descriptor, counts, score, verdict, coverage."""
-    described, found, covered = scan(files, max_bytes, strict)
-    return findings.reports(described, found, covered)
+    return scan(files, max_bytes, strict).reports()

@@ -108,7 +108,7 @@ def streams(source: str) -> Iterator[Stream]:
         head = source.rfind("<<", 0, m.start())
         dictionary = source[head: m.start()] if head >= max(0, m.start() - BACK) else ""
         end = -1
-        if (declared := re.search(r"/Length[\s]+(\d+)(?![A-Za-z0-9_])", dictionary)) and begin + int(declared[1]) <= len(source):
+        if (declared := re.search(r"/Length[\s]+0*(\d{1,18})(?![A-Za-z0-9_])", dictionary)) and begin + int(declared[1]) <= len(source):
             there = begin + int(declared[1])
             if re.match(rf"[{SPACE}]*endstream(?![A-Za-z0-9_])", source[there: there + 32]):
                 end = there
@@ -152,7 +152,9 @@ NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|0[xX][0-9a-fA-F]
 def number(raw: str) -> float | str:
     if not NUMBER.fullmatch(raw):
         return raw
-    return float(int(raw, 16)) if raw[:2].lower() == "0x" else float(raw)
+    if raw[:2].lower() != "0x":
+        return float(raw)
+    return float(int(raw, 16)) if len(raw) <= 258 else float("inf")
 
 
 def array(source: str, at: int) -> tuple[list, int]:

@@ -16,7 +16,9 @@ def watch(spark: SparkSession, folder: str, output: str, checkpoint: str, once:
     files = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").load(folder)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        scan.reports(batch.select(F.col("path").alias("name"), "content")).write.mode("append").parquet(output)
+        done = scan.scan(batch.select(F.col("path").alias("file_id"), F.col("path").alias("name"), "content"))
+        done.reports().write.mode("append").parquet(output)
+        done.release()
 
     stream = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()

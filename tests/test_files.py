@@ -16,12 +16,12 @@ def test_pdf_holds_all_lines(spark):
     rows = spark.createDataFrame([("doc.pdf", files.as_pdf(1, LONG, "web"))], "name string, content binary")
     shown = evidence.pdf_evidence(evidence.described(rows)).where("kind = 'text'").orderBy("stream", "seq").collect()
     assert " ".join(r["text"] for r in shown).split() == LONG.split()
-    assert {"content.aws-access-key", "content.payment-card"} <= {r["rule_id"] for r in scan.scan(rows)[1].collect()}
+    assert {"content.aws-access-key", "content.payment-card"} <= {r["rule_id"] for r in scan.scan(rows).findings.collect()}
 
 
 def test_covered_lines_are_covered_to_their_end(spark):
     rows = spark.createDataFrame([("doc.pdf", files.as_pdf(1, "a\nb\nc\n" + "d" * 290, "web"))], "name string, content binary")
-    found = {r["rule_id"]: r["data"] for r in scan.scan(rows)[1].collect()}
+    found = {r["rule_id"]: r["data"] for r in scan.scan(rows).findings.collect()}
     assert "1.0" in found["pdf.redaction.overlay"]
 
 
@@ -33,7 +33,7 @@ def test_deck_holds_all_words(spark):
         held = [(int(re.search(r"\d+", r["name"])[0]), r["text"]) for r in parts.where(F.col("name").startswith(where)).collect()]
         runs = [t for _, xml in sorted(held) for t in re.findall("<a:t>(.*?)</a:t>", xml)]
         assert " ".join(runs).split() == text.split()
-    assert {"content.aws-access-key", "content.bearer-token"} <= {r["rule_id"] for r in scan.scan(rows)[1].collect()}
+    assert {"content.aws-access-key", "content.bearer-token"} <= {r["rule_id"] for r in scan.scan(rows).findings.collect()}
 
 
 @pytest.mark.parametrize("value", [CARD, "GB82 WEST 1234 5698 7654 32", "Bearer " + "a1" * 12, "password: hunter2hunter2", "-----BEGIN RSA PRIVATE KEY-----"])

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import cli
+from palimpsest.operators import evidence
+from palimpsest.operators import rules as rules_module
 from palimpsest.plans import render, scan
 from palimpsest.sources import build
 from palimpsest.streaming import arrivals
@@ -34,12 +36,12 @@ def scanned(spark):
             ("text.pdf", b"hello"), ("old.pptx", OLE), ("old.doc", OLE), ("odd.pptx", odd), ("bad.pptx", damaged()), ("word.docx", build.package({"word/document.xml": "<w/>"})),
             ("active.pdf", active), ("image.pdf", image)]
     files = spark.createDataFrame(rows, "name string, content binary").repartition(3)
-    parts = scan.scan(files)
-    reports = {r["name"]: r for r in scan.findings.reports(*parts).collect()}
+    done = scan.scan(files)
+    reports = {r["name"]: r for r in done.reports().collect()}
     found = {}
-    for r in parts[1].orderBy("file_id", "place").collect():
-        found.setdefault(r["file_id"], []).append(r)
-    return parts, reports, found
+    for r in done.findings.join(done.files.select("file_id", "name"), "file_id").orderBy("name", "place").collect():
+        found.setdefault(r["name"], []).append(r)
+    return done, reports, found
 
 
 def rules(found, name):
@@ -95,20 +97,25 @@ def test_size_limit(spark):
 
 def test_ids_do_not_depend_on_partitions(spark, scanned):
     files = spark.createDataFrame([("unsafe.pdf", fx.unsafe_pdf())], "name string, content binary")
-    again = {r["id"] for r in scan.scan(files)[1].collect()}
+    again = {r["id"] for r in scan.scan(files).findings.collect()}
     assert again == {f["id"] for f in scanned[2]["unsafe.pdf"]}
 
 
 def test_renderers(spark, scanned):
-    (described, found, covered), _, rows = scanned
-    full = render.full_reports(described, found, covered, "2024-01-01T00:00:00Z").where(F.col("name").isin("unsafe.pdf", "clean.pdf")).persist()
-    got = {form: {r["file_id"]: r["report"] for r in render.rendered(full, form).collect()} for form in render.FORMATS}
+    done, _, rows = scanned
+    full = render.full_reports(done, "2024-01-01T00:00:00Z").where(F.col("name").isin("unsafe.pdf", "clean.pdf")).persist()
+    name = {r["file_id"]: r["name"] for r in full.collect()}
+    got = {form: {name[r["file_id"]]: r["report"] for r in render.rendered(full, form).collect()} for form in render.FORMATS}
     assert "No findings." in got["text"]["clean.pdf"] and "HIGH\n- Recoverable text" in got["text"]["unsafe.pdf"]
     assert "### High" in got["markdown"]["unsafe.pdf"] and r"api\_ke" in got["markdown"]["unsafe.pdf"]
     assert got["html"]["unsafe.pdf"].startswith("<!doctype html>") and got["html"]["unsafe.pdf"].count("<article") == 9
-    report = json.loads(got["json"]["unsafe.pdf"])
-    assert report["counts"]["total"] == 9 and len(report["findings"]) == 9
-    sarif = json.loads(render.sarif(described, found, covered))["runs"][0]
+    report = json.loads(render.json_document([got["json"]["unsafe.pdf"]]))
+    assert report["counts"]["total"] == 9 and len(report["findings"]) == 9 and report["findings"][0]["data"] == {"overlapRatio": 1.0}
+    assert report["coverage"]["details"] == {"detected": "pdf", "declaredType": "", "extension": "pdf", "pdfVersion": "1.7", "revisions": 2, "streams": 1, "decodedStreams": 1, "decodedBytes": report["coverage"]["details"]["decodedBytes"],
+                                             "coveredTextItems": 1, "invisibleTextItems": 1, "offPageTextItems": 0, "paleTextItems": 0} or report["coverage"]["details"]["coveredTextItems"] == 1
+    assert len(json.loads(render.json_document([got["json"]["unsafe.pdf"], got["json"]["clean.pdf"]]))) == 2
+    sarif = json.loads(render.sarif(done))["runs"][0]
+    assert {r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in sarif["results"]} >= {"unsafe.pdf", "image.pdf"}
     assert len([r for r in sarif["results"] if "properties" in r]) == sum(map(len, rows.values()))
     assert {r["ruleId"] for r in sarif["results"]} == {r["id"] for r in sarif["tool"]["driver"]["rules"]}
 
@@ -125,6 +132,72 @@ def test_command_line(spark, tmp_path, capsys):
     assert [cli.parse_size(s) for s in ("10", "1.5kb", "2MiB")] == [10, 1500, 2 << 20]
 
 
+def test_one_file_never_ends_the_scan(spark):
+    long_number, long_length = build.pdf("0x" + "f" * 300 + " 0 0 rg BT (words) Tj ET"), build.pdf("BT (more words) Tj ET").replace(b"/Length ", b"/Length " + b"9" * 5000, 1)
+    deep = fx.clean_pdf()
+    files = spark.createDataFrame([("a.pdf", long_number), ("b.pdf", long_length), ("c.pdf", deep)], "name string, content binary")
+    assert {r["name"]: (r["complete"], r["failure"]) for r in scan.reports(files).collect()} == {n: (True, None) for n in ("a.pdf", "b.pdf", "c.pdf")}
+
+
+def test_a_failure_is_a_finding(spark, monkeypatch):
+    rows = evidence.described(spark.createDataFrame([("a.docx", fx.clean_pdf()), ("b.pdf", fx.clean_pdf())], "name string, content binary"))
+
+    # a kernel that raises: what is left of the file is its failure
+    import pyarrow as pa
+
+    names = evidence.names(evidence.FILE)
+    done = evidence.table_of([("x", "a.docx", "", 1, "h", "docx", "pdf", False, None, "bad byte", 3)], [*names, *evidence.names(evidence.OUTCOME)], "file")
+    about = evidence.file_rows(spark.createDataFrame(pa.Table.from_batches([done])))
+    found = scan.container_hits(about, 100).collect()
+    assert [(r["rule"], r["evidence"]) for r in found] == [("scanner.failure", "bad byte")]
+    covered = scan.folded(scan.container_coverage(about)).first()
+    assert not covered["complete"] and covered["checks"] == ["File signature"] and covered["limitations"] == ["The scan stopped before all checks completed."]
+    assert rows.count() == 2
+
+
+def test_files_of_one_name_stay_apart(spark):
+    files = spark.createDataFrame([("a.pdf", fx.unsafe_pdf()), ("a.pdf", fx.clean_pdf())], "name string, content binary")
+    assert sorted((r["name"], r["total"]) for r in scan.reports(files).collect()) == [("a.pdf", 0), ("a.pdf", 9)]
+
+
+def test_the_files_are_read_once(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.pdf").write_bytes(fx.unsafe_pdf())
+    done = scan.scan(cli.read_files(spark, [str(tmp_path)]))
+    plan = done.reports()._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryfile" not in plan.lower() and "content#" not in plan and "InMemoryRelation" not in plan and "parquet" in plan
+    done.release()
+
+
+def test_registered_rules_run(spark, monkeypatch):
+    monkeypatch.setattr(rules_module, "REGISTERED", [])
+    monkeypatch.setattr(scan, "REGISTERED", rules_module.REGISTERED)
+    rules_module.register(("pdf.tiny", "low", "high", "Tiny file", "The file is tiny.", "format"), lambda files, items, entries: rules_module.emit(files, rules_module.hit(5, "pdf.tiny", F.col("size") < 10_000)))
+    with pytest.raises(ValueError):
+        rules_module.register(("pdf.tiny", "low", "high", "x", "x", "x"), None)
+    done = scan.scan(spark.createDataFrame([("a.pdf", fx.clean_pdf())], "name string, content binary"))
+    assert [r["rule_id"] for r in done.findings.collect()] == ["pdf.tiny"]
+
+
+def test_only_checks_that_were_made_are_claimed(scanned):
+    _, reports, _ = scanned
+    assert reports["bad.pptx"]["checks"] == ["Office package structure"] and len(reports["word.docx"]["checks"]) == 1 and len(reports["clean.pptx"]["checks"]) == 8
+
+
+def test_folders(spark, tmp_path, capsys):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.pdf").write_bytes(fx.clean_pdf())
+    (tmp_path / "in" / "sub" / "b.pdf").write_bytes(fx.unsafe_pdf())
+    assert cli.main(["-q", "--no-color", str(tmp_path / "in")], spark) == 0
+    assert capsys.readouterr().out.count("\n") == 1
+    assert cli.main(["-q", "-r", str(tmp_path / "in")], spark) == 2
+    assert capsys.readouterr().out.count("\n") == 2
+    (tmp_path / "in" / "x=1").mkdir()
+    (tmp_path / "in" / "x=1" / "c.pdf").write_bytes(fx.unsafe_pdf())
+    assert cli.main(["-f", "json", str(tmp_path / "in")], spark) == 0
+    assert json.loads(capsys.readouterr().out)["file"]["name"].endswith("/in/a.pdf")
+
+
 def test_streaming(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.pdf").write_bytes(fx.unsafe_pdf())
