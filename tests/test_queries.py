@@ -24,8 +24,8 @@ def rows(frame, columns):
     return sorted(repr(tuple(v.item() if hasattr(v, "item") else v for v in r)) for r in plain.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, db, name):
-    got, want = catalog.queries()[name](spark, SF).toPandas(), db.execute(catalog.ORACLES[name]).df()
+    got, want = catalog.queries()[name](spark, SF).toPandas(), db.execute(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
