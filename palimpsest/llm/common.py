@@ -26,12 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is taken instead.
+    Only a session on one machine may name none (tests); a temporary folder is taken then.
     """
     on_workers(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
     made = os.path.join(tempfile.gettempdir(), f"palimpsest-shared-{os.getpid()}")
     os.makedirs(made, exist_ok=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
@@ -55,6 +58,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a table that was written in the shared folder and is not read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def parts_for(rows: int, each: int, least: int = 64) -> int:
     """How many parts keep about ``each`` rows in a part; never fewer than ``least`` so that small tables spread too."""
     return max(least, -(-rows // each))

@@ -39,7 +39,7 @@ def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_jaccard.classes(table(spark, sf_dir, "documents")).drop("row")
+    return op10_jaccard.classes(table(spark, sf_dir, "documents")).drop("row", "h", "class", "worded")
 
 
 def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
