@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import op4_mix, op5_suffix, op6_toxicity, op8_pieces, op10_jaccard
-from palimpsest.llm.common import shared_dir, table
+from palimpsest.llm.common import forget, shared_dir, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +34,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out whole documents so that the sources' words come near their targets.
 
     A document that the mix takes in full rounds is there as often; the part taken of a last one counts as a whole
-    copy if it is half of the document or more.
+    copy if it is half of the document or more. A document without words adds none to any share and stays once.
     """
     mixed = op4_mix.mix(docs, keep=tuple(docs.columns))
-    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int")
     return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
 
 
@@ -60,12 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's table goes as soon as the next one is written; the last one is what the result reads."""
+    docs, written = table(spark, sf_dir, "documents"), ""
     for k, (_, stage) in enumerate(STAGES):
-        if k:
-            docs = spark.read.parquet(path)
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{shared_dir(spark).rstrip('/')}/pipeline-{k}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if written:
+                forget(spark, written)
+            written = path
     return docs
