@@ -30,6 +30,16 @@ def first_units(text: Column, n: int) -> Column:
     return F.when(units(text) == F.length(text), F.substring(text, 1, n)).otherwise(let(F.substring(F.encode(text, "UTF-16BE"), 1, 2 * n), cut))
 
 
+def last_units(text: Column, n: int) -> Column:
+    """The last ``n`` UTF-16 units; a pair that would be cut in half is left out."""
+    def cut(raw: Column) -> Column:
+        tail = F.substring(raw, -2 * n, 2 * n)
+        half = F.hex(F.substring(tail, 1, 1)).between("DC", "DF")
+        return F.decode(F.when(half, F.substring(tail, 3, 2 * n - 2)).otherwise(tail), "UTF-16BE")
+
+    return F.when(units(text) == F.length(text), F.substring(text, -n, n)).otherwise(let(F.encode(text, "UTF-16BE"), cut))
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
@@ -43,7 +53,7 @@ def compact(text: Column, most: int = 180) -> Column:
 def redact(text: Column) -> Column:
     """The first six and last four characters; values of up to twelve stay as they are."""
     return let(compact(text, 240), lambda clean: F.when(units(clean) <= 12, clean).otherwise(
-        F.concat(F.substring(clean, 1, 6), F.lit("…"), F.substring(clean, -4, 4))))
+        F.concat(first_units(clean, 6), F.lit("…"), last_units(clean, 4))))
 
 
 def safe_evidence(text: Column) -> Column:

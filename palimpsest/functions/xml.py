@@ -60,16 +60,14 @@ def tags(xml: Column, name: str) -> Column:
     return F.arrays_zip(*[F.regexp_extract_all(xml, p, F.lit(g)).alias(n) for g, n in enumerate(("raw", "attributes", "inner"))])
 
 
-def attribute_names(raw: Column) -> Column:
-    return F.regexp_extract_all(raw, F.lit(rf"""([A-Za-z_][\w:.-]*)[{SPACE}]*=[{SPACE}]*(?:"([^"]*)"|'([^']*)')"""), F.lit(1))
+#: Fixed value: what an attribute looks like.
+ATTRIBUTE = rf"""([A-Za-z_][\w:.-]*)[{SPACE}]*=[{SPACE}]*(?:"([^"]*)"|'([^']*)')"""
 
 
 def attribute(raw: Column, name: str) -> Column:
     """The last value of the attribute, decoded; null where it is absent."""
-    pattern = rf"""([A-Za-z_][\w:.-]*)[{SPACE}]*=[{SPACE}]*(?:"([^"]*)"|'([^']*)')"""
-
     def last(r: Column) -> Column:
-        each = F.arrays_zip(*[F.regexp_extract_all(r, F.lit(pattern), F.lit(g)).alias(n) for g, n in enumerate("kab", 1)])
+        each = F.arrays_zip(*[F.regexp_extract_all(r, F.lit(ATTRIBUTE), F.lit(g)).alias(n) for g, n in enumerate("kab", 1)])
         return F.try_element_at(F.filter(each, lambda a: a["k"] == name), F.lit(-1))
 
     return decode_xml(let(let(raw, last), lambda a: F.concat(a["a"], a["b"])))

@@ -20,18 +20,19 @@ CAPS = {"covered": 20, "invisible": 20, "off": 10, "pale": 5}
 
 
 def strings(evidence: DataFrame) -> DataFrame:
-    """For each file ordered lists of its raw string values by key."""
-    rows = evidence.where("kind = 'string' AND stream = 0").withColumn("clean", safe_evidence(F.col("text"))).where("clean <> ''")
+    """For each file ordered lists of its string values by key; ``names`` as they are in the file, the others cleaned."""
+    rows = evidence.where("kind = 'string' AND stream = 0").withColumn("clean", safe_evidence(F.col("text")))
     turn = F.when(F.col("key") == "Author", 0).when(F.col("key") == "Creator", 1).otherwise(2)
     label = F.lit("")
     for k, v in LABELS.items():
         label = F.when(F.col("key") == k, f"{v}: ").otherwise(label)
     seq, clean = F.col("seq"), F.col("clean")
+    keyed = lambda *keys: F.col("key").isin(*keys) & (clean != "")
     return rows.groupBy("file_id").agg(
-        in_order(F.col("key").isin(*LABELS), F.concat(label, clean), turn, seq).alias("identity"),
-        F.array_distinct(in_order(F.col("key").isin("F", "UF"), clean, F.col("key") == "UF", seq)).alias("names"),
-        F.array_distinct(in_order(F.col("key").isin("V", "DV"), clean, F.col("key") == "DV", seq)).alias("values"),
-        in_order(F.col("key") == "Contents", clean, seq).alias("comments"))
+        in_order(keyed(*LABELS), F.concat(label, clean), turn, seq).alias("identity"),
+        F.array_distinct(in_order(F.col("key").isin("F", "UF"), F.col("text"), F.col("key") == "UF", seq)).alias("names"),
+        F.array_distinct(in_order(keyed("V", "DV"), clean, F.col("key") == "DV", seq)).alias("values"),
+        in_order(keyed("Contents"), clean, seq).alias("comments"))
 
 
 #: Whether a marker stands in the file, as patterns over its bytes.
@@ -72,7 +73,7 @@ def hits(files: DataFrame, evidence: DataFrame) -> DataFrame:
         hit(2, "pdf.metadata.personal", F.size("identity") > 0, evidence=listed(F.col("identity"), 5, "; "), data=F.to_json(F.struct(F.slice("identity", 1, 10).alias("fields")))),
         hit(3, "pdf.revisions.incremental", (eof > 1) | (xref > 1) | mark("prev"), evidence=F.concat(plural(eof, "EOF"), F.lit("; "), plural(xref, "startxref"))),
         hit(4, "pdf.attachments", mark("attached"),
-            evidence=F.when(F.size("names") > 0, listed(F.col("names"), 10, ", ")).otherwise("EmbeddedFiles, FileAttachment, or Filespec structure found")),
+            evidence=F.when(F.size("names") > 0, F.array_join(F.transform(F.slice("names", 1, 10), safe_evidence), ", ")).otherwise("EmbeddedFiles, FileAttachment, or Filespec structure found")),
         hit(5, "pdf.active-content", mark("active"), severity=F.when(mark("severe"), "high").otherwise("medium"), evidence=F.array_join(mark("actions"), ", ")),
         hit(6, "pdf.forms", mark("form"), severity=F.when(filled, "medium").otherwise("low"),
             summary=F.when(filled, "The PDF contains form fields with saved or default values."), evidence=F.when(filled, F.array_join(values, "; ")).otherwise("AcroForm or XFA structure found"),

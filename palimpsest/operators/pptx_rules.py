@@ -26,7 +26,7 @@ CORE = (("creator", "docProps/core.xml", "creator"), ("lastModifiedBy", "docProp
 FIELDS = ("creator", "lastModifiedBy", "title", "subject", "keywords", "company", "manager", "template", "application")
 SLIDE = r"(?i)^ppt/slides/slide(\d+)\.xml$"
 NEED = ("[Content_Types].xml", "ppt/presentation.xml")
-STEP = 1_000_000  # between groups of rules in the order of emission
+STEP = 10**9  # between groups of rules in the order of emission
 
 
 def number(raw: Column) -> Column:
@@ -131,7 +131,7 @@ def slides(parts: DataFrame) -> DataFrame:
 def slide_hits(parts: DataFrame, rels: DataFrame) -> DataFrame:
     s = slides(parts)
     place = F.concat(F.lit("Slide "), F.col("number").cast("string"))
-    base = 10 * STEP + F.col("number").cast("bigint") * 10_000
+    base = 10 * STEP + F.col("number").cast("bigint") * 1_000_000
     root = F.regexp_extract("xml", rf"(?is)<p:sld{EDGE}([^>]*)>", 1)
     text = compact(xml.text_runs(F.col("xml")), 1600)
     hidden = emit(s.withColumn("text", text).withColumn("off", one_of(xml.attribute(root, "show"), "0", "false", "off", "no")),
@@ -182,7 +182,7 @@ def shape_hits(parts: DataFrame, s: DataFrame, linked: DataFrame) -> DataFrame:
     media = linked.groupBy("file_id", "slide", "rel_id").agg(F.max_by("to", "seq").alias("media"))
     sh = shapes(parts, s).join(media, ["file_id", "slide", "rel_id"], "left")
     place = F.concat(F.lit("Slide "), F.col("number").cast("string"), F.lit(" — "), "name")
-    base = 10 * STEP + F.col("number") * 10_000 + 2 + F.col("seq") * 4
+    base = 10 * STEP + F.col("number") * 1_000_000 + 2 + F.col("seq") * 4
     first = lambda *c: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in c])
     joined = lambda sep, *c: F.array_join(F.filter(F.array(*c), lambda x: x != ""), sep)
     held, words = first("text", "descr", "title", "name"), joined("\n", "text", "descr", "title")

@@ -49,7 +49,7 @@ def container_hits(files: DataFrame, max_bytes: int) -> DataFrame:
     ext, kind = F.col("extension"), F.col("detected")
     read = F.col("failure").isNull()
     powerpoint, fits = ext.isin(*POWERPOINT), ~F.col("too_large")
-    late = 10**12
+    late = 10**13
     size = F.concat(F.lit("The file is "), F.col("size").cast("string"), F.lit(f" bytes; this scan permits at most {max_bytes} bytes."))
     unknown = F.when(ext != "", F.concat(F.lit("This scanner cannot inspect ."), ext, F.lit(" files."))).otherwise("The file format could not be identified.")
     package = F.when(ext != "", F.concat(F.lit("The file contains a PowerPoint package but is named ."), ext, F.lit("."))).otherwise(

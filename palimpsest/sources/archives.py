@@ -17,6 +17,8 @@ FULL16, FULL32, SAFE = 0xFFFF, 0xFFFFFFFF, (1 << 53) - 1
 
 
 class PackageError(Exception):
+    """What is wrong with a package; messages and codes are fixed values that reports show."""
+
     def __init__(self, message: str, code: str = "ZIP_INVALID"):
         super().__init__(message)
         self.code = code

@@ -98,3 +98,10 @@ def test_geometry_borders(spark):
     assert one(spark, geometry.off_slide(*map(F.lit, (100., 0., 5., 5.)), 100, 100), "") is True
     assert one(spark, geometry.off_slide(*map(F.lit, (99., 0., 5., 5.)), 100, 100), "") is False
     assert one(spark, geometry.off_slide(F.lit(None).cast("double"), *map(F.lit, (0., 5., 5.)), 100, 100), "") is False
+
+
+def test_redacted_values_are_cut_by_units(spark):
+    from palimpsest.functions import text
+
+    rows = spark.createDataFrame([("abcdefghijklmnop",), ("🦊🦊🦊🦊🦊🦊🦊🦊",), ("abcde🦊ghijklm🦊xyz",)], "v string")
+    assert [r[0] for r in rows.select(text.redact(rows["v"])).collect()] == ["abcdef…mnop", "🦊🦊🦊…🦊🦊", "abcde…xyz"]
