@@ -28,6 +28,8 @@ ENTRY = ("file_id string, idx int, name string, packed bigint, unpacked bigint,
 PDF = ("file_id string, kind string, stream int, seq int, key string, text string, left double, right double, bottom double, top double, "
        "render_mode double, r double, g double, b double, size bigint")
 WANTED = (".xml", ".rels")
+#: Rows of one batch that leaves the kernels, and bytes of files after which one does.
+AT_ONCE, BYTES_AT_ONCE = 10_000, 16 << 20
 RAW_KEYS = ("Author", "Creator", "Producer", "F", "UF", "V", "DV", "Contents")
 STREAM_KEYS = ("Author", "Creator", "Producer")
 
@@ -143,20 +145,31 @@ def inspected(files: DataFrame) -> DataFrame:
     kernels = {"pdf": (pdf_rows, names(PDF), None), "zip": (package_rows, names(ENTRY), "entry")}
 
     def run(batches):
+        held: dict[str, list[tuple]] = {"pdf": [], "zip": []}
+        weight = {"pdf": 0, "zip": 0}
         for batch in batches:
+            done = []
             for i in range(batch.num_rows):
                 about = tuple(batch.column(c)[i].as_py() for c in names(FILE))
-                content, file_id, detected = batch.column("content")[i], about[0], about[6]
-                began, failure, rows = time.perf_counter(), None, []
-                if content.is_valid and detected in kernels:
+                content, file_id, detected = batch.column("content")[i].as_py(), about[0], about[6]
+                began, failure = time.perf_counter(), None
+                if content is not None and detected in kernels:
                     kernel, columns, kind = kernels[detected]
                     try:
-                        rows = list(kernel(file_id, content.as_py()))
+                        held[detected] += list(kernel(file_id, content))
                     except Exception as e:  # noqa: BLE001  one file must never end the scan of the others
-                        rows, failure = [], str(e) or type(e).__name__
-                for at in range(0, len(rows), 10_000):
-                    yield table_of(rows[at: at + 10_000], columns, kind)
-                yield table_of([(*about, failure, round(1000 * (time.perf_counter() - began)))], [*names(FILE), *names(OUTCOME)], "file")
+                        failure = str(e) or type(e).__name__
+                    weight[detected] += len(content)
+                    if len(held[detected]) >= AT_ONCE or weight[detected] >= BYTES_AT_ONCE:
+                        for at in range(0, len(held[detected]), AT_ONCE):
+                            yield table_of(held[detected][at: at + AT_ONCE], columns, kind)
+                        held[detected], weight[detected] = [], 0
+                done.append((*about, failure, round(1000 * (time.perf_counter() - began))))
+            if done:
+                yield table_of(done, [*names(FILE), *names(OUTCOME)], "file")
+        for detected, rows in held.items():
+            if rows:
+                yield table_of(rows, *kernels[detected][1:])
 
     return files.mapInArrow(run, ", ".join(ALL))
 
