@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, stored
 
-ORDERS, BITS, GATES, STRIDE, RATE, BINS, FREQUENT, SLOTS = (2, 3, 4), 18, 8, 16, 0.004, 24, 1 << 17, 4096
-END, BATCH, MIX_BATCH, PRIOR = 256, 1 << 18, 1 << 22, 24.0
+ORDERS, BITS, GATES, STRIDE, RATE, BINS, FREQUENT, SLOTS = (2, 3, 4), 18, 8, 8, 0.004, 24, 1 << 17, 4096
+END, BATCH, MIX_BATCH, PRIOR = 256, 1 << 18, 1 << 24, 24.0
 WORDS_AT_ONCE = 200_000
 
 
@@ -106,6 +106,20 @@ def contexts(symbols: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def contexts_at(symbols: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """``contexts`` at some places."""
+    out, h, done = [], np.zeros(len(at), np.uint32), 0
+    for order in ORDERS:
+        for back in range(done + 1, order + 1):
+            h += symbols.take(at - back)
+            h += np.uint32(1)
+            h *= np.uint32(0x2C1B3C6D)
+            h ^= h >> np.uint32(15)
+        done = order
+        out.append(h * np.uint32(0x9E3779B1))
+    return out
+
+
 def slot(context: np.ndarray, node: np.ndarray, bits: int = BITS) -> np.ndarray:
     h = context ^ node
     h *= np.uint32(0xC2B2AE35)
@@ -162,17 +176,17 @@ def mix_scores(texts: list[bytes], code: Code, table: np.ndarray) -> np.ndarray:
 def _mix(texts: list[bytes], code: Code, table: np.ndarray) -> np.ndarray:
     """The same for texts of falling length."""
     symbols, starts = stream(texts)
-    hashes = contexts(symbols)
     size = np.array([len(t) + 1 for t in texts])
-    k, n = len(hashes), len(texts)
+    k, n = len(ORDERS), len(texts)
+    falling = -size
     all_weights = np.full((k, n * GATES), 1.25 / k, np.float32)
     bins = np.linspace(-8, 8, BINS)
     seen = np.stack([PRIOR / (1 + np.exp(bins)), PRIOR / (1 + np.exp(-bins))], 1)
     all_seen = np.tile(seen.ravel(), n)
     total = np.zeros(n)
     for begin in range(0, int(size.max()), STRIDE):
-        docs = np.flatnonzero(size > begin)
-        m = len(docs)  # these are the first ones
+        m = int(np.searchsorted(falling, -begin, "left"))  # those that still go on are the first ones
+        docs = np.arange(m)
         weights, seen = all_weights[:, : m * GATES], all_seen[: m * BINS * 2]
         length = np.minimum(size[docs] - begin, STRIDE)
         first = np.cumsum(length) - length
@@ -183,7 +197,7 @@ def _mix(texts: list[bytes], code: Code, table: np.ndarray) -> np.ndarray:
         np.minimum(depth, GATES - 1, out=depth)
         gate = np.repeat(docs * GATES, per_doc)
         gate += depth
-        inputs = [table[j].take(slot(np.repeat(h[at], each), node), mode="clip") for j, h in enumerate(hashes)]
+        inputs = [table[j].take(slot(np.repeat(h, each), node), mode="clip") for j, h in enumerate(contexts_at(symbols, at))]
         mixed = weights[0].take(gate, mode="clip") * inputs[0]
         for j in range(1, k):
             mixed += weights[j].take(gate, mode="clip") * inputs[j]
@@ -196,16 +210,17 @@ def _mix(texts: list[bytes], code: Code, table: np.ndarray) -> np.ndarray:
         mixed += 0.5
         place = np.repeat(docs * BINS, per_doc)
         place += mixed.astype(np.int64)
-        refined = (seen[1::2] / (seen[0::2] + seen[1::2])).astype(np.float32)
+        place += place
+        ones = seen.take(place + 1, mode="clip")
+        refined = (ones / (seen.take(place, mode="clip") + ones)).astype(np.float32)
         one = bit.astype(np.float32)
         # the chance of what came: final where it is a one, else 1 - final
-        chance = (0.75 * p + 0.25 * refined.take(place, mode="clip")) * (2 * one - 1) + (1 - one)
+        chance = (0.75 * p + 0.25 * refined) * (2 * one - 1) + (1 - one)
         total[docs] += np.add.reduceat(np.log(chance), np.cumsum(per_doc) - per_doc, dtype=np.float64)
         one -= p
         one *= RATE
         for j in range(k):
             weights[j] += np.bincount(gate, one * inputs[j], m * GATES).astype(np.float32)
-        place += place
         place += bit
         seen += np.bincount(place, minlength=m * BINS * 2)
     return total / np.log(10)
@@ -293,6 +308,15 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         value = np.log10((n_frequent + 1) / whole)
         end_value = np.log10((ends + 1) / whole)
         known_tokens = pa.array(frequent, pa.binary())
+        held, size = [], 0
+
+        def mixed():
+            """The held batches with their scores: long documents of many batches go on together."""
+            scores = mix_scores([t for texts, _, _ in held for t in texts], code, table)
+            for texts, arrays, names in held:
+                part, scores = scores[: len(texts)], scores[len(texts):]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(part)], names=[*names, "score"])
+
         for batch in batches:
             texts = [encoded(t) for t in batch.column("text").to_pylist()]
             words = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.large_string(), safe=False)))
@@ -307,13 +331,19 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             base = np.bincount(owner[~rare], value[ids], n) + end_value
             many, other = np.bincount(owner[~rare], minlength=n), np.bincount(owner[rare], minlength=n)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(other)], pa.int32()), flat.filter(at.is_null()).cast(pa.binary()))
-            columns = {"n_tokens": many + other + 1, "known": many + (ends > 0), "base": base, "score": mix_scores(texts, code, table),
+            columns = {"n_tokens": many + other + 1, "known": many + (ends > 0), "base": base,
                        "n_bytes": np.array([len(t) for t in texts])}
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns.values()), lists],
-                                             names=["row", "doc_id", "held_out", *columns, "rare"])
+            held.append((texts, [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns.values()), lists],
+                         ["row", "doc_id", "held_out", *columns, "rare"]))
+            size += sum(map(len, texts))
+            if size >= MIX_BATCH:
+                yield from mixed()
+                held, size = [], 0
+        if held:
+            yield from mixed()
 
     scored = stored(docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(
-        run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<binary>"), "lm-scored")
+        run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, n_bytes long, rare array<binary>, score double"), "lm-scored")
     pairs = scored.select("row", F.explode("rare").alias("token"))
     met = pairs.join(words, "token", "left")
     rest = met.groupBy("row").agg(F.count("n").alias("more_known"),
