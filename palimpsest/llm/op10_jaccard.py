@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import cut, grouped, stored
 
 WORDS, SIMILARITY, TREES, DEPTH, RECALL, BINS = 5, 0.8, 8, 3, 0.999, 40
-CELL_ROWS, CELL_SHINGLES = 512, 400_000
+CELL_ROWS, CELL_SHINGLES, MEMO = 512, 400_000, 100_000
 WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(91)
 MULTIPLY = _rng.integers(1, 2**63, (TREES, DEPTH), dtype=np.uint64) | np.uint64(1)
@@ -73,7 +73,7 @@ def shingles(text: str | None, memo: dict, words: int = WORDS) -> np.ndarray:
         h = memo.get(w)
         if h is None:
             h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            if len(memo) > 500_000:
+            if len(memo) > MEMO:
                 memo.clear()
             memo[w] = h
         hashed.append(h)

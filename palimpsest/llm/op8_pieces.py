@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-CHUNK, FAN, MEMO, AT_ONCE = 65_536, 32, 300_000, 1 << 22
+CHUNK, FAN, MEMO, AT_ONCE = 65_536, 32, 120_000, 1 << 22
 BLANK, OWN_BLANK = "▁", "\udc81"
 LOW = -(1 << 60)
 
