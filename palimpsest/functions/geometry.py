@@ -22,7 +22,8 @@ def overlap_ratio(text: dict[str, Column], rect: dict[str, Column]) -> Column:
     wide = F.greatest(zero, F.least(text["right"], rect["right"]) - F.greatest(text["left"], rect["left"]))
     high = F.greatest(zero, F.least(text["top"], rect["top"]) - F.greatest(text["bottom"], rect["bottom"]))
     area = F.greatest(F.lit(1.0), (text["right"] - text["left"]) * (text["top"] - text["bottom"]))
-    return wide * high / area
+    share = wide * high / area
+    return F.when(~F.isnan(share), share)
 
 
 def dark_fill(r: Column, g: Column, b: Column) -> Column:
@@ -30,11 +31,12 @@ def dark_fill(r: Column, g: Column, b: Column) -> Column:
 
 
 def pale_fill(r: Column, g: Column, b: Column) -> Column:
-    return reduce(and_, (c >= PALE for c in (r, g, b)))
+    return reduce(and_, ((c >= PALE) & ~F.isnan(c) for c in (r, g, b)))
 
 
 def off_page(left: Column, right: Column, bottom: Column, top: Column) -> Column:
-    return (right < PAGE[0]) | (left > PAGE[1]) | (top < PAGE[2]) | (bottom > PAGE[3])
+    beyond = lambda side, border: (side > border) & ~F.isnan(side)  # noqa: E731  no number is beside nothing
+    return (right < PAGE[0]) | beyond(left, PAGE[1]) | (top < PAGE[2]) | beyond(bottom, PAGE[3])
 
 
 def off_slide(x: Column, y: Column, w: Column, h: Column, width, height) -> Column:

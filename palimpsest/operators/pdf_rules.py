@@ -29,13 +29,14 @@ def strings(evidence: DataFrame) -> DataFrame:
     seq, clean = F.col("seq"), F.col("clean")
     keyed = lambda *keys: F.col("key").isin(*keys) & (clean != "")
     return rows.groupBy("file_id").agg(
+        in_order(keyed(*LABELS), F.struct("key", F.rtrim(label, F.lit(": ")).alias("label"), clean.alias("value")), turn, seq).alias("fields"),
         in_order(keyed(*LABELS), F.concat(label, clean), turn, seq).alias("identity"),
         F.array_distinct(in_order(F.col("key").isin("F", "UF"), F.col("text"), F.col("key") == "UF", seq)).alias("names"),
         F.array_distinct(in_order(keyed("V", "DV"), clean, F.col("key") == "DV", seq)).alias("values"),
         in_order(keyed("Contents"), clean, seq).alias("comments"))
 
 
-#: Whether a marker stands in the file, as patterns over its bytes.
+#: Fixed values, as are ACTIONS and NOTES: whether a marker stands in the file, as patterns over its bytes.
 MARKERS = {
     "encrypt": f"/Encrypt{EDGE}",
     "prev": rf"/Prev[{SPACE}]+\d+",
@@ -70,7 +71,7 @@ def hits(files: DataFrame, evidence: DataFrame) -> DataFrame:
     raw = emit(
         whole,
         hit(1, "pdf.encryption", mark("encrypt")),
-        hit(2, "pdf.metadata.personal", F.size("identity") > 0, evidence=listed(F.col("identity"), 5, "; "), data=F.to_json(F.struct(F.slice("identity", 1, 10).alias("fields")))),
+        hit(2, "pdf.metadata.personal", F.size("identity") > 0, evidence=listed(F.col("identity"), 5, "; "), data=F.to_json(F.struct(F.slice("fields", 1, 10).alias("fields")))),
         hit(3, "pdf.revisions.incremental", (eof > 1) | (xref > 1) | mark("prev"), evidence=F.concat(plural(eof, "EOF"), F.lit("; "), plural(xref, "startxref"))),
         hit(4, "pdf.attachments", mark("attached"),
             evidence=F.when(F.size("names") > 0, F.array_join(F.transform(F.slice("names", 1, 10), safe_evidence), ", ")).otherwise("EmbeddedFiles, FileAttachment, or Filespec structure found")),

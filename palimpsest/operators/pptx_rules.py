@@ -122,22 +122,34 @@ def package_hits(files: DataFrame, parts: DataFrame) -> DataFrame:
     return base.unionByName(inner)
 
 
+def written(n: Column) -> Column:
+    """A whole number of any size as it is shown: all digits below 10**21, else with an exponent."""
+    text = n.cast("string")
+    digits, power = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$|\.", ""), F.substring_index(text, "E", -1).try_cast("int")
+    short = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    return F.when(n < 2.0**53, n.try_cast("bigint").cast("string")).when(n == float("inf"), "Infinity").when(
+        n < 1e21, F.rpad(digits, power + 1, "0")).otherwise(F.concat(short, F.lit("e+"), power.cast("string")))
+
+
 def slides(parts: DataFrame) -> DataFrame:
-    return parts.where(F.col("name").rlike(SLIDE) & (F.coalesce("text", F.lit("")) != "")).select(
-        "file_id", F.col("name").alias("slide"), F.regexp_extract("name", SLIDE, 1).cast("bigint").alias("number"), F.col("text").alias("xml"),
+    """The slides with their number, however many digits its name has, and ``turn``, their place by number within the file."""
+    rows = parts.where(F.col("name").rlike(SLIDE) & (F.coalesce("text", F.lit("")) != "")).select(
+        "file_id", "idx", F.col("name").alias("slide"), F.regexp_extract("name", SLIDE, 1).try_cast("double").alias("n"), F.col("text").alias("xml"),
         xml.relationships_part(F.col("name")).alias("part"))
+    turn = F.row_number().over(Window.partitionBy("file_id").orderBy("n", "idx"))
+    return rows.select("file_id", "slide", written(F.col("n")).alias("number"), turn.cast("bigint").alias("turn"), "xml", "part")
 
 
 def slide_hits(parts: DataFrame, rels: DataFrame) -> DataFrame:
     s = slides(parts)
-    place = F.concat(F.lit("Slide "), F.col("number").cast("string"))
-    base = 10 * STEP + F.col("number").cast("bigint") * 1_000_000
+    place = F.concat(F.lit("Slide "), "number")
+    base = 10 * STEP + F.col("turn") * 1_000_000
     root = F.regexp_extract("xml", rf"(?is)<p:sld{EDGE}([^>]*)>", 1)
     text = compact(xml.text_runs(F.col("xml")), 1600)
     hidden = emit(s.withColumn("text", text).withColumn("off", one_of(xml.attribute(root, "show"), "0", "false", "off", "no")),
                   hit(base, "pptx.slide.hidden", F.col("off"), evidence=F.coalesce(F.nullif("text", F.lit("")), F.lit("Hidden slide with no extractable text")), location=place, scan=F.col("text")))
-    linked = s.join(rels, ["file_id", "part"]).select("file_id", "slide", "number", "seq", "rel_id", "type", xml.resolve_part(F.col("slide"), F.col("target")).alias("to"))
-    notes = linked.where(F.col("type").rlike("(?i)/notesSlide$")).groupBy("file_id", "slide", "number").agg(F.min_by("to", "seq").alias("name"))
+    linked = s.join(rels, ["file_id", "part"]).select("file_id", "slide", "number", "turn", "seq", "rel_id", "type", xml.resolve_part(F.col("slide"), F.col("target")).alias("to"))
+    notes = linked.where(F.col("type").rlike("(?i)/notesSlide$")).groupBy("file_id", "slide", "number", "turn").agg(F.min_by("to", "seq").alias("name"))
     texts = parts.select("file_id", "name", F.coalesce("text", F.lit("")).alias("xml"))
     spoken = notes.join(texts, ["file_id", "name"]).withColumn("text", compact(xml.text_runs(F.col("xml")), 2400)).where("text <> ''")
     spoken = emit(spoken, hit(base + 1, "pptx.notes", evidence=F.col("text"), location=place, scan=F.col("text"), scan_location=F.concat(place, F.lit(" speaker notes"))))
@@ -152,14 +164,14 @@ def shapes(parts: DataFrame, s: DataFrame) -> DataFrame:
     """One row for each shape block with its properties, box, crop and relationship id."""
     p = F.lit(rf"(?is)<p:(sp|pic|graphicFrame|cxnSp){EDGE}.*?</p:\1[{SPACE}]*>")
     blocks = F.arrays_zip(F.regexp_extract_all("xml", p, F.lit(0)).alias("xml"), F.regexp_extract_all("xml", p, F.lit(1)).alias("type"))
-    b = s.select("file_id", "slide", "number", F.posexplode(blocks).alias("seq", "b")).select("file_id", "slide", "number", "seq", F.col("b.xml").alias("xml"), F.col("b.type").alias("type"))
+    b = s.select("file_id", "slide", "number", "turn", F.posexplode(blocks).alias("seq", "b")).select("file_id", "slide", "number", "turn", "seq", F.col("b.xml").alias("xml"), F.col("b.type").alias("type"))
     moved = F.regexp_extract("xml", rf"(?is)<a:xfrm{EDGE}[^>]*>(.*?)</a:xfrm[{SPACE}]*>", 1)
     b = b.withColumns({"props": tag(F.col("xml"), "p:cNvPr"), "moved": F.when(moved != "", moved).otherwise(F.col("xml")), "rect": tag(F.col("xml"), "a:srcRect"), "blip": tag(F.col("xml"), "a:blip")})
     b = b.withColumns({"off": tag(F.col("moved"), "a:off"), "ext": tag(F.col("moved"), "a:ext")})
     at = lambda col, name: xml.attribute(F.col(col), name)
     text = lambda name: F.coalesce(at("props", name), F.lit(""))
     return b.join(slide_sizes(parts), "file_id").select(
-        "file_id", "slide", "number", "seq", "type", F.coalesce(F.nullif(text("name"), F.lit("")), F.trim(F.concat(F.lit("Object "), text("id")))).alias("name"),
+        "file_id", "slide", "number", "turn", "seq", "type", F.coalesce(F.nullif(text("name"), F.lit("")), F.trim(F.concat(F.lit("Object "), text("id")))).alias("name"),
         one_of(at("props", "hidden"), "1", "true", "on", "yes").alias("hidden"), text("descr").alias("descr"), text("title").alias("title"), compact(xml.text_runs(F.col("xml")), 1000).alias("text"),
         *[number(at("off", a)).alias(a) for a in "xy"], *[number(at("ext", a)).alias(a) for a in ("cx", "cy")],
         *[number(F.coalesce(F.nullif(at("rect", a), F.lit("")), F.lit("0"))).alias(f"crop_{a}") for a in "ltrb"],
@@ -181,8 +193,8 @@ def slide_sizes(parts: DataFrame) -> DataFrame:
 def shape_hits(parts: DataFrame, s: DataFrame, linked: DataFrame) -> DataFrame:
     media = linked.groupBy("file_id", "slide", "rel_id").agg(F.max_by("to", "seq").alias("media"))
     sh = shapes(parts, s).join(media, ["file_id", "slide", "rel_id"], "left")
-    place = F.concat(F.lit("Slide "), F.col("number").cast("string"), F.lit(" — "), "name")
-    base = 10 * STEP + F.col("number") * 1_000_000 + 2 + F.col("seq") * 4
+    place = F.concat(F.lit("Slide "), "number", F.lit(" — "), "name")
+    base = 10 * STEP + F.col("turn") * 1_000_000 + 2 + F.col("seq") * 4
     first = lambda *c: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in c])
     joined = lambda sep, *c: F.array_join(F.filter(F.array(*c), lambda x: x != ""), sep)
     held, words = first("text", "descr", "title", "name"), joined("\n", "text", "descr", "title")
@@ -219,7 +231,7 @@ def without_secrets(value: str) -> str:
     """A link without user, password, fragment and query values; what is no URL stays."""
     from urllib.parse import parse_qsl, quote, urlsplit, urlunsplit
 
-    from ..sources.pdf import squeeze
+    from ..sources.content import squeeze
 
     try:
         u = urlsplit(value)

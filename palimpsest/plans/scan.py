@@ -29,7 +29,7 @@ class Scan:
     findings: DataFrame
     coverage: DataFrame
     details: DataFrame
-    paths: tuple[str, str]
+    paths: tuple[str, ...]
 
     def __iter__(self) -> Iterator[DataFrame]:
         return iter((self.files, self.findings, self.coverage))
@@ -84,8 +84,17 @@ def scan(files: DataFrame, max_bytes: int = MAX_BYTES, strict: bool = True) -> S
     """Findings, distinct by id and with their place in the report, and coverage of (name, content[, file_id, type])."""
     spark = files.sparkSession
     on_workers(spark)
-    rows, path = keep(evidence.inspected(evidence.described(files, max_bytes)), "scan", by="kind")
+    rows, path = keep(evidence.inspected(evidence.described(files, max_bytes), needed_only=True), "scan", by="kind")
+    paths = [path]
     about = evidence.file_rows(rows)
+    if parts := evidence.parts_for(rows.where("kind = 'body'")):  # files too large for one task
+        more, path = keep(evidence.unfolded(rows.where("kind = 'body'"), parts, needed_only=True), "scan-streams", by="kind")
+        paths.append(path)
+        about, rows = evidence.failed_late(about, about.unionByName(evidence.file_rows(more))), rows.unionByName(more)
+    else:
+        about = evidence.failed_late(about, about)
+    if not about.where("failure IS NOT NULL").isEmpty():
+        rows = evidence.without_failed(rows, about)
     readable = about.where("NOT too_large AND failure IS NULL")
     pdfs, zips = readable.where("detected = 'pdf'"), readable.where("detected = 'zip'")
     items, entries = evidence.item_rows(rows), evidence.entry_rows(rows)
@@ -98,7 +107,7 @@ def scan(files: DataFrame, max_bytes: int = MAX_BYTES, strict: bool = True) -> S
     more = about.select("file_id", "detected", F.col("type").alias("declaredType"), "extension").join(
         pdf_rules.details(pdfs, items, hits), "file_id", "left").join(pptx_rules.details(zips, entries, hits), "file_id", "left")
     details = more.select("file_id", F.to_json(F.struct(*more.columns[1:])).alias("details"))
-    return Scan(about.drop("marks"), findings.ordered(findings.first_wins(said(hits))), folded(covered), details, (path, also))
+    return Scan(about.drop("marks"), findings.ordered(findings.first_wins(said(hits))), folded(covered), details, (*paths, also))
 
 
 def reports(files: DataFrame, max_bytes: int = MAX_BYTES, strict: bool = True) -> DataFrame:

@@ -1,11 +1,15 @@
 import io
+import random
 import struct
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 
-from palimpsest.sources import archives, build, images, pdf
+from palimpsest.sources import archives, build, content, images, pdf
+
+from . import plain_content
 
 
 def small_zip(**parts) -> bytes:
@@ -105,8 +109,39 @@ def test_pdf_filter_errors():
         pdf.decoded(b"87cURD", ["A85"])
 
 
+def drawn(source: str) -> tuple[list[tuple], list[tuple]]:
+    """(text, box, mode, fill) of the texts and (box, fill) of the filled rectangles."""
+    page = content.interpret(source)
+    shown, filled = np.array(page.shown).reshape(-1, 12), np.array(page.filled).reshape(-1, 13)
+    return ([(t, *b, *r[8:]) for t, b, r in zip(page.texts, content.text_boxes(shown).tolist(), shown.tolist())],
+            [(*b, *r[10:]) for b, r in zip(content.path_boxes(filled).tolist(), filled.tolist())])
+
+
+PARTS = ["(ab)", "(a(b)c)", r"(a\)b)", "<41 42>", "<4", "<<", ">>", "[(a)-20(b c) (d)]", "[(a) -20 (b)]", "[", "]", "[(x]y) 3]", "[()(a)]", "(", "(\xfe\xff\0a)", "[(\xfe\xff\0a)]", "%c (x)\n", "/N(x)", "/A%b",
+         "/A#\xa0b", "1 0 0 1 5 6 cm", "12 Tf", "3 Tr", "BT", "ET", "1 2 Td", "-1 2.5 TD", "T*", "(q)'", '1 2 (z)"', "0 g", "1 1 1 rg", "0 0 0 1 k", "0 0 5 5 re", "f", "n", "q", "Q", "2 0 0 2 1 1 Tm", "50 Tz",
+         "8 TL", "12abc", "1e3 Tf", "1e999 Tf", "0x1F", "0b11 g", "+.5 g", "-.", "\xa0", "12\xa0 Tf", "abc%d", "}", "{", ")", ">", "(  a  b )", "Tj", "TJ", "TJ", "Tj", "\0", "\x0b", "\x1c", "3\x0b4", "1\0 2 Td",
+         "1 2 3 4 5 6 7 8 9 Tm", "(a)Tj", "(a) Tjx", "5 (a) Tj", "(a) 5 Tj", "\\", "(a\\"]
+
+
+def test_fast_reader_gives_what_the_plain_one_gives():
+    rng = random.Random(11)
+    for _ in range(6000):
+        source = rng.choice(("", " ", "\n")).join(rng.choice(PARTS) + rng.choice(("", " ", " ", "\r\n")) for _ in range(rng.randint(1, 25)))
+        page, (texts, rects) = plain_content.interpret(source), drawn(source)
+        assert repr(([tuple(t) for t in page.texts], [tuple(r) for r in page.rects])) == repr((texts, rects)), source
+
+
+@pytest.mark.parametrize("limit", [1, 7, 30])
+def test_both_readers_stop_at_the_same_token(monkeypatch, limit):
+    source = "BT 12 Tf 1 2 Td (a) Tj /N 3 4 5 (b) Tj % x\n (c) Tj 1 1 1 rg [(d) 3 (e)] TJ 0 0 1 1 re f ET " * 3
+    monkeypatch.setattr(content, "TOKENS", limit)
+    monkeypatch.setattr(plain_content, "TOKENS", limit)
+    page, (texts, rects) = plain_content.interpret(source), drawn(source)
+    assert ([t[0] for t in page.texts], len(page.rects)) == ([t[0] for t in texts], len(rects))
+
+
 def test_content_interpreter():
-    page = pdf.interpret("q 0.1 0.1 0.1 rg 0 0 10 10 re f Q 1 g 0 0 5 5 re f BT 10 Tf 1 0 0 1 5 5 Tm (ab) Tj T* [(c) -120(lost) (d)] TJ ET")
+    page = plain_content.interpret("q 0.1 0.1 0.1 rg 0 0 10 10 re f Q 1 g 0 0 5 5 re f BT 10 Tf 1 0 0 1 5 5 Tm (ab) Tj T* [(c) -120(lost) (d)] TJ ET")
     assert [r[4:] for r in page.rects] == [(0.1, 0.1, 0.1), (1.0, 1.0, 1.0)]
     assert [t[0] for t in page.texts] == ["ab", "c", "d"]
     assert page.texts[0][1:5] == (5.0, 15.0, 3.0, 13.0)

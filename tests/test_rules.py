@@ -3,7 +3,9 @@
 import pytest
 
 from palimpsest.operators import evidence, packages, pdf_rules, pptx_rules
-from palimpsest.sources import pdf
+from palimpsest.sources import content, pdf
+
+from . import plain_content
 
 
 def entries(spark, *rows):
@@ -89,7 +91,7 @@ def test_covering_rectangles_meet_texts_at_any_height(spark, height):
 
 def test_kernel_limits():
     assert len(pdf.keyed_strings("/F (a)" * 40, "F")) == pdf.VALUES
-    assert pdf.number("0x" + "f" * 300) == float("inf") and pdf.number("0x10") == 16
+    assert content.number("0x" + "f" * 300) is None and content.number("0x10") == 16 and content.number("1e400") is None
     assert [s.raw for s in pdf.streams("<< /Length " + "9" * 5000 + " >> stream\nabc\nendstream")] == [b"abc"]
-    page = pdf.interpret("q 2 0 0 2 5 5 cm 1 1 3 3 re n 1 1 3 3 re f Q 0 0 1 1 re S BT 10 TL 1 2 Td (a) Tj 3 -4 TD (b) Tj (c) \" ET 0 0 0 0.5 k 1 1 1 1 re b* unknown 5 Do")
+    page = plain_content.interpret("q 2 0 0 2 5 5 cm 1 1 3 3 re n 1 1 3 3 re f Q 0 0 1 1 re S BT 10 TL 1 2 Td (a) Tj 3 -4 TD (b) Tj (c) \" ET 0 0 0 0.5 k 1 1 1 1 re b* unknown 5 Do")
     assert [r[:4] for r in page.rects] == [(7.0, 13.0, 7.0, 13.0), (1.0, 2.0, 1.0, 2.0)] and page.rects[1][4:] == (0.5, 0.5, 0.5) and page.leading == 4 and len(page.texts) == 3
