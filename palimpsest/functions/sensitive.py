@@ -6,11 +6,13 @@ A text's matches are found rule by rule, checked, and cut to the first ``MOST``;
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import EDGE, SPACE, redact
+from .text import EDGE, SPACE, let, redact
 
 MOST = 50
 
@@ -75,38 +77,40 @@ def iban(value: Column) -> Column:
 #: What a text must hold, one of these at least, before a rule's pattern can match: a plain search spares most texts the pattern.
 NEEDS = {
     "private-key": ("-----",), "aws-access-key": ("AKIA", "ASIA"), "google-api-key": ("AIza",), "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
-    "npm-token": ("npm_",), "slack-token": ("xox",), "stripe-secret": ("sk_",), "sendgrid-key": ("SG.",), "jwt": ("eyJ",), "credential-assignment": (":", "="),
-    "connection-string": ("://",), "internal-url": ("://",), "email-address": ("@",),
+    "npm-token": ("npm_",), "slack-token": ("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"), "stripe-secret": ("sk_live_", "sk_test_"), "sendgrid-key": ("SG.",), "jwt": ("eyJ",),
+    "email-address": ("@",),
+}
+#: The same for patterns of any case, looked for in the text in lower case.
+LOW_NEEDS = {
+    "bearer-token": ("bearer",), "credential-assignment": ("key", "secret", "passw", "token"), "connection-string": ("sql://", "postgres://", "mongodb://", "mongodb+srv://", "redis://"),
+    "internal-url": ("http://", "https://"),
 }
 #: Rules of numbers: a pair of digits must be there; those of a card may be set apart.
 DIGITS = {"us-ssn": "[0-9][0-9]", "iban": "[0-9][0-9]", "payment-card": "[0-9][ -]?[0-9]"}
 
 
-def may_match(text: Column, rule: Rule) -> Column:
+def may_match(text: Column, low: Column, rule: Rule) -> Column:
     if rule.id in DIGITS:
         return text.rlike(DIGITS[rule.id])
-    out = F.lit(rule.id not in NEEDS)
-    for word in NEEDS.get(rule.id, ()):
-        out = out | F.contains(text, F.lit(word))
-    return out
+    looked, words = (low, LOW_NEEDS[rule.id]) if rule.id in LOW_NEEDS else (text, NEEDS.get(rule.id, ()))
+    return reduce(or_, [F.contains(looked, F.lit(w)) for w in words], F.lit(not words))
 
 
 CHECKS = {"": None, "luhn": luhn, "iban": iban}
 
 
-def rule_matches(text: Column, rule: Rule) -> Column:
+def rule_matches(text: Column, rule: Rule, low: Column | None = None) -> Column:
     none = F.array().cast("array<string>")
-    found = F.when(may_match(text, rule), F.regexp_extract_all(text, F.lit(rule.java()), F.lit(0))).otherwise(none)
+    found = F.when(may_match(text, F.lower(text) if low is None else low, rule), F.regexp_extract_all(text, F.lit(rule.java()), F.lit(0))).otherwise(none)
     return F.filter(found, CHECKS[rule.check]) if rule.check else found
 
 
 def matches(text: Column, most: int = MOST) -> Column:
     """array<struct<rule_ord, rule_id, label, severity, evidence>> of the first ``most`` matches in rule order."""
-    def typed(i: int, r: Rule) -> Column:
-        return F.transform(rule_matches(text, r), lambda m: F.struct(
+    def typed(i: int, r: Rule, low: Column) -> Column:
+        return F.transform(rule_matches(text, r, low), lambda m: F.struct(
             F.lit(i).alias("rule_ord"), F.lit(r.id).alias("rule_id"), F.lit(r.label).alias("label"), F.lit(r.severity).alias("severity"), m.alias("raw")))
 
-    each = [typed(i, r) for i, r in enumerate(RULES)]
-    first = F.slice(F.concat(*each), 1, most)
+    first = let(F.lower(text), lambda low: F.slice(F.concat(*[typed(i, r, low) for i, r in enumerate(RULES)]), 1, most))
     return F.transform(first, lambda m: F.struct(m["rule_ord"].alias("rule_ord"), m["rule_id"].alias("rule_id"), m["label"].alias("label"),
                                                  m["severity"].alias("severity"), redact(m["raw"]).alias("evidence")))

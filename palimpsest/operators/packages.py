@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import COVERED, invisible, overlap_ratio
 
 RATIO, LARGE = 2000, 128 << 20
-#: Height of the lowest level's bands in points, and the level of what is higher than all bands.
+#: Side of the lowest level's cells in points, and the level of what is larger than all cells.
 BAND, LEVELS = 16.0, 12
 
 
@@ -42,21 +42,31 @@ def orphans(parts: DataFrame, used: DataFrame, on: list[str]) -> DataFrame:
 def covered_texts(texts: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
     """Visible texts that a rectangle of their stream covers, with the first such rectangle's ratio.
 
-    A rectangle that covers more than half of a text holds the middle of its height. So texts and rectangles meet by bands of
-    the page: a rectangle lies in one or two bands of the level whose bands are as high as it, a text's middle in one band a level.
+    A rectangle that covers more than half of a text holds its middle. So texts and rectangles meet in cells of the page: a rectangle
+    lies in one to four cells of the level whose cells are as wide and as high as it (both to the next power of two), a text's middle in
+    one cell a level. Levels are those of the stream's own rectangles, gathered first (at most (LEVELS + 1)**2), so that a text is
+    copied as often as there are sizes, and not at all where there are no rectangles.
     """
-    height = F.greatest(F.col("top") - F.col("bottom"), F.lit(BAND))
-    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log2(height / BAND)))).cast("int")
-    band = lambda y, of: F.when(of < LEVELS, F.floor(y / (BAND * F.pow(F.lit(2.0), of)))).otherwise(0).cast("long")
-    middle = (F.col("bottom") + F.col("top")) / 2
-    t = texts.where(~invisible(F.col("render_mode"))).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("band", band(middle, F.col("level")))
-    r = rects.withColumn("level", level).withColumn("band", F.explode(F.array_distinct(F.array(band(F.col("bottom"), F.col("level")), band(F.col("top"), F.col("level"))))))
-    r = r.select(*keys, "level", "band", F.col("seq").alias("rect"), *[F.col(c).alias(f"r_{c}") for c in ("left", "right", "bottom", "top")])
-    levels = r.select(*keys, "level").distinct()
-    t = t.join(levels, [*keys, "level"], "left_semi")
+    def level(low: str, high: str) -> Column:
+        size = F.greatest(F.col(high) - F.col(low), F.lit(BAND))
+        return F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log2(size / BAND)))).cast("int")
+
+    def cell(at: Column, of: Column) -> Column:
+        return F.when(of < LEVELS, F.floor(at / (BAND * F.pow(F.lit(2.0), of)))).otherwise(0).cast("long")
+
+    def between(low: str, high: str, of: Column) -> Column:
+        return F.array_distinct(F.array(cell(F.col(low), of), cell(F.col(high), of)))
+
     sides = ("left", "right", "bottom", "top")
+    wide, high = F.col("wide"), F.col("high")
+    r = rects.withColumns({"wide": level("left", "right"), "high": level("bottom", "top")})
+    levels = r.groupBy(*keys).agg(F.collect_set(F.struct("wide", "high")).alias("levels"))
+    r = r.withColumn("column", F.explode(between("left", "right", wide))).withColumn("row", F.explode(between("bottom", "top", high)))
+    r = r.select(*keys, "wide", "high", "column", "row", F.col("seq").alias("rect"), *[F.col(c).alias(f"r_{c}") for c in sides])
+    t = texts.where(~invisible(F.col("render_mode"))).join(levels, keys).select(*keys, "seq", "text", *sides, F.inline("levels"))
+    t = t.withColumns({"column": cell((F.col("left") + F.col("right")) / 2, wide), "row": cell((F.col("bottom") + F.col("top")) / 2, high)})
     ratio = overlap_ratio({s: F.col(s) for s in sides}, {s: F.col(f"r_{s}") for s in sides})
-    met = t.join(r, [*keys, "level", "band"]).withColumn("ratio", ratio).where(F.col("ratio") >= COVERED)
+    met = t.join(r, [*keys, "wide", "high", "column", "row"]).withColumn("ratio", ratio).where(F.col("ratio") >= COVERED)
     return met.groupBy(*keys, "seq").agg(F.min_by("ratio", "rect").alias("ratio"), F.first("text").alias("text"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import xml
 from ..functions.text import EDGE, SPACE, compact, format_bytes, squeezed
+from ..functions.urls import without_secrets
+from ..sources.content import squeeze
 from .packages import LARGE, RATIO, comment_authors, compression_ratio, encrypted, nth_of_name, orphans, safe_path
 from .rules import emit, hit, in_order, listed
 
@@ -227,28 +229,9 @@ def comment_hits(parts: DataFrame) -> DataFrame:
                        location=F.concat_ws(" — ", "part", F.nullif("authors", F.lit("")))))
 
 
-def without_secrets(value: str) -> str:
-    """A link without user, password, fragment and query values; what is no URL stays."""
-    from urllib.parse import parse_qsl, quote, urlsplit, urlunsplit
-
-    from ..sources.content import squeeze
-
-    try:
-        u = urlsplit(value)
-        if not u.scheme or value.startswith("\\\\"):
-            return squeeze(value, 220)
-        keys = [k for k, _ in parse_qsl(u.query, keep_blank_values=True)]
-        query = "&".join(f"{quote(k, safe='')}=%E2%80%A6" for k in keys)
-        host = u.netloc.rpartition("@")[2]
-        path = u.path or ("/" if host and u.scheme in ("http", "https", "ftp") else "")
-        return squeeze(urlunsplit((u.scheme, host, quote(path, safe="/:@!$&'()*+,;=~%-._\\"), query, "")), 220)
-    except ValueError:
-        return squeeze(value, 220)
-
-
 def safe_target(target: Column) -> Column:
     def run(values: pd.Series) -> pd.Series:
-        return values.map(without_secrets)
+        return values.map(lambda v: squeeze(without_secrets(v), 220))
 
     return F.pandas_udf(run, "string")(target)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..operators.findings import LEVEL, SEVERITIES, reports, sarif_results, sari
 from .scan import Scan
 
 NAME, VERSION = "Palimpsest", "0.1.0"
+SARIF = "https://json.schemastore.org/sarif-2.1.0.json"
 INCOMPLETE = f"{NAME.lower()}.scan-incomplete"
 DISCLAIMER = "This report identifies known indicators. It does not prove that a file is safe."
 ITEM = ("place", "id", "rule_id", "severity", "confidence", "title", "summary", "evidence", "location", "remediation", "tags", "data")
@@ -140,17 +142,57 @@ def sarif_rows(done: Scan) -> DataFrame:
 
 def sarif(done: Scan) -> str:
     """One SARIF 2.1.0 document over all files, as small as their findings; put together on the driver for the command line."""
-    findings = done.findings
-    rules = [{"id": r["rule_id"], "name": r["name"], "shortDescription": {"text": r["short"]}, "fullDescription": {"text": r["full"]}, "help": {"text": r["help"]},
-              "defaultConfiguration": {"level": r["level"]}, "properties": {"confidence": r["confidence"]}} for r in sarif_rules(findings).orderBy("rule_id").toLocalIterator()]
+    rules = rule_entries(done)
     results = [json.loads(r["result"]) for r in sarif_rows(done).orderBy("file_id", "ord").toLocalIterator()]
     results.sort(key=lambda r: r["ruleId"] == INCOMPLETE)
-    if any(r["ruleId"] == INCOMPLETE for r in results):
-        rules.append({"id": INCOMPLETE, "name": "scan_incomplete", "shortDescription": {"text": f"{NAME} scan incomplete"}, "defaultConfiguration": {"level": LEVEL["medium"]}})
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json",
+    return json.dumps({"version": "2.1.0", "$schema": SARIF,
                        "runs": [{"tool": {"driver": {"name": NAME, "version": VERSION, "rules": rules}}, "results": results}]}, indent=2, ensure_ascii=False) + "\n"
 
 
+def rule_entries(done: Scan) -> list[dict]:
+    """What SARIF says of each rule that found something, and of incomplete scans if there are any."""
+    rules = [{"id": r["rule_id"], "name": r["name"], "shortDescription": {"text": r["short"]}, "fullDescription": {"text": r["full"]}, "help": {"text": r["help"]},
+              "defaultConfiguration": {"level": r["level"]}, "properties": {"confidence": r["confidence"]}} for r in sarif_rules(done.findings).orderBy("rule_id").toLocalIterator()]
+    if not done.coverage.where("NOT complete").isEmpty():
+        rules.append({"id": INCOMPLETE, "name": "scan_incomplete", "shortDescription": {"text": f"{NAME} scan incomplete"}, "defaultConfiguration": {"level": LEVEL["medium"]}})
+    return rules
+
+
+def sarif_shards(done: Scan, folder: str, most: int = 5000) -> DataFrame:
+    """Writes the results as SARIF documents of at most ``most`` each, one a file below ``folder``/results, all naming the same rules;
+    gives the manifest (document, results, errors), written below ``folder``/manifest.
+
+    The rules, as many as there are kinds of findings, are folded first and stand in each document; results never meet the driver.
+    """
+    rules = ", ".join(json.dumps(r, ensure_ascii=False) for r in rule_entries(done))
+    tool = f'"tool": {{"driver": {{"name": "{NAME}", "version": "{VERSION}", "rules": [{rules}]}}}}'
+    rows = sarif_rows(done).repartitionByRange("file_id", "ord").sortWithinPartitions("file_id", "ord").select("result")
+
+    def run(batches):
+        held: list[str] = []
+
+        def document(results: list[str]) -> pa.RecordBatch:
+            text = f'{{"version": "2.1.0", "$schema": "{SARIF}", "runs": [{{{tool}, "results": [{", ".join(results)}]}}]}}'
+            return pa.RecordBatch.from_arrays([pa.array([text])], names=["value"])
+
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            while len(held) >= most:
+                yield document(held[:most])
+                held = held[most:]
+        if held:
+            yield document(held)
+
+    at = f"{folder.rstrip('/')}/results"
+    rows.mapInArrow(run, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(at)  # JSON text holds no line break
+    spark = done.files.sparkSession
+    levels = F.from_json("value", "runs array<struct<results array<struct<level string>>>>")["runs"][0]["results"]["level"]
+    written = spark.read.text(at, wholetext=True).select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("document"), levels.alias("levels"))
+    manifest = written.select("document", F.size("levels").cast("bigint").alias("results"), F.size(F.filter("levels", lambda x: x == "error")).cast("bigint").alias("errors"))
+    manifest.write.mode("overwrite").json(f"{folder.rstrip('/')}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{folder.rstrip('/')}/manifest")
+
+
 def json_document(reports_: list[str]) -> str:
     """The reports of ``as_json`` as one document: an object, or an array of several; data and details in their places."""
     out = []

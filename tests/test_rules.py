@@ -1,5 +1,6 @@
 """Rules and caps at their borders, on evidence rows made for them."""
 
+import numpy as np
 import pytest
 
 from palimpsest.operators import evidence, packages, pdf_rules, pptx_rules
@@ -95,3 +96,22 @@ def test_kernel_limits():
     assert [s.raw for s in pdf.streams("<< /Length " + "9" * 5000 + " >> stream\nabc\nendstream")] == [b"abc"]
     page = plain_content.interpret("q 2 0 0 2 5 5 cm 1 1 3 3 re n 1 1 3 3 re f Q 0 0 1 1 re S BT 10 TL 1 2 Td (a) Tj 3 -4 TD (b) Tj (c) \" ET 0 0 0 0.5 k 1 1 1 1 re b* unknown 5 Do")
     assert [r[:4] for r in page.rects] == [(7.0, 13.0, 7.0, 13.0), (1.0, 2.0, 1.0, 2.0)] and page.rects[1][4:] == (0.5, 0.5, 0.5) and page.leading == 4 and len(page.texts) == 3
+
+
+def test_many_texts_and_rectangles_of_one_band(spark):
+    """Against all pairs on a stream whose texts and rectangles share one band."""
+    rng = np.random.default_rng(5)
+    t = np.stack([rng.uniform(0, 600, 400), rng.uniform(100, 104, 400), rng.uniform(5, 60, 400)], 1)
+    r = np.stack([rng.uniform(0, 600, 150), rng.uniform(96, 104, 150), rng.uniform(3, 200, 150), rng.uniform(4, 20, 150)], 1)
+    texts = [("f", 1, i, f"t{i}", float(x), float(x + w), float(y), float(y + 12), 0.0) for i, (x, y, w) in enumerate(t)]
+    rects = [("f", 1, i, float(x), float(x + w), float(y), float(y + h)) for i, (x, y, w, h) in enumerate(r)]
+    want = {}
+    for _, _, i, _, left, right, bottom, top, _ in texts:
+        for _, _, k, x0, x1, y0, y1 in rects:
+            share = max(0, min(right, x1) - max(left, x0)) * max(0, min(top, y1) - max(bottom, y0)) / max(1, (right - left) * (top - bottom))
+            if share >= 0.55:
+                want[i] = share
+                break
+    got = packages.covered_texts(spark.createDataFrame(texts, "file_id string, stream int, seq int, text string, left double, right double, bottom double, top double, render_mode double"),
+                                 spark.createDataFrame(rects, "file_id string, stream int, seq int, left double, right double, bottom double, top double"), ["file_id", "stream"]).collect()
+    assert {r["seq"]: r["ratio"] for r in got} == pytest.approx(want) and 50 < len(want) < 400

@@ -120,6 +120,28 @@ def test_renderers(spark, scanned):
     assert {r["ruleId"] for r in sarif["results"]} == {r["id"] for r in sarif["tool"]["driver"]["rules"]}
 
 
+def test_sarif_in_documents(spark, scanned, tmp_path):
+    """The documents hold together what the one document holds."""
+    done, _, _ = scanned
+    whole = json.loads(render.sarif(done))["runs"][0]
+    manifest = render.sarif_shards(done, str(tmp_path), most=7).collect()
+    parts = [json.loads((tmp_path / "results" / r["document"]).read_text())["runs"][0] for r in manifest]
+    assert all(p["tool"] == whole["tool"] and len(p["results"]) == r["results"] <= 7 for p, r in zip(parts, manifest)) and len(parts) > 3
+    said = lambda rows: sorted(json.dumps(r, sort_keys=True) for r in rows)
+    assert said(r for p in parts for r in p["results"]) == said(whole["results"])
+    assert sum(r["errors"] for r in manifest) == sum(r["level"] == "error" for r in whole["results"])
+
+
+def test_standard_input(spark, monkeypatch, capsys):
+    import io
+    import sys
+
+    monkeypatch.setattr(sys, "stdin", type("In", (), {"buffer": io.BytesIO(fx.unsafe_pptx())}))
+    assert cli.main(["-f", "json", "--stdin-name", "deck.pptx", "-"], spark) == 2
+    report = json.loads(capsys.readouterr().out)
+    assert report["file"]["name"] == "deck.pptx" and PPTX_RULES <= {f["ruleId"] if "ruleId" in f else f["rule_id"] for f in report["findings"]}
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "clean.PDF").write_bytes(fx.clean_pdf())
     (tmp_path / "notes.txt").write_text("x")
@@ -204,3 +226,27 @@ def test_streaming(spark, tmp_path):
     query = arrivals.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(240)
     assert [r["total"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [9]
+
+
+def test_a_batch_met_again_is_reported_once(spark, tmp_path, monkeypatch):
+    """The stream fails between writing a batch and noting it as done: the batch comes again and replaces what it had written."""
+    (tmp_path / "in").mkdir()
+    folders = [str(tmp_path / x) for x in ("in", "out", "state")]
+    (tmp_path / "in" / "a.pdf").write_bytes(fx.unsafe_pdf())
+    release, calls = scan.Scan.release, []
+
+    def once(self):
+        release(self)
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("lost before the batch was noted")
+
+    monkeypatch.setattr(scan.Scan, "release", once)
+    with pytest.raises(Exception):
+        arrivals.watch(spark, *folders).awaitTermination(240)
+    assert spark.read.parquet(folders[1]).count() == 1
+    arrivals.watch(spark, *folders).awaitTermination(240)
+    (tmp_path / "in" / "b.pdf").write_bytes(fx.clean_pdf())
+    arrivals.watch(spark, *folders).awaitTermination(240)
+    got = spark.read.parquet(folders[1])
+    assert sorted((r["epoch"], r["total"]) for r in got.collect()) == [(0, 9), (1, 0)] and len(calls) == 3
