@@ -6,8 +6,12 @@ can be compared with what a database works out from the tables alone.
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import on_workers
 from ..sources import build
 from . import scan
 from .files import built
@@ -85,6 +89,54 @@ def as_deck(k: int, brand: str) -> bytes:
     return build.pptx(slides, more)
 
 
+OLE = bytes.fromhex("d0cf11e0a1b11ae1") + bytes(24)
+#: Bytes that the scan of the container query permits.
+PERMITTED = 20_000
+
+
+def claimed(deck: bytes, name: str, unpacked: int | None = None, flags: int = 0) -> bytes:
+    """The package whose directory claims another size, or further flags, of an entry."""
+    out = bytearray(deck)
+    at = out.rfind(name.encode()) - 46
+    if unpacked is not None:
+        struct.pack_into("<II", out, at + 20, 5, unpacked)
+    out[at + 8] |= flags
+    return bytes(out)
+
+
+def located(degrees: int) -> bytes:
+    """A JPEG that was taken at so many and a half degrees north, and as many east."""
+    tiff = b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", 1) + struct.pack("<HHII", 0x8825, 4, 1, 26) + struct.pack("<I", 0)
+    tiff += struct.pack("<H", 4) + struct.pack("<HHI", 1, 2, 2) + b"N\0\0\0" + struct.pack("<HHII", 2, 5, 3, 80) + struct.pack("<HHI", 3, 2, 2) + b"E\0\0\0" + struct.pack("<HHII", 4, 5, 3, 80) + struct.pack("<I", 0)
+    tiff += struct.pack("<6I", degrees, 1, 30, 1, 0, 1)
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xd9"
+
+
+def as_container(k: int) -> tuple[str, bytes]:
+    """The ending and the bytes of a file that is no plain one."""
+    slide = [build.slide([build.shape("Title", f"Plain {k}")])]
+    match k % 10:
+        case 0:
+            return "txt", b"plain text"
+        case 1:
+            return "pptx", OLE
+        case 2:
+            return "doc", OLE
+        case 3:
+            return "pptx", build.pptx(slide).replace(b"PK\1\2", b"PK\1\3", 1)
+        case 4:
+            return "pptx", claimed(build.pptx(slide, {"blob.bin": b"12345"}), "blob.bin", 200_000_000 + k)
+        case 5:
+            return "pptx", claimed(build.pptx(slide, {"secret.bin": b"12345"}), "secret.bin", flags=1)
+        case 6:
+            return "pptx", build.package({"word/document.xml": "<w/>"})
+        case 7:
+            return "pptx", build.pptx(slide, {"ppt/media/image1.jpg": located(k % 90)})
+        case 8:
+            return "pdf", build.pdf(build.show(f"Plain {k}", 72, 740), extra="% " + "x" * PERMITTED)
+    return "pdf", build.pdf(build.show(f"Plain {k}", 72, 740))
+
+
 #: (rule, severity, SQL condition on k, SQL evidence, SQL location) of the built PDF files.
 IN_PDFS = [
     ("pdf.text.invisible", "medium", "k % 2 = 0", "'hidden note ' || k", "'PDF stream 1'"), ("pdf.redaction.overlay", "high", "k % 3 = 0", "'covered ' || k", "'PDF stream 1'"),
@@ -113,14 +165,25 @@ IN_DECKS = [
 ]
 
 
+#: The same of the built containers.
+IN_CONTAINERS = [
+    ("file.unsupported", "high", "k % 10 IN (0, 2)", "NULL", "'Document'"), ("pptx.encrypted-package", "high", "k % 10 = 1", "NULL", "'Document'"),
+    ("pptx.package.invalid", "high", "k % 10 = 3", "'Invalid central-directory entry at index 0.'", "'Document'"),
+    ("pptx.package.large-entry", "medium", "k % 10 = 4", "'blob.bin'", "'Document'"), ("pptx.package.high-compression-ratio", "medium", "k % 10 = 4", "'blob.bin'", "'Document'"),
+    ("pptx.package.encrypted-entry", "high", "k % 10 = 5", "'secret.bin'", "'Document'"), ("pptx.package.signature", "high", "k % 10 = 6", "NULL", "'Document'"),
+    ("pptx.image.gps", "high", "k % 10 = 7", "'ppt/media/image1.jpg: ' || (k % 90) || '.50000, ' || (k % 90) || '.50000'", "'Document'"),
+    ("file.size-limit", "high", "k % 10 = 8", "NULL", "'Document'"),
+]
+
+
 def expected(rules: list[tuple], source: str, name: str) -> str:
     each = " UNION ALL ".join(f"SELECT {name} AS name, '{rule}' AS rule_id, '{severity}' AS severity, CAST({evidence} AS VARCHAR) AS evidence, {place} AS location FROM s WHERE {when}"
                               for rule, severity, when, evidence, place in rules)
     return f"WITH s AS ({source}) {each}"
 
 
-def found(files: DataFrame) -> DataFrame:
-    done = scan.scan(files)
+def found(files: DataFrame, max_bytes: int = scan.MAX_BYTES) -> DataFrame:
+    done = scan.scan(files, max_bytes)
     return done.findings.join(done.files.select("file_id", "name"), "file_id").select("name", "rule_id", "severity", "evidence", "location")
 
 
@@ -134,8 +197,21 @@ def pptx_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(built(rows, as_deck, "part{}.pptx", ("part{}.bin", 18)))
 
 
-QUERIES = {f.__name__: f for f in (pdf_rule_findings, pptx_rule_findings)}
+def container_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on_workers(spark)
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("CAST(p_partkey AS BIGINT) AS k")
+
+    def run(pdfs):
+        for pdf in pdfs:
+            made = [(f"file{k}", *as_container(int(k))) for k in pdf["k"]]
+            yield pd.DataFrame([(f"{n}.{ending}", f"{n}.{ending}", data) for n, ending, data in made], columns=["file_id", "name", "content"])
+
+    return found(rows.mapInPandas(run, "file_id string, name string, content binary"), PERMITTED)
+
+
+QUERIES = {f.__name__: f for f in (pdf_rule_findings, pptx_rule_findings, container_rule_findings)}
 ORACLES = {
     "pdf_rule_findings": expected(IN_PDFS, "SELECT CAST(c_custkey AS BIGINT) AS k, c_name AS said FROM customer", "'cust' || k || CASE WHEN k % 13 = 0 THEN '.txt' ELSE '.pdf' END"),
     "pptx_rule_findings": expected(IN_DECKS, "SELECT CAST(p_partkey AS BIGINT) AS k, p_brand AS said FROM part", "'part' || k || CASE WHEN k % 18 = 0 THEN '.bin' ELSE '.pptx' END"),
+    "container_rule_findings": expected(IN_CONTAINERS, "SELECT CAST(p_partkey AS BIGINT) AS k FROM part", "'file' || k || CASE k % 10 WHEN 0 THEN '.txt' WHEN 2 THEN '.doc' WHEN 8 THEN '.pdf' WHEN 9 THEN '.pdf' ELSE '.pptx' END"),
 }
