@@ -9,8 +9,8 @@ Coarse bounds come first and only what they leave meets the finer ones; survivor
 of a query is its ``k`` + 1st best score among a fixed number of rows (``SEEDS``), then among all scored so far in the cell: a
 score that the query has surely reached, so nothing that could enter is ever dropped.
 
-Cases: components become floor(256 * x); scores are exact integers, and one that no 64-bit integer holds raises
-OverflowError; null and non-finite vectors take no part, zero vectors do; fewer candidates give fewer rows; ties go to the
+Cases: components become floor(256 * x); scores are exact integers, and one that no 64-bit integer holds counts as the
+nearest that one does; null and non-finite vectors take no part, zero vectors do; fewer candidates give fewer rows; ties go to the
 smaller id; rows that repeat an id are rows and queries of their own; an empty table gives no rows; further columns are ignored.
 """
 
@@ -24,6 +24,7 @@ from .vectors import distinct, finish, grid, matrix, usable
 
 LEVELS, SEEDS, TILE = (1, 4, 16), 64, 256
 EXACT, LONG, LOOSE = 2.0**52, 2.0**62, 2.0**100
+LEAST, LARGEST = -(2**63), 2**63 - 1
 
 
 def segments(x: np.ndarray, n: int) -> np.ndarray:
@@ -37,7 +38,7 @@ def segments(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Exact inner products (int64) of whole-numbered rows with whole-numbered rows."""
+    """Exact inner products of whole-numbered rows with whole-numbered rows, as int64; what is beyond that range as its end."""
     with np.errstate(over="ignore"):
         norms = np.sqrt((q * q).sum(1).max()) * np.sqrt((r * r).sum(1).max())  # no partial sum is larger
     if norms < EXACT:
@@ -45,12 +46,15 @@ def products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     if norms < LONG and max(np.abs(q).max(), np.abs(r).max()) < LONG:
         return q.astype(np.int64) @ r.astype(np.int64).T
     whole = np.array([[int(v) for v in row] for row in r], object)
-    out = [[int(np.dot(np.array([int(v) for v in row], object), x)) for x in whole] for row in q]
-    if any(not -(2**63) <= v < 2**63 for row in out for v in row):
-        raise OverflowError("an inner product exceeds 64 bits")
+    out = [[min(LARGEST, max(LEAST, int(np.dot(np.array([int(v) for v in row], object), x)))) for x in whole] for row in q]
     return np.array(out, np.int64)
 
 
+def reached(score: np.ndarray) -> np.ndarray:
+    """Scores as bars: the least that 64 bits hold may stand for less, so it keeps nothing out."""
+    return np.where(score == LEAST, -np.inf, score.astype(float))
+
+
 def segment_topk(q: np.ndarray, r: np.ndarray, seeds: np.ndarray, k: int):
     """(query, row, score, rows scored) of the rows that may be among a query's ``k`` best."""
     if max(np.abs(q).max(), np.abs(r).max()) >= LOOSE:  # squares might leave the doubles: no bounds
@@ -65,7 +69,7 @@ def segment_topk(q: np.ndarray, r: np.ndarray, seeds: np.ndarray, k: int):
         some = q[part]
         bar = np.full(len(some), -np.inf)
         if len(seeds) >= k:
-            bar = np.partition(products(some, seeds), -k, 1)[:, -k].astype(float)
+            bar = reached(np.partition(products(some, seeds), -k, 1)[:, -k])
         # rounding of the bounds: far above what doubles can lose on these sums
         slack = 1e-9 * np.sqrt((some * some).sum(1))[:, None] * rest + 1e-6
         bound = stats[0][0][part] @ stats[0][1].T + slack
@@ -81,7 +85,7 @@ def segment_topk(q: np.ndarray, r: np.ndarray, seeds: np.ndarray, k: int):
                 continue
             score = products(some, r[rows])
             if len(rows) >= k:
-                bar = np.maximum(bar, np.partition(score, -k, 1)[:, -k])
+                bar = np.maximum(bar, reached(np.partition(score, -k, 1)[:, -k]))
             open_ &= score >= bar[:, None]
             at, row = np.nonzero(open_)
             out.append((at + i, rows[row], score[at, row]))

@@ -68,7 +68,7 @@ def matrix(vec: pd.Series) -> np.ndarray:
 
 def keep_best(a: np.ndarray, score: np.ndarray, least: np.ndarray, k: int, ascending: bool) -> np.ndarray:
     """Places of the first ``k`` of each query ``a`` by (score, least id)."""
-    order = np.lexsort((least, score if ascending else -score, a))
+    order = np.lexsort((least, score if ascending else ~score, a))  # ~ turns whole numbers round and never overflows
     held = a[order]
     starts = np.r_[0, np.flatnonzero(np.diff(held)) + 1] if len(held) else np.empty(0, int)
     place = np.arange(len(held)) - np.repeat(starts, np.diff(np.r_[starts, len(held)]))
@@ -129,7 +129,7 @@ def grid(groups: DataFrame, asked: DataFrame, kernel: Callable, k: int, ascendin
 
 def finish(lists: DataFrame, groups: DataFrame, asked: DataFrame, k: int, ascending: bool) -> DataFrame:
     """(query_id, rank, vec_id, score) of the best lists, each query row without itself."""
-    order = F.col("score") if ascending else -F.col("score")
+    order = F.col("score") if ascending else F.bitwise_not("score")  # whole scores where large is best
     met = lists.groupBy("qa", "qb", "a", "b").agg(F.min("least").alias("least"), F.first("score").alias("score"))
     best = met.withColumn("nth", F.row_number().over(Window.partitionBy("qa", "qb").orderBy(order, "least"))).where(F.col("nth") <= k + 1)
     rows = best.join(groups.select("a", "b", "ids"), ["a", "b"]).select(
