@@ -36,10 +36,10 @@ from .common import grouped
 SPAN, GRAM = 50, 24
 LEFT = SPAN - GRAM
 WIDE = LEFT + SPAN
-BUCKETS, ROWS_PER_BUCKET, FILTER_BITS, FLUSH = 64, 4000, 27, 4 << 20
+BUCKETS, ROWS_PER_BUCKET, FILTER_BITS, FLUSH, PIECE = 64, 4000, 27, 4 << 20, 1 << 19
 BLOCK = 12
 STEPS = np.arange(BLOCK)
-HOT, HOT_BITS, CLASSES, INDEXED = 1024, 23, 9, 8_000
+HOT, HOT_BITS, CLASSES, INDEXED, RUNS = 1024, 23, 9, 8_000, 1 << 16
 POSITION, MASK = np.uint64(30), np.uint64((1 << 30) - 1)
 _rng = np.random.default_rng(50)
 BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -66,31 +66,38 @@ class Batch:
         self.at, self.hash = np.empty(0, np.int64), np.empty(0, np.uint64)
         if n < SPAN:
             return
-        h = BYTE[self.bytes]
-        step = 1
-        for k in range(3):  # 2, 4, 8
-            h = h[:-step] * ODD[k] + h[step:]
-            step *= 2
-        self.h16 = h[:-8] * ODD[3] + h[8:]
-        g = mixed(self.h16[:-8] * ODD[4] + h[16:])
-        least = (g & ~MASK) | np.arange(len(g), dtype=np.uint64)
-        reach = 1
-        while reach * 2 <= LEFT + 1:
-            least = np.minimum(least[:-reach], least[reach:])
-            reach *= 2
-        rest = LEFT + 1 - reach
-        if rest:
-            least = np.minimum(least[:-rest], least[rest:])
         # only strings within one document
         inside = np.ones(n + 1, np.int8)
         for back in range(1, SPAN):
             cut = self.end - back
             inside[cut[(cut >= 0) & (back <= self.size)]] = 0
-        starts = np.flatnonzero(inside[: len(least)])
-        chosen = (least[starts] & MASK).astype(np.int64)
-        if len(chosen):
-            self.at = chosen[np.r_[True, chosen[1:] != chosen[:-1]]]
-            self.hash = g[self.at]
+        self.h16 = np.empty(n - 15, np.uint64)
+        found = []
+        for a in range(0, n - SPAN + 1, PIECE):  # some starts at a time: what is worked out for each byte stays small
+            h = BYTE[self.bytes[a: a + PIECE + SPAN - 1]]
+            step = 1
+            for k in range(3):  # 2, 4, 8
+                h = h[:-step] * ODD[k] + h[step:]
+                step *= 2
+            h16 = h[:-8] * ODD[3] + h[8:]
+            self.h16[a: a + len(h16)] = h16
+            g = mixed(h16[:-8] * ODD[4] + h[16:])
+            least = (g & ~MASK) | np.arange(len(g), dtype=np.uint64)
+            reach = 1
+            while reach * 2 <= LEFT + 1:
+                least = np.minimum(least[:-reach], least[reach:])
+                reach *= 2
+            rest = LEFT + 1 - reach
+            if rest:
+                least = np.minimum(least[:-rest], least[rest:])
+            chosen = (least[np.flatnonzero(inside[a: a + len(least)])] & MASK).astype(np.int64)
+            if len(chosen):
+                chosen = chosen[np.r_[True, chosen[1:] != chosen[:-1]]]
+                found.append((chosen + a, g[chosen]))
+        if found:
+            at, hashes = (np.concatenate(x) for x in zip(*found))
+            fresh = np.r_[True, at[1:] != at[:-1]]  # the first anchor of a piece may be the last of the one before
+            self.at, self.hash = at[fresh], hashes[fresh]
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.end, at, "right")
@@ -488,11 +495,15 @@ def resolve(group: pd.DataFrame) -> tuple[list[int], list[int], list[bytes]]:
         found = long_matches(padded, n + 1, anchor[i], left, doc[i], SPAN - GRAM + 1)
         hit[i, : found.shape[1]] = found
         part = to
-    # a copy of a window whose least document is smaller is covered as a whole
-    every = np.arange(WIDE - SPAN + 1) <= (size + GRAM - SPAN)[:, None]
-    e, s = np.nonzero((hit[which] | (doc[which] < f["doc"])[:, None]) & every)
-    begin = f["at"][e] + s
-    found = spans_by_key(f["doc"][e], f["key"][e], begin, begin + SPAN)
+    # a copy of a window whose least document is smaller is covered as a whole; runs of starts are one span, some windows at a time
+    parts = []
+    for a in range(0, len(which), RUNS):
+        some = slice(a, a + RUNS)
+        starts = (hit[which[some]] | (doc[which[some]] < f["doc"][some])[:, None]) & (np.arange(WIDE - SPAN + 1) <= (size[some] + GRAM - SPAN)[:, None])
+        turns = np.diff(starts.view(np.int8), axis=1, prepend=np.int8(0), append=np.int8(0))
+        (e, begin), (_, end) = np.nonzero(turns == 1), np.nonzero(turns == -1)  # both by window, then by place
+        parts.append((f["doc"][some][e], f["key"][some][e], f["at"][some][e] + begin, f["at"][some][e] + end - 1 + SPAN))
+    found = spans_by_key(*(np.concatenate(x) for x in zip(*parts)))
     return tuple(a + b for a, b in zip(done, found))
 
 
