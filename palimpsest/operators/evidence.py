@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extension_of
 from ..functions.geometry import DARK, PAGE, PALE
+from ..functions.text import extension_of
 from ..sources import archives, content, images, pdf
 from . import pdf_rules
 
@@ -31,11 +31,14 @@ MAX_BYTES = 512 << 20
 FILE = "file_id string, name string, type string, size bigint, sha256 string, extension string, detected string, too_large boolean, marks string"
 OUTCOME = "failure string, duration_ms bigint"
 ENTRY = ("file_id string, idx int, name string, packed bigint, unpacked bigint, method int, crc bigint, flags int, directory boolean, zip64 boolean, "
-         "text string, error string, zip_error boolean, fields array<struct<name:string,value:string>>, latitude double, longitude double")
+         "text string, error string, zip_error boolean, fields array<struct<name:string,value:string>>, latitude double, longitude double, "
+         "part boolean, whole boolean")
 PDF = ("file_id string, kind string, stream int, seq int, key string, text string, left double, right double, bottom double, top double, "
        "render_mode double, r double, g double, b double, size bigint")
 BODY = PDF + ", raw binary"
 WANTED = (".xml", ".rels")
+#: The parts that a presentation must have.
+NEED = ("[Content_Types].xml", "ppt/presentation.xml")
 #: Rows of one batch that leaves the kernels, and bytes after which one does.
 AT_ONCE, BYTES_AT_ONCE = 10_000, 8 << 20
 #: Decoded bytes beyond which a file's streams are dealt out, and about how many a task then takes.
@@ -132,13 +135,15 @@ def safe_tables(rows: list[tuple], schema: str, broken: dict[str, str]) -> Itera
 
 
 def package_rows(file_id: str, data: bytes, out: Batches) -> Iterator[pa.RecordBatch]:
-    """ENTRY rows: each entry with its XML text or image metadata; a package that cannot be opened is one row, idx -1."""
+    """ENTRY rows: each entry with its XML text or image metadata, and whether it is a part (of equal names the last is) of a
+    package that has the required parts; a package that cannot be opened is one row, idx -1."""
     try:
         package = archives.open_package(data)
     except archives.PackageError as e:
-        out.add(ENTRY, (file_id, -1, None, 0, 0, 0, 0, 0, False, False, None, str(e), True, None, None, None))
+        out.add(ENTRY, (file_id, -1, None, 0, 0, 0, 0, 0, False, False, None, str(e), True, None, None, None, False, False))
         return
     last = {e.name: i for i, e in enumerate(package.entries)}  # of equal names the last is the part
+    whole = all(n in last for n in NEED)
     for i, e in enumerate(package.entries):
         text = error = fields = lat = lon = None
         zip_error = False
@@ -153,7 +158,7 @@ def package_rows(file_id: str, data: bytes, out: Batches) -> Iterator[pa.RecordB
                     lat, lon = found[1] or (None, None)
         except (archives.PackageError, ValueError) as x:
             error, zip_error = str(x), isinstance(x, archives.PackageError)
-        out.add(ENTRY, (file_id, i, e.name, e.packed, e.unpacked, e.method, e.crc, e.flags, e.directory, package.zip64, text, error, zip_error, fields, lat, lon), len(text or ""))
+        out.add(ENTRY, (file_id, i, e.name, e.packed, e.unpacked, e.method, e.crc, e.flags, e.directory, package.zip64, text, error, zip_error, fields, lat, lon, last[e.name] == i, whole), len(text or ""))
         if out.full():
             yield from out.take()
 

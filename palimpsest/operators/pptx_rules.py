@@ -14,6 +14,7 @@ from ..functions import xml
 from ..functions.text import EDGE, SPACE, compact, format_bytes, squeezed
 from ..functions.urls import without_secrets
 from ..sources.content import squeeze
+from .evidence import NEED
 from .packages import LARGE, RATIO, comment_authors, compression_ratio, encrypted, nth_of_name, orphans, safe_path
 from .rules import emit, hit, in_order, listed
 
@@ -27,7 +28,6 @@ CORE = (("creator", "docProps/core.xml", "creator"), ("lastModifiedBy", "docProp
 #: What a finding's data tells of the document's properties, in this order.
 FIELDS = ("creator", "lastModifiedBy", "title", "subject", "keywords", "company", "manager", "template", "application")
 SLIDE = r"(?i)^ppt/slides/slide(\d+)\.xml$"
-NEED = ("[Content_Types].xml", "ppt/presentation.xml")
 STEP = 10**9  # between groups of rules in the order of emission
 
 
@@ -42,13 +42,12 @@ def one_of(value: Column, *words: str) -> Column:
 
 def named(entries: DataFrame) -> DataFrame:
     """The parts: of entries with equal names the last."""
-    last = F.max("idx").over(Window.partitionBy("file_id", "name"))
-    return entries.where("idx >= 0").withColumn("last", F.col("idx") == last).where("last").drop("last")
+    return entries.where("part")
 
 
 def required(entries: DataFrame) -> DataFrame:
     """Files whose package has the required parts."""
-    return entries.where(F.col("name").isin(*NEED)).groupBy("file_id").agg(F.count_distinct("name").alias("n")).where(f"n = {len(NEED)}").select("file_id")
+    return entries.where("whole AND idx = 0").select("file_id")
 
 
 def structure_hits(files: DataFrame, entries: DataFrame) -> DataFrame:
@@ -260,7 +259,7 @@ def image_hits(parts: DataFrame) -> DataFrame:
 
 def hits(files: DataFrame, entries: DataFrame) -> DataFrame:
     """Rule rows of the packages; without the required parts only those on the structure."""
-    parts = named(entries).join(required(entries), "file_id", "left_semi")
+    parts = named(entries).where("whole")
     rels = relationships(parts)
     rows = structure_hits(files, entries)
     for more in (package_hits(files, parts), slide_hits(parts, rels), comment_hits(parts), link_hits(rels), image_hits(parts)):
@@ -292,7 +291,7 @@ def coverage(files: DataFrame, entries: DataFrame, strict: bool = True) -> DataF
 
 def details(files: DataFrame, entries: DataFrame, rule_rows: DataFrame) -> DataFrame:
     """The counters of presentation reports, by file_id; ``rule_rows`` are the rows of ``hits``."""
-    parts = named(entries).join(required(entries), "file_id", "left_semi")
+    parts = named(entries).where("whole")
     count = lambda *rules: F.count_if(F.col("rule").isin(*rules))
     many = lambda p: F.count_if(F.col("name").rlike(p))
     opened = entries.where("idx >= 0").groupBy("file_id").agg(F.count("*").alias("packageEntries"), F.bool_or("zip64").alias("zip64"))

@@ -97,7 +97,7 @@ def test_rows_of_a_file_that_fails_later_do_not_count(spark, monkeypatch):
 def test_a_value_that_no_column_holds_fails_its_file_alone():
     out = evidence.Batches(True)
     for name, size in (("a", 1), ("b", 1 << 70), ("c", 3)):
-        out.add(evidence.ENTRY, (name, 0, "n", size, 1, 0, 0, 0, False, False, None, None, False, None, None, None))
+        out.add(evidence.ENTRY, (name, 0, "n", size, 1, 0, 0, 0, False, False, None, None, False, None, None, None, True, True))
         out.files.append((name, name, "", 1, "h", "pptx", "zip", False, None, None, 3))
     rows = [r for b in out.take() for r in b.to_pylist()]
     assert {r["file_id"] for r in rows if r["kind"] == "entry"} == {"a", "c"}

@@ -13,7 +13,9 @@ def entries(spark, *rows):
     """Entry rows of file f from dictionaries; what is not given is plain."""
     plain = {"file_id": "f", "name": "a", "packed": 10, "unpacked": 10, "method": 8, "crc": 0, "flags": 0, "directory": False, "zip64": False, "text": None, "error": None,
              "zip_error": False, "fields": None, "latitude": None, "longitude": None}
-    named = [{**plain, "idx": i, **r} for i, r in enumerate(rows)]
+    names = [r.get("name", "a") for r in rows]
+    whole = {"[Content_Types].xml", "ppt/presentation.xml"} <= set(names)
+    named = [{**plain, "idx": i, "part": names[i] not in names[i + 1:], "whole": whole, **r} for i, r in enumerate(rows)]
     return spark.createDataFrame([tuple(r[c] for c in evidence.names(evidence.ENTRY)) for r in named], evidence.ENTRY)
 
 
