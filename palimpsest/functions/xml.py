@@ -14,6 +14,7 @@ ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"))
 
 
 def tag_pattern(name: str, edge: str = EDGE) -> str:
+    """Fixed value: what a tag looks like, with what stands before its end tag if there is one."""
     name = re.escape(name)
     return rf"(?is)<{PREFIX}{name}{edge}([^>]*)/?>(?:(.*?)</{PREFIX}{name}[{SPACE}]*>)?"
 
@@ -44,7 +45,7 @@ def decode_xml(text: Column) -> Column:
 
 
 def strip_xml(text: Column) -> Column:
-    """The text without tags: CDATA unwrapped, breaks and paragraph ends as new lines, other tags as blanks."""
+    """The text without tags: CDATA unwrapped, breaks and paragraph ends as new lines, other tags as blanks. The patterns are fixed values."""
     for pattern, to in ((r"(?is)<\?xml.*?\?>", ""), (r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), (rf"(?i)<(?:a:)?br[{SPACE}]*/?>", "\n"),
                         (rf"(?i)</(?:a:)?p[{SPACE}]*>", "\n"), (r"<[^>]+>", " ")):
         text = F.regexp_replace(text, pattern, to)
@@ -74,7 +75,7 @@ def attribute(raw: Column, name: str) -> Column:
 
 
 def text_runs(xml: Column) -> Column:
-    """The contents of all ``t`` elements with one blank between them."""
+    """The contents of all ``t`` elements (the pattern is a fixed value) with one blank between them."""
     found = F.regexp_extract_all(xml, F.lit(rf"(?is)<(?:[A-Za-z_][\w.-]*:)?t{EDGE}[^>]*>(.*?)</(?:[A-Za-z_][\w.-]*:)?t[{SPACE}]*>"), F.lit(1))
     return F.trim(F.regexp_replace(F.array_join(F.transform(found, decode_xml), " "), f"[{SPACE}]+", " "))
 

@@ -83,7 +83,7 @@ def relationships(parts: DataFrame) -> DataFrame:
 
 
 def package_hits(files: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rules that look at lists of a file's parts."""
+    """Rules that look at lists of a file's parts. The patterns of their names are fixed values."""
     name, idx = F.col("name"), F.col("idx")
     text_of = lambda part: F.max(F.when(name == part, F.coalesce("text", F.lit(""))))
     matching = lambda p, **k: in_order(name.rlike(p), k.get("value", name), idx)
