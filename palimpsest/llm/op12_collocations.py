@@ -1,17 +1,17 @@
 """Phrase collocations: phrases of 2 to 5 words that occur often and more often than their parts let expect.
 
-Counts come from weighted acyclic automata. Every block of text gives its n-grams in sorted order, and a count transducer is
-built from each run of ``RUN`` of them. Runs are dealt by ranges of phrases (a run that reaches over a cut goes to both sides,
-which each take their phrases only); a range unites its runs in order, adds up weights and builds the transducer of the phrases
-that occur ``least`` times. The parts of a candidate are looked up by composing the phrases asked of a range with its transducer.
+Counts come from weighted acyclic automata. A shard, the blocks of a task until they have ``HELD`` different n-grams, gives its
+n-grams in sorted order; they are cut where ranges of phrases end, and a count transducer is built from each part. A range unites
+its transducers in order, adds up weights and builds that of the phrases that occur ``least`` times. The parts of a candidate are
+looked up by composing the phrases asked of a range with its transducer.
 
 Two passes before that find what can be frequent at all: words, then pairs of neighbouring words, are counted by 64-bit
 hashes, and the frequent ones set bits in filters of 2**``BITS`` bits (4 MB each, broadcast, whatever the corpus). A phrase all of
 whose words and pairs pass may be frequent; a shared bit lets more pass and drops nothing, since counts are by the words themselves.
 
 A text is read whole, in blocks of ``BLOCK`` bytes of one language; a longer text goes in several, each beginning with the last
-four words of the one before, which are not counted twice. Cut points of the ranges come from at most ``SAMPLE`` runs, those of
-least hash; the result does not depend on them.
+four words of the one before, which are not counted twice. Where the ranges, of some ``PER_RANGE`` words of text each, end is taken
+from a bounded sample; the result does not depend on it.
 
 Cases: null and empty texts have no words; a null lang is ``und``; doc_ids play no part, so null and repeated ones are rows like
 others; phrases of equal score are ordered by count, then by their bytes; an empty table gives no rows; further columns are ignored.
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +34,11 @@ from .common import stored
 from .transducers import Transducer, build, compose
 
 LEAST, LONGEST, MOST, INSIDE = 100, 5, 2000, 100
-BITS, BLOCK, RUN, SAMPLE, PER_RANGE, SALTS = 25, 4 << 20, 4096, 10_000, 100_000, 16
+BITS, BLOCK, PER_RANGE, SALTS = 25, 2 << 20, 1_000_000, 16
+#: For the cuts of the ranges only: documents, characters of each, and phrases that are looked at.
+TAKEN, LOOK, SAMPLE = 2000, 4000, 10_000
+#: Different n-grams of a shard, and bytes whose hashes are worked out together.
+HELD, TOGETHER = 150_000, 1 << 18
 WORD, GAP, END = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = GAP
@@ -123,11 +127,20 @@ class Block:
         self.hash = self.hashes(BASES[0])
 
     def hashes(self, base: int) -> np.ndarray:
+        """Hashes of the words, some ``TOGETHER`` bytes of text (a whole word at least) at a time."""
+        out, at = np.empty(len(self.start), np.uint64), 0
         with np.errstate(over="ignore"):
-            up, down = powers(base, len(self.data) + 1)
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], dtype=np.uint64, out=sums[1:])
-            return mixed((sums[self.end] - sums[self.start]) * down[self.start] + self.lang)
+            while at < len(out):
+                first = self.start[at]
+                end = max(at + 1, int(np.searchsorted(self.end, first + TOGETHER, "right")))
+                part = self.data[first: self.end[end - 1]]
+                up, down = powers(base, max(TOGETHER, len(part)) + 1)
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64, out=sums[1:])
+                begin = self.start[at:end] - first
+                out[at:end] = (sums[self.end[at:end] - first] - sums[begin]) * down[begin]
+                at = end
+            return mixed(out + self.lang)
 
     def pairs(self) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -157,15 +170,17 @@ def pair_counts(lang: str, data: bytes, carried: int, words: np.ndarray) -> Iter
 
 
 def ngrams(lang: str, data: bytes, carried: int, words: np.ndarray, pairs: np.ndarray) -> list[tuple[tuple[bytes, ...], int]]:
-    """The block's possible phrases of up to LONGEST words with their counts, in rising order."""
+    """The block's possible phrases of up to LONGEST words with their counts."""
     block = Block(lang, data)
     ok = passes(block.hash, words)
     n = len(ok)
     if not ok.any():
         return []
     at = np.flatnonzero(ok)
-    hashes = np.rec.fromarrays([block.hash[at], block.hashes(BASES[1])[at], block.end[at] - block.start[at]])
-    _, rep, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    _, rep, inverse = np.unique(block.hash[at], return_index=True, return_inverse=True)
+    size, other = block.end[at] - block.start[at], block.hashes(BASES[1])[at]
+    if ((other != other[rep][inverse]) | (size != size[rep][inverse])).any():  # two words of one hash: told apart by all of them
+        _, rep, inverse = np.unique(np.rec.fromarrays([block.hash[at], other, size]), return_index=True, return_inverse=True)
     spelled = [block.word(at[i]) for i in rep]
     order = sorted(range(len(spelled)), key=spelled.__getitem__)
     rank = np.empty(len(order), np.int64)
@@ -192,7 +207,7 @@ def ngrams(lang: str, data: bytes, carried: int, words: np.ndarray, pairs: np.nd
         live = np.zeros(n, bool)
         live[first] = True
         label[first] = inverse
-    return sorted(out)
+    return out
 
 
 def by_blocks(docs: DataFrame, count, size: int, *filters) -> DataFrame:
@@ -220,44 +235,61 @@ def key(lang: str, phrase: tuple[bytes, ...]) -> tuple[bytes, ...]:
     return (lang.encode("utf-8", "surrogatepass"), *phrase)
 
 
-def shard_runs(docs: DataFrame, words, pairs, size: int, run_size: int) -> DataFrame:
-    """lang, lo, hi (first and last phrase), n, automaton of each run of a block's sorted phrases."""
+def cut_points(docs: DataFrame, words, pairs, ranges: int, size: int) -> list[tuple[bytes, ...]]:
+    """Keys that cut the phrases in about so many ranges, from those of the first characters of some documents."""
+    rows = docs.count()
+    if ranges < 2 or not rows:
+        return []
+    some = docs.sample(min(1.0, 2 * TAKEN / rows), 1).select("lang", F.substring("text", 1, LOOK).alias("text")).limit(TAKEN)
+
     def run(batches):
         for lang, data, carried in blocks(batches, size):
-            found = ngrams(lang, data, carried, words.value, pairs.value)
-            rows = []
-            for at in range(0, len(found), run_size):
-                some = found[at: at + run_size]
-                rows.append((lang, b" ".join(some[0][0]), b" ".join(some[-1][0]), len(some), build(some).dump()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=["lang", "lo", "hi", "n", "automaton"])
-
-    return docs.mapInArrow(run, "lang string, lo binary, hi binary, n long, automaton binary")
-
-
-def cut_points(runs: DataFrame, per_range: int) -> list[tuple[bytes, ...]]:
-    """Keys that cut the phrases in ranges of about ``per_range``, from the first phrases of a bounded number of runs."""
-    total = runs.agg(F.sum("n").alias("n")).first()["n"] or 0
-    some = runs.select("lang", "lo", F.xxhash64("lang", "lo", "hi").alias("h")).orderBy("h", "lo").limit(SAMPLE).collect()
-    keys = sorted(key(r["lang"], tuple(bytes(r["lo"]).split(b" "))) for r in some)
-    want = min(-(-total // per_range), len(keys))
+            found = [key(lang, p) for p, _ in ngrams(lang, data, carried, words.value, pairs.value)]
+            kept = found[:: max(1, len(found) // 1000)]
+            yield pa.RecordBatch.from_arrays([pa.array([b" ".join(k) for k in kept], pa.binary())], names=["key"])
+
+    keys = sorted(tuple(bytes(r["key"]).split(b" ")) for r in some.mapInArrow(run, "key binary").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect())
+    want = min(ranges, len(keys))
     return sorted({keys[i * len(keys) // want] for i in range(1, want)})
 
 
-def united(runs: DataFrame, cuts: list[tuple[bytes, ...]], least: int) -> DataFrame:
-    """The frequent phrases by range: rows of kind automaton (range, lang, automaton), phrase (lang, phrase, a) and ask (range, lang, phrase)."""
-    def overlap(batches):
-        for pdf in batches:
-            lo, hi = ([bisect_right(cuts, key(lang, tuple(bytes(p).split(b" ")))) for lang, p in zip(pdf["lang"], pdf[c])] for c in ("lo", "hi"))
-            pdf = pdf.assign(range=[list(range(a, b + 1)) for a, b in zip(lo, hi)])
-            yield pdf[["range", "lang", "automaton"]].explode("range").astype({"range": "int32"})
+def shards(docs: DataFrame, words, pairs, cuts: list[tuple[bytes, ...]], size: int, held: int = HELD) -> DataFrame:
+    """range, lang, automaton: the transducers of a shard's sorted phrases, one for each range that it has phrases of."""
+    def run(batches):
+        counts: dict[str, dict[tuple[bytes, ...], int]] = {}
+        known = 0
+
+        def flush():
+            for lang in sorted(counts):
+                found, own = sorted(counts[lang].items()), counts.pop(lang)
+                own.clear()
+                edges = [bisect_left(found, (cut[1:], 0)) if cut[0] == key(lang, ())[0] else len(found) if cut > key(lang, ()) else 0 for cut in cuts]
+                rows = [(at, lang, build(found[a:b]).dump()) for at, (a, b) in enumerate(zip([0, *edges], [*edges, len(found)])) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary()))], names=["range", "lang", "automaton"])
 
+        for lang, data, carried in blocks(batches, size):
+            own = counts.setdefault(lang, {})
+            before = len(own)
+            for phrase, c in ngrams(lang, data, carried, words.value, pairs.value):
+                own[phrase] = own.get(phrase, 0) + c
+            known += len(own) - before
+            if not own:
+                del counts[lang]
+            if known >= held:
+                yield from flush()
+                known = 0
+        yield from flush()
+
+    return docs.mapInArrow(run, "range int, lang string, automaton binary")
+
+
+def united(dealt: DataFrame, cuts: list[tuple[bytes, ...]], least: int) -> DataFrame:
+    """The frequent phrases by range: rows of kind automaton (range, lang, automaton), phrase (lang, phrase, a) and ask (range, lang, phrase)."""
     def unite(group: pd.DataFrame) -> pd.DataFrame:
         at = int(group["range"].iloc[0])
-        lo, hi = cuts[at - 1] if at else (), cuts[at] if at < len(cuts) else None
         rows, asked = [], set()
         for lang, some in group.groupby("lang"):
-            own = [(p, w) for p, w in summed(Transducer.load(bytes(a)) for a in some["automaton"]) if w >= least and lo <= key(lang, p) and (hi is None or key(lang, p) < hi)]
+            own = [(p, w) for p, w in summed(Transducer.load(bytes(a)) for a in some["automaton"]) if w >= least]
             if not own:
                 continue
             rows.append(("automaton", at, lang, None, 0, build(own).dump()))
@@ -268,7 +300,6 @@ def united(runs: DataFrame, cuts: list[tuple[bytes, ...]], least: int) -> DataFr
         rows += [("ask", bisect_right(cuts, key(lang, p)), lang, b" ".join(p), 0, None) for lang, p in sorted(asked)]
         return pd.DataFrame(rows, columns=["kind", "range", "lang", "phrase", "a", "automaton"])
 
-    dealt = runs.select("lang", "lo", "hi", "automaton").mapInPandas(overlap, "range int, lang string, automaton binary")
     return dealt.groupBy("range").applyInPandas(unite, "kind string, range int, lang string, phrase binary, a long, automaton binary")
 
 
@@ -301,14 +332,15 @@ def part_counts(rows: DataFrame) -> DataFrame:
     return asks.groupBy("to").cogroup(automata.groupBy("of")).applyInPandas(look, "lang string, phrase binary, f long")
 
 
-def collocations(documents: DataFrame, least: int = LEAST, most: int = MOST, inside: int = INSIDE, block: int = BLOCK, run: int = RUN, per_range: int = PER_RANGE) -> DataFrame:
+def collocations(documents: DataFrame, least: int = LEAST, most: int = MOST, inside: int = INSIDE, block: int = BLOCK, per_range: int = PER_RANGE, held: int = HELD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``most`` phrases."""
     docs = documents.where("text <> ''").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     counts = stored(by_blocks(docs, word_counts, block).where((F.col("c") >= least) | F.col("lang").isNotNull()), "phrase-words")
     words = bit_filter(counts.where("lang IS NULL"))
     pairs = bit_filter(by_blocks(docs, pair_counts, block, words).where(F.col("c") >= least))
-    runs = stored(shard_runs(docs, words, pairs, block, run), "phrase-runs")
-    rows = stored(united(runs, cut_points(runs, per_range), least), "phrases")
+    total = counts.where("lang IS NOT NULL").agg(F.sum("c").alias("n")).first()["n"] or 0
+    cuts = cut_points(docs, words, pairs, min(SAMPLE, -(-total // per_range)), block)
+    rows = stored(united(shards(docs, words, pairs, cuts, block, held), cuts, least), "phrases")
     text = F.col("phrase").cast("string")
     phrases = rows.where("kind = 'phrase'").select("lang", text.alias("phrase"), "a", F.split(text, " ").alias("words"))
     join = lambda ws: F.array_join(ws, " ")

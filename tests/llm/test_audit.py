@@ -109,13 +109,14 @@ def collocated(rows, least, most):
     return out
 
 
-@pytest.mark.parametrize("least, most, block, run, per_range", [(3, 2000, 1 << 22, 4096, 100_000), (3, 40, 300, 16, 100), (2, 7, 40, 3, 20)])
-def test_collocations(spark, least, most, block, run, per_range):
+@pytest.mark.parametrize("least, most, block, per_range, held", [(3, 2000, 1 << 22, 100_000, 1 << 20), (3, 40, 300, 100, 1), (2, 7, 40, 20, 90)])
+def test_collocations(spark, monkeypatch, least, most, block, per_range, held):
+    monkeypatch.setattr(op12_collocations, "TOGETHER", block // 7)
     ws = ["the", "of", "a", "Ab", "É", "x\x01", "$#", "longer-word", "ß"]
     texts = [" ".join(RNG.choice(ws) + RNG.choice(("", "", "", "", ".", "\t", "\n", "?!")) for _ in range(RNG.randint(0, 40))) for _ in range(60)]
     rows = [(k, t, RNG.choice(("en", "en", "de", None, ""))) for k, t in enumerate(texts)] + [(1, texts[0], "en"), (None, None, "en"), (3, "", "en"), (4, ".. ,\t", "und"), (5, "a a a a a a a a", "fr")]
     rows += [(6, " ".join(RNG.choice(ws) for _ in range(900)), "en"), (7, "of the " * 30, "de")] + [(8, "same words again here", "en")] * 20
-    got = op12_collocations.collocations(table(spark, rows), least, most, 100, block, run, per_range)
+    got = op12_collocations.collocations(table(spark, rows), least, most, 100, block, per_range, held)
     assert {tuple(r) for r in got.collect()} == collocated(rows, least, most) and got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
