@@ -5,9 +5,9 @@ n-grams in sorted order; they are cut where ranges of phrases end, and a count t
 its transducers in order, adds up weights and builds that of the phrases that occur ``least`` times. The parts of a candidate are
 looked up by composing the phrases asked of a range with its transducer.
 
-Two passes before that find what can be frequent at all: words, then pairs of neighbouring words, are counted by 64-bit
-hashes, and the frequent ones set bits in filters of 2**``BITS`` bits (4 MB each, broadcast, whatever the corpus). A phrase all of
-whose words and pairs pass may be frequent; a shared bit lets more pass and drops nothing, since counts are by the words themselves.
+Passes before that find what can be frequent at all: words, then runs of two and of three words whose shorter runs are frequent, are
+counted by 64-bit hashes, and the frequent ones set bits in filters of 2**``BITS`` bits (4 MB each, broadcast, whatever the corpus). A
+phrase all of whose runs pass may be frequent; a shared bit lets more pass and drops nothing, since counts are by the words themselves.
 
 A text is read whole, in blocks of ``BLOCK`` bytes of one language; a longer text goes in several, each beginning with the last
 four words of the one before, which are not counted twice. Where the ranges, of some ``PER_RANGE`` words of text each, end is taken
@@ -34,7 +34,7 @@ from .common import stored
 from .transducers import Transducer, build, compose
 
 LEAST, LONGEST, MOST, INSIDE = 100, 5, 2000, 100
-BITS, BLOCK, PER_RANGE, SALTS = 25, 2 << 20, 1_000_000, 16
+BITS, FILTERS, BLOCK, PER_RANGE, SALTS = 25, 3, 2 << 20, 1_000_000, 16
 #: For the cuts of the ranges only: documents, characters of each, and phrases that are looked at.
 TAKEN, LOOK, SAMPLE = 2000, 4000, 10_000
 #: Different n-grams of a shard, and bytes whose hashes are worked out together.
@@ -142,10 +142,6 @@ class Block:
                 at = end
             return mixed(out + self.lang)
 
-    def pairs(self) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mixed(self.hash[:-1] * np.uint64(3) + (self.hash[1:] ^ np.uint64(BASES[1])))
-
     def word(self, i: int) -> bytes:
         return self.data[self.start[i]: self.end[i]].tobytes()
 
@@ -155,25 +151,41 @@ def passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def word_counts(lang: str, data: bytes, carried: int) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
-    block = Block(lang, data)
-    yield lang, np.zeros(1, np.uint64), np.array([len(block.hash) - carried])
-    yield None, *np.unique(block.hash[carried:], return_counts=True)
-
-
-def pair_counts(lang: str, data: bytes, carried: int, words: np.ndarray) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
+def runs(block: Block, filters: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For 1, 2, ... words, one number more than there are filters: where so many begin in one piece whose shorter runs all pass;
+    and the hashes of the longest."""
+    h, there = block.hash, [np.ones(len(block.hash), bool)]
+    with np.errstate(over="ignore"):
+        for size, bits in enumerate(filters, 2):
+            ok = there[-1]
+            ok[ok] = passes(h[ok], bits)
+            both = ok[:-1] & ok[1:]
+            if size == 2:
+                both &= block.follows
+            there.append(both)
+            h = mixed(h[:-1] * np.uint64(3) + (block.hash[size - 1:] ^ np.uint64(BASES[1])))
+    return there, h
+
+
+def level_counts(lang: str, data: bytes, carried: int, *filters: np.ndarray) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
+    """Hashes and counts of the block's runs of one word more than there are filters; of words their number by lang too."""
     block = Block(lang, data)
-    ok = passes(block.hash, words)
-    good = ok[1:] & ok[:-1] & block.follows
-    good[: max(0, carried - 1)] = False
-    yield None, *np.unique(block.pairs()[good], return_counts=True)
+    if not filters:
+        yield lang, np.zeros(1, np.uint64), np.array([len(block.hash) - carried])
+    there, h = runs(block, list(filters))
+    here = there[-1]
+    here[: max(0, carried - len(filters))] = False  # those that end in words carried over
+    yield None, *np.unique(h[here], return_counts=True)
 
 
-def ngrams(lang: str, data: bytes, carried: int, words: np.ndarray, pairs: np.ndarray) -> list[tuple[tuple[bytes, ...], int]]:
+def ngrams(lang: str, data: bytes, carried: int, *filters: np.ndarray) -> list[tuple[tuple[bytes, ...], int]]:
     """The block's possible phrases of up to LONGEST words with their counts."""
     block = Block(lang, data)
-    ok = passes(block.hash, words)
-    n = len(ok)
+    if not len(block.hash):
+        return []
+    there, h = runs(block, list(filters[:-1]))
+    there[-1][there[-1]] = passes(h[there[-1]], filters[-1])
+    ok, n = there[0], len(block.hash)
     if not ok.any():
         return []
     at = np.flatnonzero(ok)
@@ -188,24 +200,19 @@ def ngrams(lang: str, data: bytes, carried: int, words: np.ndarray, pairs: np.nd
     spelled = [spelled[i] for i in order]
     word = np.full(n, -1, np.int64)
     word[at] = rank[inverse]
-    good = np.zeros(n, bool)  # a pair that may be frequent begins here
-    good[:-1] = ok[1:] & ok[:-1] & block.follows
-    good[:-1][good[:-1]] = passes(block.pairs()[good[:-1]], pairs)
     out: list[tuple[tuple[bytes, ...], int]] = []
-    above, label, live = [()], np.zeros(n, np.int64), ok
+    above, label, first = [()], np.zeros(n, np.int64), at
     for size in range(1, LONGEST + 1):
-        first = np.flatnonzero(live)
-        if size > 1:
-            first = first[(first < n - size + 1)]
-            first = first[good[first + size - 2]]
+        known = there[min(size, len(there)) - 1]  # runs of that many words end a longer phrase
+        last = first + size - min(size, len(there))
+        first = first[last < len(known)]
+        first = first[known[first + size - min(size, len(there))]]
         if not len(first):
             break
         codes, inverse = np.unique(label[first] * len(spelled) + word[first + size - 1], return_inverse=True)
         counts = np.bincount(inverse[first + size - 1 >= carried], minlength=len(codes))
         above = [(*above[p], spelled[w]) for p, w in zip((codes // len(spelled)).tolist(), (codes % len(spelled)).tolist())]
         out += [(phrase, c) for phrase, c in zip(above, counts.tolist()) if c]
-        live = np.zeros(n, bool)
-        live[first] = True
         label[first] = inverse
     return out
 
@@ -235,7 +242,7 @@ def key(lang: str, phrase: tuple[bytes, ...]) -> tuple[bytes, ...]:
     return (lang.encode("utf-8", "surrogatepass"), *phrase)
 
 
-def cut_points(docs: DataFrame, words, pairs, ranges: int, size: int) -> list[tuple[bytes, ...]]:
+def cut_points(docs: DataFrame, filters: list, ranges: int, size: int) -> list[tuple[bytes, ...]]:
     """Keys that cut the phrases in about so many ranges, from those of the first characters of some documents."""
     rows = docs.count()
     if ranges < 2 or not rows:
@@ -244,7 +251,7 @@ def cut_points(docs: DataFrame, words, pairs, ranges: int, size: int) -> list[tu
 
     def run(batches):
         for lang, data, carried in blocks(batches, size):
-            found = [key(lang, p) for p, _ in ngrams(lang, data, carried, words.value, pairs.value)]
+            found = [key(lang, p) for p, _ in ngrams(lang, data, carried, *[f.value for f in filters])]
             kept = found[:: max(1, len(found) // 1000)]
             yield pa.RecordBatch.from_arrays([pa.array([b" ".join(k) for k in kept], pa.binary())], names=["key"])
 
@@ -253,7 +260,7 @@ def cut_points(docs: DataFrame, words, pairs, ranges: int, size: int) -> list[tu
     return sorted({keys[i * len(keys) // want] for i in range(1, want)})
 
 
-def shards(docs: DataFrame, words, pairs, cuts: list[tuple[bytes, ...]], size: int, held: int = HELD) -> DataFrame:
+def shards(docs: DataFrame, filters: list, cuts: list[tuple[bytes, ...]], size: int, held: int = HELD) -> DataFrame:
     """range, lang, automaton: the transducers of a shard's sorted phrases, one for each range that it has phrases of."""
     def run(batches):
         counts: dict[str, dict[tuple[bytes, ...], int]] = {}
@@ -270,7 +277,7 @@ def shards(docs: DataFrame, words, pairs, cuts: list[tuple[bytes, ...]], size: i
         for lang, data, carried in blocks(batches, size):
             own = counts.setdefault(lang, {})
             before = len(own)
-            for phrase, c in ngrams(lang, data, carried, words.value, pairs.value):
+            for phrase, c in ngrams(lang, data, carried, *[f.value for f in filters]):
                 own[phrase] = own.get(phrase, 0) + c
             known += len(own) - before
             if not own:
@@ -335,12 +342,13 @@ def part_counts(rows: DataFrame) -> DataFrame:
 def collocations(documents: DataFrame, least: int = LEAST, most: int = MOST, inside: int = INSIDE, block: int = BLOCK, per_range: int = PER_RANGE, held: int = HELD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``most`` phrases."""
     docs = documents.where("text <> ''").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    counts = stored(by_blocks(docs, word_counts, block).where((F.col("c") >= least) | F.col("lang").isNotNull()), "phrase-words")
-    words = bit_filter(counts.where("lang IS NULL"))
-    pairs = bit_filter(by_blocks(docs, pair_counts, block, words).where(F.col("c") >= least))
+    counts = stored(by_blocks(docs, level_counts, block).where((F.col("c") >= least) | F.col("lang").isNotNull()), "phrase-words")
+    filters = [bit_filter(counts.where("lang IS NULL"))]
+    while len(filters) < FILTERS:
+        filters.append(bit_filter(by_blocks(docs, level_counts, block, *filters).where(F.col("c") >= least)))
     total = counts.where("lang IS NOT NULL").agg(F.sum("c").alias("n")).first()["n"] or 0
-    cuts = cut_points(docs, words, pairs, min(SAMPLE, -(-total // per_range)), block)
-    rows = stored(united(shards(docs, words, pairs, cuts, block, held), cuts, least), "phrases")
+    cuts = cut_points(docs, filters, min(SAMPLE, -(-total // per_range)), block)
+    rows = stored(united(shards(docs, filters, cuts, block, held), cuts, least), "phrases")
     text = F.col("phrase").cast("string")
     phrases = rows.where("kind = 'phrase'").select("lang", text.alias("phrase"), "a", F.split(text, " ").alias("words"))
     join = lambda ws: F.array_join(ws, " ")
