@@ -11,14 +11,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import on_workers
+from ..functions.text import extension_of
 from ..operators import evidence, findings, pdf_rules, pptx_rules
 from ..operators.evidence import MAX_BYTES, POWERPOINT
 from ..operators.kept import forget, keep
+from ..operators.pdf_rules import MARKS
 from ..operators.rules import REGISTERED, emit, hit, said
+from ..sources import ranges
 
 
 @dataclass(frozen=True)
@@ -95,15 +98,20 @@ def scan(files: DataFrame, max_bytes: int = MAX_BYTES, strict: bool = True) -> S
         about = evidence.failed_late(about, about)
     if not about.where("failure IS NOT NULL").isEmpty():
         rows = evidence.without_failed(rows, about)
+    return from_evidence(about, evidence.item_rows(rows), evidence.entry_rows(rows), paths, max_bytes, strict)
+
+
+def from_evidence(about: DataFrame, items: DataFrame, entries: DataFrame, paths: list[str], max_bytes: int, strict: bool, unread: DataFrame | None = None) -> Scan:
+    """The scan of files whose evidence is at hand; ``unread`` (file_id, checks, limitations) is what was left out."""
     readable = about.where("NOT too_large AND failure IS NULL")
     pdfs, zips = readable.where("detected = 'pdf'"), readable.where("detected = 'zip'")
-    items, entries = evidence.item_rows(rows), evidence.entry_rows(rows)
     there = {r["detected"] for r in readable.select("detected").distinct().collect()}  # at most four; what is not there needs no plan
     branches = [("pptx", container_hits(about, max_bytes)), *([("pdf", pdf_rules.hits(pdfs, items))] if "pdf" in there else []),
                 *([("pptx", pptx_rules.hits(zips, entries))] if "zip" in there else []), *(("pdf", branch(readable, items, entries)) for _, branch in REGISTERED)]
     hits = reduce(DataFrame.unionByName, [rows_.withColumn("family", F.lit(family)) for family, rows_ in branches])
     hits, also = keep(hits, "scan-hits")  # findings, their sensitive values and the counters all start from it
     covered = container_coverage(about).unionByName(pdf_rules.coverage(pdfs, items)).unionByName(pptx_rules.coverage(zips, entries, strict))
+    covered = covered.unionByName(unread) if unread is not None else covered
     more = about.select("file_id", "detected", F.col("type").alias("declaredType"), "extension").join(
         pdf_rules.details(pdfs, items, hits), "file_id", "left").join(pptx_rules.details(zips, entries, hits), "file_id", "left")
     details = more.select("file_id", F.to_json(F.struct(*more.columns[1:])).alias("details"))
@@ -113,3 +121,22 @@ def scan(files: DataFrame, max_bytes: int = MAX_BYTES, strict: bool = True) -> S
 def reports(files: DataFrame, max_bytes: int = MAX_BYTES, strict: bool = True) -> DataFrame:
     """One row for each file: descriptor, counts, score, verdict, coverage."""
     return scan(files, max_bytes, strict).reports()
+
+
+def scan_packages(spark: SparkSession, path: str, recursive: bool = False, strict: bool = True) -> Scan:
+    """A scan of the presentations at ``path`` that fetches their directories and XML parts only.
+
+    Reports have no SHA-256, and where a package holds media its report is not complete, since their metadata were not looked at.
+    """
+    ranges.register(spark)
+    rows, kept_at = keep(spark.read.format("office_packages").option("recursive", str(recursive).lower()).load(path), "scan-ranges")
+    rows = rows.withColumn("file_id", F.col("path"))
+    null = lambda type_: F.lit(None).cast(type_)
+    entries = rows.withColumns({"fields": null("array<struct<name:string,value:string>>"), "latitude": null("double"), "longitude": null("double")}).select(*evidence.names(evidence.ENTRY))
+    about = rows.where("idx IN (-1, 0)").select(
+        "file_id", F.col("path").alias("name"), F.lit("").alias("type"), "size", null("string").alias("sha256"), extension_of(F.col("path")).alias("extension"), F.lit("zip").alias("detected"),
+        F.lit(False).alias("too_large"), null("string").alias("failure"), null("bigint").alias("duration_ms"), null(f"struct<{MARKS.replace(' ', ':').replace(',:', ',')}>").alias("marks"))
+    media = rows.where("name LIKE 'ppt/media/%' AND NOT directory").select("file_id").distinct()
+    unread = media.select("file_id", F.array().cast("array<string>").alias("checks"), F.array(F.lit("Embedded image metadata was not inspected.")).alias("limitations"))
+    items = spark.createDataFrame([], evidence.PDF)
+    return from_evidence(about, items, entries, [kept_at], MAX_BYTES, strict, unread)

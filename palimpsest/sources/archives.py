@@ -16,6 +16,11 @@ XML_BYTES, MEDIA_BYTES = 32 << 20, 64 << 20
 FULL16, FULL32, SAFE = 0xFFFF, 0xFFFFFFFF, (1 << 53) - 1
 
 
+def at_place(form: str, data, at: int) -> tuple:
+    """The numbers that stand there; ``data`` is bytes, or what reads them where they are asked for."""
+    return struct.unpack(form, data[at: at + struct.calcsize(form)])
+
+
 class PackageError(Exception):
     """What is wrong with a package; messages and codes are fixed values that reports show."""
 
@@ -68,7 +73,7 @@ class Package:
                 (self.data[e.offset: e.offset + 4] != b"PK\3\4" or e.offset + 30 > len(self.data), f"Local ZIP header is invalid for {e.name}.", "ZIP_LOCAL_HEADER")):
             if broken:
                 raise PackageError(message, code)
-        begin = e.offset + 30 + sum(struct.unpack_from("<HH", self.data, e.offset + 26))
+        begin = e.offset + 30 + sum(at_place("<HH", self.data, e.offset + 26))
         if begin + e.packed > len(self.data):
             raise PackageError(f"Compressed data extends past the end of the file: {e.name}.", "ZIP_DATA_RANGE")
         raw = self.data[begin: begin + e.packed]
@@ -103,7 +108,7 @@ def inflate(raw: bytes, most: int, wrapped: bool = False) -> bytes:
 
 
 def u64(data: bytes, at: int) -> int:
-    value = struct.unpack_from("<Q", data, at)[0]
+    value = at_place("<Q", data, at)[0]
     if value > SAFE:
         raise PackageError("ZIP64 value exceeds the safe integer range.", "ZIP64_RANGE")
     return value
@@ -115,11 +120,11 @@ def directory_end(data: bytes) -> tuple[int, int, int, bool]:
         raise PackageError("File is too small to be a ZIP archive.", "ZIP_TOO_SMALL")
     at = len(data) - 21
     while (at := data.rfind(b"PK\5\6", max(0, len(data) - 22 - FULL16), at + 3)) >= 0:
-        if at + 22 + struct.unpack_from("<H", data, at + 20)[0] <= len(data):
+        if at + 22 + at_place("<H", data, at + 20)[0] <= len(data):
             break
     if at < 0:
         raise PackageError("ZIP end-of-central-directory record was not found.", "ZIP_EOCD")
-    disk, first_disk, _, n, size, offset = struct.unpack_from("<HHHHII", data, at + 4)
+    disk, first_disk, _, n, size, offset = at_place("<HHHHII", data, at + 4)
     if disk or first_disk:
         raise PackageError("Multi-disk ZIP archives are not supported.", "ZIP_MULTIDISK")
     if n != FULL16 and FULL32 not in (size, offset):
@@ -129,7 +134,7 @@ def directory_end(data: bytes) -> tuple[int, int, int, bool]:
     far = u64(data, at - 12)
     if far + 56 > len(data) or data[far: far + 4] != b"PK\6\6":
         raise PackageError("ZIP64 end-of-central-directory record is invalid.", "ZIP64_EOCD")
-    if any(struct.unpack_from("<II", data, far + 16)):
+    if any(at_place("<II", data, far + 16)):
         raise PackageError("Multi-disk ZIP64 archives are not supported.", "ZIP_MULTIDISK")
     return u64(data, far + 32), u64(data, far + 40), u64(data, far + 48), True
 
@@ -137,7 +142,7 @@ def directory_end(data: bytes) -> tuple[int, int, int, bool]:
 def extra_field(extra: bytes, wanted: int) -> bytes | None:
     found, at = None, 0
     while at + 4 <= len(extra):
-        kind, size = struct.unpack_from("<HH", extra, at)
+        kind, size = at_place("<HH", extra, at)
         if at + 4 + size > len(extra):
             break
         if kind == wanted:
@@ -156,8 +161,8 @@ def open_package(data: bytes, most: int = ENTRIES) -> Package:
     for i in range(n):
         if at + 46 > len(data) or data[at: at + 4] != b"PK\1\2":
             raise PackageError(f"Invalid central-directory entry at index {i}.", "ZIP_CENTRAL_ENTRY")
-        flags, method, _, crc, packed, unpacked, n_name, n_extra, n_comment, disk = struct.unpack_from("<HHIIIIHHHH", data, at + 8)
-        offset = struct.unpack_from("<I", data, at + 42)[0]
+        flags, method, _, crc, packed, unpacked, n_name, n_extra, n_comment, disk = at_place("<HHIIIIHHHH", data, at + 8)
+        offset = at_place("<I", data, at + 42)[0]
         begin = at + 46
         at = begin + n_name + n_extra + n_comment
         if at > len(data):
@@ -181,7 +186,7 @@ def open_package(data: bytes, most: int = ENTRIES) -> Package:
             if disk == FULL16:
                 if cursor + 4 > len(wide):
                     raise PackageError("Truncated ZIP64 disk field.", "ZIP64_EXTRA")
-                disk = struct.unpack_from("<I", wide, cursor)[0]
+                disk = at_place("<I", wide, cursor)[0]
         if disk:
             raise PackageError("Multi-disk ZIP entry found.", "ZIP_MULTIDISK")
         package.entries.append(Entry(name, sizes[1], sizes[0], method, crc, flags, sizes[2]))
