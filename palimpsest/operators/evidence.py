@@ -357,10 +357,10 @@ def file_rows(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'file'").select(*[c for c in names(FILE) if c != "marks"], *names(OUTCOME), marks.alias("marks"))
 
 
-def failed_late(files: DataFrame, late: DataFrame) -> DataFrame:
+def failed_late(files: DataFrame) -> DataFrame:
     """The file rows with failures that came to light after theirs, in rows that have the id and the failure alone."""
-    why = late.where("name IS NULL").groupBy("file_id").agg(F.min("failure").alias("why"))
-    return files.where("name IS NOT NULL").join(why, "file_id", "left").withColumn("failure", F.coalesce("failure", "why")).drop("why")
+    why = files.where("detected IS NULL").groupBy("file_id").agg(F.min("failure").alias("why"))
+    return files.where("detected IS NOT NULL").join(why, "file_id", "left").withColumn("failure", F.coalesce("failure", "why")).drop("why")
 
 
 def package_entries(files: DataFrame) -> DataFrame:

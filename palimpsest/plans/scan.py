@@ -93,10 +93,11 @@ def scan(files: DataFrame, max_bytes: int = MAX_BYTES, strict: bool = True) -> S
     if parts := evidence.parts_for(rows.where("kind = 'body'")):  # files too large for one task
         more, path = keep(evidence.unfolded(rows.where("kind = 'body'"), parts, needed_only=True), "scan-streams", by="kind")
         paths.append(path)
-        about, rows = evidence.failed_late(about, about.unionByName(evidence.file_rows(more))), rows.unionByName(more)
-    else:
-        about = evidence.failed_late(about, about)
-    if not about.where("failure IS NOT NULL").isEmpty():
+        about, rows = about.unionByName(evidence.file_rows(more)), rows.unionByName(more)
+    wrong = about.agg(F.bool_or(F.col("detected").isNull()).alias("late"), F.bool_or(F.col("failure").isNotNull()).alias("any")).first()
+    if wrong["late"]:
+        about = evidence.failed_late(about)
+    if wrong["any"]:
         rows = evidence.without_failed(rows, about)
     return from_evidence(about, evidence.item_rows(rows), evidence.entry_rows(rows), paths, max_bytes, strict)
 

@@ -47,7 +47,7 @@ def paper(rng: random.Random, k: int) -> bytes:
 def test_no_file_changes_another_files_report(spark, seed):
     rng = random.Random(seed)
     plain = [("clean.pdf", fx.clean_pdf()), ("unsafe.pdf", fx.unsafe_pdf()), ("clean.pptx", fx.clean_pptx()), ("unsafe.pptx", fx.unsafe_pptx())]
-    odd = [(f"odd{k}.pptx", deck(rng, k)) for k in range(25)] + [(f"odd{k}.pdf", paper(rng, k)) for k in range(25)] + [("cut.pptx", fx.unsafe_pptx()[:200]), ("zero.pdf", b"%PDF-"), ("none", b""), ("null", None)]
+    odd = [(f"odd{k}.pptx", deck(rng, k)) for k in range(25)] + [(f"odd{k}.pdf", paper(rng, k)) for k in range(25)] + [("cut.pptx", fx.unsafe_pptx()[:200]), ("zero.pdf", b"%PDF-"), ("none", b""), ("null", None), (None, b"x")]
     seen = ("high", "medium", "low", "total", "score", "verdict_code", "complete", "checks", "limitations", "failure")
 
     def reports(rows):
@@ -56,7 +56,7 @@ def test_no_file_changes_another_files_report(spark, seed):
 
     alone, mixed = reports(plain), reports(plain + odd)
     assert {n: mixed[n] for n in alone} == alone and len(mixed) == len(plain) + len(odd)
-    assert all(mixed[n][-1] or mixed[n][3] or not mixed[n][6] for n, _ in odd if n.startswith("odd") and n.endswith("pptx"))
+    assert all(mixed[n][-1] or mixed[n][3] or not mixed[n][6] for n, _ in odd if n and n.endswith("pptx"))
 
 
 def test_slide_numbers_of_any_length(spark):
@@ -86,6 +86,8 @@ def test_rows_of_a_file_that_fails_later_do_not_count(spark, monkeypatch):
     about = spark.createDataFrame([("f", "why"), ("g", None)], "file_id string, failure string")
     items = spark.createDataFrame([r[:-1] for r in rows], evidence.PDF)
     assert [r["file_id"] for r in evidence.without_failed(items, about).collect()] == ["g"]
+    told = spark.createDataFrame([("f", "f", None), ("g", "g", "early"), ("h", "h", None), ("f", None, "late"), ("f", None, "later"), ("g", None, "late")], "file_id string, detected string, failure string")
+    assert sorted((r["file_id"], r["failure"]) for r in evidence.failed_late(told).collect() if r["failure"]) == [("f", "late"), ("g", "early")] and evidence.failed_late(told).count() == 3
     out = evidence.Batches(True)
     batches = []
     with pytest.raises(RuntimeError):
