@@ -95,3 +95,24 @@ def grouped(batches: Iterator, keys: list[str]) -> Iterator:
             held.append(pdf.iloc[a:b])
     if held:
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+
+def slim(run):
+    """``run`` over the batches of a task, after which its Python worker, which serves later stages too, gives free memory back."""
+    def slimmed(batches):
+        yield from run(batches)
+        give_back()
+
+    return slimmed
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # glibc keeps freed pages otherwise
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, grouped, stored
+from .common import cut, grouped, slim, stored
 
 WORDS, SIMILARITY, TREES, DEPTH, RECALL, BINS = 5, 0.8, 8, 3, 0.999, 40
 CELL_ROWS, CELL_SHINGLES, MEMO = 512, 400_000, 100_000
@@ -119,7 +119,7 @@ def sketch(documents: DataFrame) -> DataFrame:
 
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     ids = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-    return ids.mapInPandas(run, "row long, doc_id string, h long, a long, b long, n int, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return ids.mapInPandas(slim(run), "row long, doc_id string, h long, a long, b long, n int, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def compare(cell: pd.DataFrame, bucket: int, similarity: float, within: bool) -> pd.DataFrame:
@@ -238,8 +238,8 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     levels = []
     for depth in range(DEPTH, depth_for(similarity, recall) - 1, -1):
         here = homes.where(F.exists("bucket", lambda b: F.shiftright(b, 60) == DEPTH - depth))
-        cells = docs.join(here, "doc_id").mapInPandas(deal_at(depth), CELL).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "a")
-        levels.append(stored(cells.mapInPandas(run, "rep long, links long, to long, bin int, pairs long"), "jaccard-links"))
+        cells = docs.join(here, "doc_id").mapInPandas(slim(deal_at(depth)), CELL).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "a")
+        levels.append(stored(cells.mapInPandas(slim(run), "rep long, links long, to long, bin int, pairs long"), "jaccard-links"))
         for r in levels[-1].where("bin >= 0").groupBy("bin").agg(F.sum("pairs").alias("n")).collect():  # BINS rows
             met_at[r["bin"]] = met_at.get(r["bin"], 0) + r["n"]
         if estimated_recall(met_at, depth) >= recall:

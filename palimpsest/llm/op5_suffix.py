@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped
+from .common import grouped, slim
 
 SPAN, GRAM = 50, 24
 LEFT = SPAN - GRAM
@@ -199,8 +199,8 @@ def shared_filter(docs: DataFrame, buckets: int, bits: int = FILTER_BITS, hot: i
             often = both[np.bincount(at, np.concatenate([times, again])) >= hot] if len(both) else both
             yield pd.DataFrame({"bucket": group["bucket"].iloc[:1], "bits": [common.slice_of(shared)], "often": [frequent.slice_of(often)]})
 
-    found = docs.mapInPandas(hashes, "bucket int, once binary, more binary").repartition("bucket").sortWithinPartitions("bucket")
-    for r in found.mapInPandas(meet, "bucket int, bits binary, often binary").toLocalIterator():  # 2**bits bits, whatever the corpus
+    found = docs.mapInPandas(slim(hashes), "bucket int, once binary, more binary").repartition("bucket").sortWithinPartitions("bucket")
+    for r in found.mapInPandas(slim(meet), "bucket int, bits binary, often binary").toLocalIterator():  # 2**bits bits, whatever the corpus
         common.packed[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
         frequent.packed[r["bucket"]] = np.frombuffer(r["often"], np.uint8)
     return common, frequent
@@ -443,7 +443,7 @@ def route(docs: DataFrame, filters, buckets: int) -> DataFrame:
                 out.append((k, *(fields[f][i].astype(t).tobytes() for f, t in FIELDS), packer.compress(b.bytes[taken].tobytes()), b""))
             yield pd.DataFrame(out, columns=columns)
 
-    return docs.mapInPandas(run, ROUTED).repartition("bucket").sortWithinPartitions("bucket")
+    return docs.mapInPandas(slim(run), ROUTED).repartition("bucket").sortWithinPartitions("bucket")
 
 
 def resolve(group: pd.DataFrame) -> tuple[list[int], list[int], list[bytes]]:
@@ -518,7 +518,7 @@ def removed_spans(docs: DataFrame, n_rows: int) -> DataFrame:
         for group in grouped(pdfs, ["bucket"]):
             yield pd.DataFrame(dict(zip(("doc_id", "key", "spans"), resolve(group))))
 
-    found = route(usable, filters, buckets).mapInPandas(run, "doc_id long, key int, spans binary")
+    found = route(usable, filters, buckets).mapInPandas(slim(run), "doc_id long, key int, spans binary")
     return found.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("pieces"))
 
 
@@ -559,7 +559,7 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = docs.join(spans, ["doc_id", "key"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "pieces")
-    out = joined.mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = joined.mapInPandas(slim(run), "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

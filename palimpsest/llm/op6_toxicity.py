@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_mod
+from .common import crc_mod, slim
 
 BITS, MODELS, POSITIVES, UNLABELLED, EPOCHS, RATE, DECAY, THRESHOLD = 18, 2, 6000, 16000, 400, 1.0, 1e-5, 0.7
 SHRINK, TELLING = 6, 0.6
@@ -111,7 +111,7 @@ def fit(documents: DataFrame, labels: DataFrame, models: int = MODELS, positives
         w = train([rows[i] for i in order], pdf["positive"].to_numpy()[order] == 1, prior)
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "w": [w.astype(np.float32).tobytes()]})
 
-    encoded = sample.mapInPandas(encode, "part int, positive int, words binary")
+    encoded = sample.mapInPandas(slim(encode), "part int, positive int, words binary")
     trained = encoded.groupBy("part").applyInPandas(learn, "part int, w binary").orderBy("part").collect()
     if not trained:
         return np.zeros((1 << BITS) + 1)
@@ -137,7 +137,7 @@ def score(documents: DataFrame, w: np.ndarray, keep: tuple[str, ...] = ("doc_id"
             scores = 1 / (1 + np.exp(-np.clip(total, -500, 500))) if known else np.zeros(len(total))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=schema.names)
 
-    return documents.select(*keep, F.col(text_col).alias("_scored")).mapInArrow(run, schema)
+    return documents.select(*keep, F.col(text_col).alias("_scored")).mapInArrow(slim(run), schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

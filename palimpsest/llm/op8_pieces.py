@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slim, stored
 
 CHUNK, FAN, MEMO, AT_ONCE = 65_536, 32, 120_000, 1 << 22
 BLANK, OWN_BLANK = "▁", "\udc81"
@@ -434,9 +434,9 @@ def encode(documents: DataFrame, text_col: str = "text", model: str | None = Non
                 yield pd.DataFrame(parts, columns=["_row", "chunk", "exits", "text"])
 
     short = F.length("_text") < chunk
-    direct = docs.where(short).mapInArrow(small, fields + ", pieces binary, score long")
+    direct = docs.where(short).mapInArrow(slim(small), fields + ", pieces binary, score long")
     giant = stored(docs.where(~short), "pieces-giant")
-    chunks = stored(giant.mapInPandas(split_up, "_row long, chunk int, exits int, text binary").repartition("_row", "chunk"), "pieces-chunks")
+    chunks = stored(giant.mapInPandas(slim(split_up), "_row long, chunk int, exits int, text binary").repartition("_row", "chunk"), "pieces-chunks")
 
     def transfer(pdfs):
         p = kept(vocabulary.value)
@@ -460,7 +460,7 @@ def encode(documents: DataFrame, text_col: str = "text", model: str | None = Non
         return pd.DataFrame({"_row": pdf["_row"], "chunk": pdf["chunk"], "front": [v.tobytes() for v in prefixes(front, read(pdf["matrix"]))]})
 
     # up the tree, level by level, and down again
-    levels = [stored(chunks.mapInPandas(transfer, "_row long, chunk int, matrix binary"), "pieces-matrices")]
+    levels = [stored(chunks.mapInPandas(slim(transfer), "_row long, chunk int, matrix binary"), "pieces-matrices")]
     most = levels[0].agg(F.max("chunk")).first()[0]
     while most:
         levels.append(stored(levels[-1].groupBy("_row", F.floor(F.col("chunk") / FAN).alias("node")).applyInPandas(combine, "_row long, chunk int, matrix binary"), "pieces-matrices"))
@@ -481,7 +481,7 @@ def encode(documents: DataFrame, text_col: str = "text", model: str | None = Non
             yield pd.DataFrame({"_row": pdf["_row"], "chunk": pdf["chunk"], "comes": made})
 
     # a few numbers for each chunk of one document
-    comes = at_front.mapInPandas(maps, "_row long, chunk int, comes array<int>").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("chunk", "comes"))).alias("all"))
+    comes = at_front.mapInPandas(slim(maps), "_row long, chunk int, comes array<int>").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("chunk", "comes"))).alias("all"))
     last = F.aggregate(F.reverse("all"), F.array(F.lit(0)), lambda a, x: F.concat(F.array(x["comes"][a[0]]), a))
     leaves = comes.select("_row", F.posexplode(F.slice(last, 2, F.size("all"))).alias("chunk", "leave"))
 
@@ -500,7 +500,7 @@ def encode(documents: DataFrame, text_col: str = "text", model: str | None = Non
     def best_of(whole: pd.Series) -> pd.Series:
         return whole.map(lambda m: int(np.frombuffer(m, np.int64)[0]))  # from no overhang to none
 
-    traced = at_front.join(leaves, ["_row", "chunk"]).mapInPandas(back, "_row long, chunk int, pieces binary")
+    traced = at_front.join(leaves, ["_row", "chunk"]).mapInPandas(slim(back), "_row long, chunk int, pieces binary")
     # one document's pieces, as large as its text
     whole = traced.groupBy("_row").agg(F.collect_list(F.struct("chunk", "pieces")).alias("parts")).select("_row", one_text("parts").alias("pieces"))
     long_ = giant.drop("_text").join(whole, "_row").join(total, "_row").withColumn("score", best_of("whole"))
