@@ -34,6 +34,7 @@ from .common import crc_mod, stored
 
 ORDERS, BITS, GATES, STRIDE, RATE, BINS, FREQUENT, SLOTS = (2, 3, 4), 18, 8, 8, 0.004, 24, 1 << 17, 4096
 END, BATCH, MIX_BATCH, PRIOR = 256, 1 << 18, 1 << 24, 24.0
+WINDOW = 1 << 20
 WORDS_AT_ONCE = 200_000
 
 
@@ -94,24 +95,30 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, ends - size + pad
 
 
-def contexts(symbols: np.ndarray) -> list[np.ndarray]:
-    """For each order a 32-bit hash of the preceding symbols (wrapping around the front, where only zeros are)."""
-    out, h, done = [], np.zeros(len(symbols), np.uint32), 0
-    for order in ORDERS:
-        for back in range(done + 1, order + 1):
-            h = (h + np.roll(symbols, back).astype(np.uint32) + np.uint32(1)) * np.uint32(0x2C1B3C6D)
-            h ^= h >> np.uint32(15)
-        done = order
-        out.append(h * np.uint32(0x9E3779B1))
+def packed(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The symbol at each place and the ``max(ORDERS)`` bytes before it (6 at most) in one number, the farthest byte lowest."""
+    pad = max(ORDERS)
+    low = np.zeros(len(symbols) + 8, np.uint8)
+    low[: len(symbols)] = symbols  # END ends a document, so no place has it before it
+    eight = np.ndarray(len(symbols), "<u8", low, strides=(1,))  # the eight bytes from each place on
+    out = eight[at - pad]
+    out &= np.uint64((1 << 8 * pad) - 1)
+    out |= symbols.take(at).astype(np.uint64) << np.uint64(8 * pad)
     return out
 
 
-def contexts_at(symbols: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """``contexts`` at some places."""
-    out, h, done = [], np.zeros(len(at), np.uint32), 0
+def unpacked(keys: np.ndarray, back: int) -> np.ndarray:
+    """The symbol ``back`` places before; 0 is the symbol itself."""
+    out = keys >> np.uint64(8 * (max(ORDERS) - back))
+    return (out & np.uint64(255) if back else out).astype(np.uint32)
+
+
+def hashes(keys: np.ndarray) -> list[np.ndarray]:
+    """For each order a 32-bit hash of the preceding symbols."""
+    out, h, done = [], np.zeros(len(keys), np.uint32), 0
     for order in ORDERS:
         for back in range(done + 1, order + 1):
-            h += symbols.take(at - back)
+            h += unpacked(keys, back)
             h += np.uint32(1)
             h *= np.uint32(0x2C1B3C6D)
             h ^= h >> np.uint32(15)
@@ -120,6 +127,19 @@ def contexts_at(symbols: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def contexts(symbols: np.ndarray) -> list[np.ndarray]:
+    """``hashes`` at all places (of no meaning at the zeros between documents)."""
+    return hashes(packed(symbols, np.arange(len(symbols))))
+
+
+def spelt(keys: np.ndarray, code: Code):
+    """(decisions of each key, their depths, their bits, their slots for each order) of ``BATCH`` keys at a time."""
+    for i in range(0, len(keys), BATCH):
+        part = keys[i: i + BATCH]
+        n, depth, node, bit = code.spell(unpacked(part, 0), unpacked(part, 1))
+        yield n, depth, bit, [slot(np.repeat(h, n), node) for h in hashes(part)]
+
+
 def slot(context: np.ndarray, node: np.ndarray, bits: int = BITS) -> np.ndarray:
     h = context ^ node
     h *= np.uint32(0xC2B2AE35)
@@ -140,20 +160,23 @@ def grouped_by_bytes(texts: list[bytes], limit: int = BATCH):
 
 
 def count_contexts(texts: list[bytes], code: Code, counts: np.ndarray) -> None:
-    """Adds to ``counts`` (order, slot * 2 + bit)."""
-    for ids in grouped_by_bytes(texts):
+    """Adds to ``counts`` (order, slot * 2 + bit). A symbol after the same bytes is spelt once for all its places in ``WINDOW`` bytes."""
+    for ids in grouped_by_bytes(texts, WINDOW):
         symbols, starts = stream([texts[i] for i in ids])
-        hashes = contexts(symbols)
         real = np.ones(len(symbols), bool)
         for back in range(1, max(ORDERS) + 1):
             real[starts - back] = False
-        at = np.flatnonzero(real)
-        n, _, node, bit = code.spell(symbols[at], symbols[at - 1])
-        for k, h in enumerate(hashes):
-            place = slot(np.repeat(h[at], n), node)
-            place += place
-            place += bit
-            counts[k] += np.bincount(place, minlength=counts.shape[1])
+        keys = np.sort(packed(symbols, np.flatnonzero(real)))
+        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        keys, times = keys[new], np.diff(np.r_[new, len(keys)])
+        done = 0
+        for n, _, bit, slots in spelt(keys, code):
+            each = np.repeat(times[done: done + len(n)], n).astype(float)  # whole numbers far below 2**53
+            done += len(n)
+            for k, place in enumerate(slots):
+                place += place
+                place += bit
+                counts[k] += np.bincount(place, each, counts.shape[1]).astype(np.int64)
 
 
 def logits(counts: np.ndarray) -> np.ndarray:
@@ -173,56 +196,122 @@ def mix_scores(texts: list[bytes], code: Code, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each key, the key of each number). Equal keys share a number, but for a few whose hash another key took."""
+    slots = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    places = np.arange(len(keys))
+    last = np.zeros(1 << 20, np.int64)
+    last[slots] = places
+    like = last.take(slots, mode="clip")
+    other = np.flatnonzero(keys.take(like, mode="clip") != keys)
+    like[other] = other
+    own = np.flatnonzero(like == places)
+    places[own] = np.arange(len(own))
+    return places.take(like, mode="clip"), keys[own]
+
+
+def prepared(keys: np.ndarray, code: Code, table: np.ndarray):
+    """(decisions of each key, its first row less the decisions before it, rows of decisions: logits, then gate * 2 + bit)."""
+    number, keys = numbered(keys)
+    each, rows = [], []
+    for n, depth, bit, slots in spelt(keys, code):
+        each.append(n)
+        row = np.empty((len(depth), len(ORDERS) + 1), np.float32)
+        for j, s in enumerate(slots):
+            row[:, j] = table[j].take(s, mode="clip")
+        row[:, -1] = np.minimum(depth, GATES - 1) * 2 + bit
+        rows.append(row)
+    each = np.concatenate(each)
+    start = (np.cumsum(each) - each).take(number, mode="clip")
+    each = each.take(number, mode="clip")
+    start -= np.cumsum(each)
+    start += each
+    return each, start, np.concatenate(rows)
+
+
+def steps(starts: np.ndarray, size: np.ndarray):
+    """For each stride (documents that still go on, where the symbols of each start, places of the symbols); sizes fall."""
+    falling = -size
+    for begin in range(0, int(size.max()), STRIDE):
+        m = int(np.searchsorted(falling, -begin, "left"))
+        length = np.minimum(size[:m] - begin, STRIDE)
+        first = np.cumsum(length) - length
+        at = np.repeat(starts[:m] + begin - first, length)
+        at += np.arange(len(at))
+        yield m, first, at
+
+
 def _mix(texts: list[bytes], code: Code, table: np.ndarray) -> np.ndarray:
-    """The same for texts of falling length."""
+    """The same for texts of falling length.
+
+    What does not depend on the weights is worked out ``WINDOW`` symbols ahead, once for each different symbol and context.
+    """
     symbols, starts = stream(texts)
-    size = np.array([len(t) + 1 for t in texts])
     k, n = len(ORDERS), len(texts)
-    falling = -size
-    all_weights = np.full((k, n * GATES), 1.25 / k, np.float32)
+    all_weights = np.zeros((n * GATES, k + 1), np.float32)  # as wide as a row, whose last column weighs nothing
+    all_weights[:, :k] = 1.25 / k
     bins = np.linspace(-8, 8, BINS)
-    seen = np.stack([PRIOR / (1 + np.exp(bins)), PRIOR / (1 + np.exp(-bins))], 1)
-    all_seen = np.tile(seen.ravel(), n)
+    all_seen = np.stack([np.tile(PRIOR / (1 + np.exp(x)), n) for x in (bins, -bins)])
     total = np.zeros(n)
-    for begin in range(0, int(size.max()), STRIDE):
-        m = int(np.searchsorted(falling, -begin, "left"))  # those that still go on are the first ones
-        docs = np.arange(m)
-        weights, seen = all_weights[:, : m * GATES], all_seen[: m * BINS * 2]
-        length = np.minimum(size[docs] - begin, STRIDE)
-        first = np.cumsum(length) - length
-        at = np.repeat(starts[docs] + begin - first, length)
-        at += np.arange(len(at))
-        each, depth, node, bit = code.spell(symbols[at], symbols[at - 1])
-        per_doc = np.add.reduceat(each, first)
-        np.minimum(depth, GATES - 1, out=depth)
-        gate = np.repeat(docs * GATES, per_doc)
-        gate += depth
-        inputs = [table[j].take(slot(np.repeat(h, each), node), mode="clip") for j, h in enumerate(contexts_at(symbols, at))]
-        mixed = weights[0].take(gate, mode="clip") * inputs[0]
-        for j in range(1, k):
-            mixed += weights[j].take(gate, mode="clip") * inputs[j]
-        np.clip(mixed, -8, 8, out=mixed)
-        p = np.exp(-mixed)
-        p += 1
-        np.reciprocal(p, out=p)
-        mixed += 8
-        mixed *= (BINS - 1) / 16
-        mixed += 0.5
-        place = np.repeat(docs * BINS, per_doc)
-        place += mixed.astype(np.int64)
-        place += place
-        ones = seen.take(place + 1, mode="clip")
-        refined = (ones / (seen.take(place, mode="clip") + ones)).astype(np.float32)
-        one = bit.astype(np.float32)
-        # the chance of what came: final where it is a one, else 1 - final
-        chance = (0.75 * p + 0.25 * refined) * (2 * one - 1) + (1 - one)
-        total[docs] += np.add.reduceat(np.log(chance), np.cumsum(per_doc) - per_doc, dtype=np.float64)
-        one -= p
-        one *= RATE
-        for j in range(k):
-            weights[j] += np.bincount(gate, one * inputs[j], m * GATES).astype(np.float32)
-        place += bit
-        seen += np.bincount(place, minlength=m * BINS * 2)
+
+    def learn_from(held):
+        each_all, start_all, rows = prepared(packed(symbols, np.concatenate([at for _, _, at in held])), code, table)
+        done, decided = 0, 0
+        for m, first, at in held:
+            each, start = each_all[done: done + len(at)], start_all[done: done + len(at)]
+            done += len(at)
+            per_doc = np.add.reduceat(each, first)
+            docs = np.arange(m)
+            at = np.repeat(start, each)
+            at += np.arange(decided, decided + len(at))
+            decided += len(at)
+            inputs = rows.take(at, axis=0, mode="clip")
+            seen = all_seen[:, : m * BINS]
+            gate = inputs[:, k].astype(np.int64)
+            bit = gate & 1
+            gate >>= 1
+            gate += np.repeat(docs * GATES, per_doc)
+            parts = all_weights.take(gate, axis=0, mode="clip")
+            parts *= inputs
+            mixed = parts[:, 0] + parts[:, 1]
+            for j in range(2, k):
+                mixed += parts[:, j]
+            np.clip(mixed, -8, 8, out=mixed)
+            p = np.exp(-mixed)
+            p += 1
+            np.reciprocal(p, out=p)
+            mixed += 8
+            mixed *= (BINS - 1) / 16
+            mixed += 0.5
+            place = mixed.astype(np.int64)
+            place += np.repeat(docs * BINS, per_doc)
+            refined = (seen[1] / (seen[0] + seen[1])).astype(np.float32).take(place, mode="clip")
+            one = bit.astype(np.float32)
+            # the chance of what came: final where it is a one, else 1 - final
+            refined *= 0.25
+            refined += 0.75 * p
+            chance = refined * (2 * one - 1)
+            chance += 1 - one
+            total[:m] += np.add.reduceat(np.log(chance), np.cumsum(per_doc) - per_doc, dtype=np.float64)
+            one -= p
+            one *= RATE
+            gate *= k + 1
+            for j in range(k):
+                np.add.at(all_weights.reshape(-1), gate, one * inputs[:, j])
+                gate += 1
+            bit *= n * BINS
+            place += bit
+            np.add.at(all_seen.reshape(-1), place, 1.0)
+
+    held, ahead = [], 0
+    for step in steps(starts, np.array([len(t) + 1 for t in texts])):
+        held.append(step)
+        ahead += len(step[2])
+        if ahead >= WINDOW:
+            learn_from(held)
+            held, ahead = [], 0
+    if held:
+        learn_from(held)
     return total / np.log(10)
 
 
