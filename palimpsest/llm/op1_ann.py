@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, stored
-from .vectors import distinct, finish, grid, in_cells, matrix, search_cells, usable
+from .vectors import distinct, finish, grid, in_cells, matrix, merged, search_cells, usable
 
 TABLES, HASHES, WIDTH, COARSE, SEED = 10, 40, 1.0, 3.0, 20240607
 SHARE, LEAST, SAMPLE = 0.01, 48, 1024
@@ -210,9 +210,10 @@ def candidates(groups: DataFrame, k: int) -> DataFrame:
 def nearest(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest rows found, by Euclidean distance."""
     groups, asked = distinct(usable(embeddings, id_col, vec_col, True), every, k)
-    lists = stored(candidates(groups, k), "ann-lists")
-    met = lists.select("qa", "qb", "a", "b").distinct().join(groups.select("a", "b", F.size("ids").alias("n")), ["a", "b"])
+    # a query's lists become one before any join: its k + 1 best groups hold more than k rows, or they are all that it met
+    lists = stored(merged(candidates(groups, k), k, True), "ann-lists")
+    met = lists.join(groups.select("a", "b", F.size("ids").alias("n")), ["a", "b"])
     enough = met.groupBy(F.col("qa").alias("a"), F.col("qb").alias("b")).agg(F.sum("n").alias("n")).where(F.col("n") > k)
     few = groups.where("asks").join(enough, ["a", "b"], "left_anti")
     more = grid(groups, few, lambda _: all_pairs, k, True, "double")
-    return finish(lists.unionByName(more), groups, asked, k, True)
+    return finish(lists.unionByName(more.drop("scored")), groups, asked, k, True)

@@ -127,12 +127,18 @@ def grid(groups: DataFrame, asked: DataFrame, kernel: Callable, k: int, ascendin
     return search_cells(cells, ["dim"], kernel, k, ascending, score_type, parts_for(n_cells, 2))
 
 
+def merged(lists: DataFrame, k: int, ascending: bool) -> DataFrame:
+    """qa, qb, a, b, least, score: the ``k`` + 1 best groups of each query group over all its lists."""
+    order = F.col("score") if ascending else F.bitwise_not("score")  # whole scores where large is best
+    met = lists.groupBy("qa", "qb", "a", "b").agg(F.min("least").alias("least"), F.first("score").alias("score"))
+    nth = F.row_number().over(Window.partitionBy("qa", "qb").orderBy(order, "least"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
+
+
 def finish(lists: DataFrame, groups: DataFrame, asked: DataFrame, k: int, ascending: bool) -> DataFrame:
     """(query_id, rank, vec_id, score) of the best lists, each query row without itself."""
     order = F.col("score") if ascending else F.bitwise_not("score")  # whole scores where large is best
-    met = lists.groupBy("qa", "qb", "a", "b").agg(F.min("least").alias("least"), F.first("score").alias("score"))
-    best = met.withColumn("nth", F.row_number().over(Window.partitionBy("qa", "qb").orderBy(order, "least"))).where(F.col("nth") <= k + 1)
-    rows = best.join(groups.select("a", "b", "ids"), ["a", "b"]).select(
+    rows = merged(lists, k, ascending).join(groups.select("a", "b", "ids"), ["a", "b"]).select(
         "qa", "qb", order.alias("order"), "score", ((F.col("a") == F.col("qa")) & (F.col("b") == F.col("qb"))).alias("own"), F.explode("ids").alias("vec_id"))
     tops = rows.groupBy("qa", "qb").agg(F.slice(F.array_sort(F.collect_list(F.struct("order", "vec_id", "own", "score"))), 1, k + 1).alias("top"))
     each = asked.join(tops.withColumnsRenamed({"qa": "a", "qb": "b"}), ["a", "b"])
