@@ -1,6 +1,7 @@
 """The sensitive-value rules, in their order, as Column expressions.
 
-A text's matches are found rule by rule, checked, and cut to the first ``MOST``; no row leaves its partition.
+A text's matches are found rule by rule, checked, and cut to the first ``MOST``; no row leaves its partition. One rule is a native
+expression, all of them together the kernel of ``matching``.
 """
 
 from __future__ import annotations
@@ -9,12 +10,17 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .text import EDGE, SPACE, let, redact
+from .. import on_workers
+from . import matching
+from .text import EDGE, SPACE
 
 MOST = 50
+MATCHES = ArrayType(StructType([StructField("rule_ord", IntegerType()), *[StructField(c, StringType()) for c in ("rule_id", "label", "severity", "evidence")]]))
 
 
 @dataclass(frozen=True)
@@ -107,10 +113,10 @@ def rule_matches(text: Column, rule: Rule, low: Column | None = None) -> Column:
 
 def matches(text: Column, most: int = MOST) -> Column:
     """array<struct<rule_ord, rule_id, label, severity, evidence>> of the first ``most`` matches in rule order."""
-    def typed(i: int, r: Rule, low: Column) -> Column:
-        return F.transform(rule_matches(text, r, low), lambda m: F.struct(
-            F.lit(i).alias("rule_ord"), F.lit(r.id).alias("rule_id"), F.lit(r.label).alias("label"), F.lit(r.severity).alias("severity"), m.alias("raw")))
+    find = matching.Finder([(r.id, r.label, r.severity, r.pattern, r.check) for r in RULES], most)
 
-    first = let(F.lower(text), lambda low: F.slice(F.concat(*[typed(i, r, low) for i, r in enumerate(RULES)]), 1, most))
-    return F.transform(first, lambda m: F.struct(m["rule_ord"].alias("rule_ord"), m["rule_id"].alias("rule_id"), m["label"].alias("label"),
-                                                 m["severity"].alias("severity"), redact(m["raw"]).alias("evidence")))
+    def run(texts: pa.Array) -> pa.Array:
+        return find(texts)
+
+    on_workers(SparkSession.active())
+    return F.arrow_udf(run, MATCHES)(text)

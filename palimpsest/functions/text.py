@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .. import on_workers
 
 #: What counts as white space, inside a character class.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -95,12 +99,13 @@ def escape_html(text: Column) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over UTF-16 units, eight hexadecimal digits."""
-    def hashed(raw: Column) -> Column:
-        places = F.when(F.length(raw) > 0, F.sequence(F.lit(0), F.floor(F.length(raw) / 4).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, F.lit(0x811C9DC5).cast("bigint"), lambda h, i: h.bitwiseXOR(
-            F.conv(F.substring(raw, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint")) * 0x01000193 % 0x100000000)
+    from . import matching
+
+    def run(texts: pa.Array) -> pa.Array:
+        return matching.fnv1a(texts)
 
-    return F.lower(F.lpad(F.hex(let(F.hex(F.encode(text, "UTF-16BE")), hashed)), 8, "0"))
+    on_workers(SparkSession.active())
+    return F.arrow_udf(run, StringType())(text)
 
 
 def finding_id(rule_id: Column, location: Column, evidence: Column, summary: Column) -> Column:
