@@ -16,3 +16,9 @@ def on_workers(spark) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if home not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([home, *paths])
+
+
+def dealt(rows, key: str):
+    """Rows from which far more work or wider rows follow, dealt out to all cores by key: a few MB are one or two splits of a file."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import on_workers
+from . import dealt, on_workers
 from .functions import geometry as g
 from .functions import sensitive, text, xml
 from .operators import findings as fo
@@ -198,14 +198,8 @@ def _constructed(engine: str) -> str:
 CONSTRUCTED = f"SELECT o_orderkey, {_constructed('duckdb')} AS text FROM orders"
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Narrow rows from which wide ones follow, dealt out to all cores: a few MB of keys are one or two splits of a file."""
-    spark = rows.sparkSession
-    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def constructed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     return orders.selectExpr("o_orderkey", f"{_constructed('spark')} AS text")
 
 
@@ -223,7 +217,7 @@ def sensitive_all(spark, sf_dir):
        f" SELECT g, ord, rule_id, severity, evidence FROM ({_sql_matches('wide', 'g', 'text')})")
 def sensitive_capped(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 20).cast("bigint").alias("g")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
-    wide = dealt(keys).selectExpr("g", f"array_join(transform(keys, o_orderkey -> {_constructed('spark')}), ' ') AS text")  # only keys are shuffled
+    wide = dealt(keys, "g").selectExpr("g", f"array_join(transform(keys, o_orderkey -> {_constructed('spark')}), ' ') AS text")  # only keys are shuffled
     m = wide.select("g", F.posexplode(sensitive.matches(F.col("text"))).alias("ord", "m"))
     return m.select("g", F.col("ord").cast("bigint").alias("ord"), "m.rule_id", "m.severity", "m.evidence")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import on_workers
+from .. import dealt, on_workers
 from ..functions import sensitive
 from ..functions.text import SPACE
 from ..operators import evidence
@@ -36,19 +36,24 @@ def built(rows: DataFrame, make, name: str, other: tuple[str, int] | None = None
             out = [(n, n, make(*v)) for n, v in zip(called, values)]
             yield pd.DataFrame(out, columns=["file_id", "name", "content"])
 
-    return rows.mapInPandas(run, "file_id string, name string, content binary")
+    return dealt(rows, columns[0]).mapInPandas(run, "file_id string, name string, content binary")
 
 
 PATTERNS = {r.id: re.compile(r.pattern.replace("<b>", r"\b").replace("<s>", SPACE), re.ASCII) for r in sensitive.RULES}
-#: Rules whose matches may hold blanks: no line or shape ends within such a match.
-SPACED = [PATTERNS[k] for k in ("private-key", "bearer-token", "credential-assignment", "us-ssn", "iban", "payment-card")]
+#: Rules whose matches may hold blanks: no line or shape ends within such a match. What a text must hold, in lower case, one of these at least, or as a pattern.
+SPACED = {"private-key": ("-----",), "bearer-token": ("bearer",), "credential-assignment": ("key", "secret", "passw", "token"),
+          **{k: re.compile("[0-9][ -]?[0-9]") for k in ("us-ssn", "iban", "payment-card")}}
 LINE, LONGEST, LINES = 80, 300, 20  # characters of a line and of one shown text at most; lines of a content stream, within the caps of each kind
 
 
 def units(text: str) -> list[str]:
     """The words with what a rule matches across blanks kept in one."""
     clean = " ".join(text.split())
-    held = [m.span() for rule in SPACED for m in rule.finditer(clean)]
+    low = clean.lower()
+    there = [k for k, hint in SPACED.items() if (any(w in low for w in hint) if isinstance(hint, tuple) else hint.search(clean))]
+    held = [m.span() for k in there for m in PATTERNS[k].finditer(clean)]
+    if not held:
+        return clean.split(" ") if clean else []
     bound = {at for begin, end in held for at in range(begin, end) if clean[at] == " "}
     out, begin = [], 0
     for at in [i for i, c in enumerate(clean) if c == " " and i not in bound] + [len(clean)] if clean else []:
