@@ -48,10 +48,16 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
+def even(text: Column, most: int) -> Column:
+    """Whether the text has at most ``most`` units and nothing to squeeze or replace inside: two cheap looks that spare most texts the class of all white characters."""
+    return (F.octet_length(text) <= most) & ~F.contains(text, F.lit("  ")) & ~F.rlike(text, F.lit(r"[\x00-\x1F\u00A0\u1680-\uFFFF]"))
+
+
 def compact(text: Column, most: int = 180) -> Column:
     """White space squeezed; what is longer than ``most`` units is cut and ends in an ellipsis."""
-    return let(squeezed(text), lambda clean: F.when(units(clean) <= most, clean).otherwise(
+    whole = let(squeezed(text), lambda clean: F.when(units(clean) <= most, clean).otherwise(
         F.concat(F.rtrim(first_units(clean, most - 1)), F.lit("…"))))
+    return F.when(even(text, most), F.trim(text)).otherwise(whole)
 
 
 def redact(text: Column) -> Column:
@@ -61,7 +67,7 @@ def redact(text: Column) -> Column:
 
 
 def safe_evidence(text: Column) -> Column:
-    return compact(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "), 220)
+    return F.when(even(text, 220), F.trim(text)).otherwise(compact(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "), 220))
 
 
 def extension_of(name: Column) -> Column:

@@ -1,6 +1,7 @@
 """The kernel of the sensitive-value rules against the rules' own patterns as Java expressions, and the hash against its definition."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -78,3 +79,45 @@ def test_findings_move_once_and_narrow(spark, tmp_path):
         plan = catalog.QUERIES[name](spark, at)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("RepartitionByExpression [file_id") == 1 and "min_by" not in plan
         assert "Revoke or rotate" not in plan and "hidden-content" not in plan
+
+
+def test_even_texts_come_out_as_all_others(spark):
+    """The short way round the pattern of all white characters gives what the pattern gives."""
+    from palimpsest.functions import text
+
+    rnd = random.Random(3)
+    bits = [" ", "  ", "\t", "\n", "\x01", "\x1f", "\x7f", " ", " ", " ", "﻿", "é", "🦊", "a", "b c", "x" * 40, "…"]
+    values = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(2000)] + [None, "x" * 179 + " ", "x" * 180, "x" * 181, " " + "x" * 180, "é" * 180]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+
+    def plain(value, most):
+        if value is None:
+            return None
+        clean = re.sub(f"[{text.SPACE}]+", " ", value).strip(" ")
+        raw = clean.encode("utf-16-be")
+        if len(raw) // 2 <= most:
+            return clean
+        return raw[: 2 * most - 2].decode("utf-16-be", "ignore").rstrip(" ") + "…"
+
+    for r in rows.select("v", text.compact(F.col("v")).alias("c"), text.safe_evidence(F.col("v")).alias("s")).collect():
+        assert r["c"] == plain(r["v"], 180)
+        assert r["s"] == plain(r["v"] and re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ", r["v"]), 220)
+
+
+def test_files_are_built_on_all_cores(spark, tmp_path):
+    """One small file of texts is one split; the files built of it are many tasks."""
+    from palimpsest.plans import files
+
+    rows = spark.range(500).selectExpr("id AS doc_id", "concat('a text of token = abcdefgh', id) AS text", "'s' AS source").coalesce(1)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    done = files.pdfs(spark, str(tmp_path))
+    assert done.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert done.select("name").distinct().count() == 500
+
+
+def test_units_without_numbers_need_no_pattern():
+    from palimpsest.plans import files
+
+    assert files.units("one  two\nthree") == ["one", "two", "three"] and files.units(" ") == []
+    assert files.units("see token = abcdefgh now") == ["see", "token = abcdefgh", "now"]
+    assert files.units("card 4111 1111 1111 1111 end") == ["card", "4111 1111 1111 1111", "end"]
